@@ -139,9 +139,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with all columns of docs."""
-    staged = stage(docs.withColumn("_row", row_id()), "mix-input")
-    copies = mix(staged, row="_row", **how).where("copies > 0").select(F.col("row").alias("_row"), "copies")
-    often = staged.join(copies, "_row").select(*docs.columns, F.explode(F.expr("sequence(1, copies)")).alias("_copy"))
+    staged = stage(docs.withColumn("__row__", row_id()), "mix-input")
+    copies = mix(staged, row="__row__", **how).where("copies > 0").select(F.col("row").alias("__row__"), "copies")
+    often = staged.join(copies, "__row__").select(*docs.columns, F.explode(F.expr("sequence(1, copies)")).alias("_copy"))
     return often.select(*docs.columns)
 
 
