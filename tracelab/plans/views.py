@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 SPARK = {"DAYS": r"datediff(\1, date'1992-01-01')", "MS": r"timestampdiff(MILLISECOND, timestamp_ntz'2024-01-01 00:00:00', \1)"}
-DUCK = {"DAYS": r"date_diff('day', timestamp '1992-01-01', \1)", "MS": r"(epoch_ms(\1) - epoch_ms(timestamp '2024-01-01'))"}
+DUCK = {"DAYS": r"date_diff('day', timestamp '1992-01-01', \1)", "MS": r"((epoch_us(\1) - epoch_us(timestamp '2024-01-01')) // 1000)"}
 
 VIEWS = {
     "task_rows": """
