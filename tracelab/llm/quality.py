@@ -30,7 +30,7 @@ def _buckets(text: str) -> np.ndarray:
         _KNOWN.clear()
     ids = np.empty(0, np.uint32)
     if tokens := _TOKEN.findall(text):
-        for x in set(tokens) - _KNOWN.keys():
+        for x in [x for x in set(tokens) if x not in _KNOWN]:
             _KNOWN[x] = zlib.crc32(x.lower().encode("utf-8", "replace"))
         ids = np.fromiter(map(_KNOWN.__getitem__, tokens), np.uint32, len(tokens))
     pairs = ids[:-1] * np.uint32(2654435761) + ids[1:] * np.uint32(40503) + np.uint32(1)

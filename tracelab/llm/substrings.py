@@ -38,7 +38,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 def _hashes(words: list[bytes]) -> np.ndarray:
     if len(_KNOWN) > 500_000:
         _KNOWN.clear()
-    for x in set(words) - _KNOWN.keys():
+    for x in [x for x in set(words) if x not in _KNOWN]:
         _KNOWN[x] = xxhash.xxh64_intdigest(x)
     return np.fromiter(map(_KNOWN.__getitem__, words), np.uint64, len(words))
 
