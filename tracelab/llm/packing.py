@@ -18,40 +18,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelab.llm.common import row_id, shuffle_partitions, stage
-from tracelab.llm.tokenizer import cut, load, vocabulary_path
+from tracelab.llm.tokenizer import encode_pieces, load, split, vocabulary_path
 
 LENGTH, END = 2048, 0
-#: Pre-tokens whose ids a worker keeps at hand, and the longest it keeps: at most about 80 MB.
-CACHE, CACHE_CHARS = 300_000, 48
+#: Pre-tokens whose ids a worker keeps at hand, the first that it meets, and the longest it keeps: at most about 250 MB.
+CACHE, CACHE_CHARS = 1_000_000, 48
 _ids: dict[str, bytes] = {}
 
 
-def _encoded(tokenizer, texts: list[str]) -> list[bytes]:
-    return [np.asarray(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-
-def _document_ids(tokenizer, texts: list[str]) -> Iterator[bytes]:
+def _document_ids(path: str, texts: list[str]) -> Iterator[bytes]:
     """Ids of each text, four bytes each."""
-    cuts = [cut(x) for x in texts]
-    new = list({x for pieces in cuts for x in pieces if x not in _ids})
-    if len(_ids) + len(new) > CACHE:
-        _ids.clear()
-        new = list({x for pieces in cuts for x in pieces})
-    now = dict(zip(new, _encoded(tokenizer, new), strict=True))
-    for pieces in cuts:
-        yield b"".join([_ids.get(x) or now[x] for x in pieces])
-    _ids.update((k, v) for k, v in now.items() if len(k) <= CACHE_CHARS and len(_ids) < CACHE)
+    tokenizer, cuts = load(path), [split(x) for x in texts]
+    found = [list(map(_ids.get, rest)) for _, rest in cuts]
+    new = list({x for (_, rest), ids in zip(cuts, found, strict=True) if None in ids for x, y in zip(rest, ids, strict=True) if y is None})
+    now = dict(zip(new, encode_pieces(path, new), strict=True))
+    heads = tokenizer.encode_batch_fast([head for head, _ in cuts], add_special_tokens=False)
+    for (_, rest), ids, head in zip(cuts, found, heads, strict=True):
+        if None in ids:
+            ids = [now[x] if y is None else y for x, y in zip(rest, ids, strict=True)]
+        yield np.asarray(head.ids, "<u4").tobytes() + b"".join(ids)
+    if len(_ids) >= CACHE and 2 * len(new) > sum(len(rest) for _, rest in cuts):
+        _ids.clear()  # another kind of text
+    if len(_ids) < CACHE:
+        _ids.update((k, v) for k, v in now.items() if len(k) <= CACHE_CHARS)
 
 
 def _pieces(path: str, length: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(path)
         tail, most = np.asarray([end], "<u4").tobytes(), 4 * length
         for big in batches:
             for at in range(0, big.num_rows, 256):
                 batch = big.slice(at, 256)
                 out = defaultdict(list)
-                ids = zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), _document_ids(tokenizer, [x or "" for x in batch.column("text").to_pylist()]), strict=True)
+                ids = zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), _document_ids(path, [x or "" for x in batch.column("text").to_pylist()]), strict=True)
                 for row, doc_id, data in ids:
                     data += tail
                     lead = len(data) % most or most  # only the first piece may be short
