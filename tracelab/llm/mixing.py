@@ -20,7 +20,7 @@ from tracelab.llm.common import n_words, row_id, stage
 
 #: Weights of sources in their order, share of all words that the mix has, most times that a source is read.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
-BLOCK, FLIPS = 4096, 4
+BLOCK, FLIPS = 4096, 64
 _EDGE = 1e-9
 
 
