@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator, Sequence
 
@@ -17,12 +18,26 @@ _RUN = r"^(.*?([^/]+)/run-([0-9]+))/"
 
 def run_of(path: Column) -> list[Column]:
     """run_dir, experiment (its root's name) and run of a file's path."""
-    return [F.regexp_extract(path, _RUN, 1).alias("run_dir"), F.regexp_extract(path, _RUN, 2).alias("experiment"), F.regexp_extract(path, _RUN, 3).try_cast("int").alias("run")]
+    return [F.regexp_replace(F.regexp_extract(path, _RUN, 1), "^file:/+", "file:/").alias("run_dir"), F.regexp_extract(path, _RUN, 2).alias("experiment"), F.regexp_extract(path, _RUN, 3).try_cast("int").alias("run")]
+
+
+def _names(spark: SparkSession, roots: Sequence[str]) -> list[str]:
+    """Names of all files under the roots, empty ones included; some ten a run. No file is read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(roots)).inputFiles()
+
+
+def _globs(spark: SparkSession, roots: Sequence[str], file: str) -> list[str]:
+    """A pattern for each root in which a run has the file."""
+    hits = [re.match(rf"(.*)/run-[0-9]+/{re.escape(file)}(?:/|$)", n) for n in _names(spark, roots)]
+    return sorted({f"{m[1]}/run-*/{file}" for m in hits if m})
 
 
 def discover_runs(spark: SparkSession, roots: Sequence[str], require_done: bool = True) -> DataFrame:
-    """(run_dir, experiment, run, done): runs that were started and, unless told otherwise, are done. Only names are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(roots)).select("path")
+    """(run_dir, experiment, run, done): runs that were started and, unless told otherwise, are done.
+
+    Markers may be empty files.
+    """
+    files = spark.createDataFrame([(n,) for n in _names(spark, roots)], "path string")
     marks = files.select(*run_of(F.col("path")), F.regexp_extract("path", r"/run-[0-9]+/(START|DONE)(?:/|$)", 1).alias("mark")).where("run_dir <> '' and mark <> ''")
     runs = marks.groupBy("run_dir", "experiment", "run").agg(F.bool_or(F.col("mark") == "START").alias("started"), F.bool_or(F.col("mark") == "DONE").alias("done"))
     runs = runs.where("started").drop("started")
@@ -31,7 +46,7 @@ def discover_runs(spark: SparkSession, roots: Sequence[str], require_done: bool
 
 def read_run_configs(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
     """(run_dir, experiment, run, key, value): configurations, one row a key, values as text."""
-    text = spark.read.text([f"{r}/run-*/config.json" for r in roots], wholetext=True).select(*run_of(F.col("_metadata.file_path")), "value")
+    text = spark.read.text(_globs(spark, roots, "config.json"), wholetext=True).select(*run_of(F.col("_metadata.file_path")), "value")
     return text.select("run_dir", "experiment", "run", F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
 
 
@@ -44,7 +59,10 @@ def read_stats(spark: SparkSession, roots: Sequence[str], kind: str, runs: DataF
 
     Files that are empty or missing give no rows; short rows end in nulls.
     """
-    rows = spark.read.csv([f"{r}/run-*/{kind}.csv" for r in roots], schema=schema or stats_schema(kind), header=True, mode="PERMISSIVE")
+    schema, paths = schema or stats_schema(kind), _globs(spark, roots, f"{kind}.csv")
+    if not paths:
+        return spark.createDataFrame([], f"run_dir string, experiment string, run int, {schema}")
+    rows = spark.read.csv(paths, schema=schema, header=True, mode="PERMISSIVE")
     rows = rows.select(*run_of(F.col("_metadata.file_path")), *rows.columns)
     return rows if runs is None else rows.join(F.broadcast(runs.select("run_dir")), "run_dir", "left_semi")  # one short row a run
 
@@ -65,7 +83,7 @@ def read_stats_zip(spark: SparkSession, roots: Sequence[str], kind: str, schema:
                         while some := [x.rstrip("\r\n") for _, x in zip(range(10_000), lines, strict=False)]:
                             yield pa.RecordBatch.from_arrays([pa.array([path] * len(some)), pa.array(some)], ["path", "line"])
 
-    files = spark.read.format("binaryFile").load([f"{r}/run-*/stats.zip" for r in roots]).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "stats.zip").load(list(roots)).select("path", "content")
     lines = files.mapInArrow(run, "path string, line string").where("line <> ''")
     return lines.select(*run_of(F.col("path")), F.from_csv("line", F.lit(schema)).alias("x")).select("run_dir", "experiment", "run", "x.*")
 
