@@ -144,20 +144,21 @@ def _near(a: Column, b: Column, most: int) -> Column:
 
 
 def _forest(most: int):
-    """Links of a full bucket that connect what is linked in it, at most one a member: each member in turn takes all that are near and still free."""
+    """Links of a full bucket that connect what is linked in it, at most one a member and radius: each member in turn takes all that are near and still free."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        free = np.unique(rows["fp"].to_numpy(np.int64)).view(np.uint64)
         a, b = [], []
-        while len(free):
-            queue, free = [free[0]], free[1:]
-            while queue and len(free):
-                one = queue.pop()
-                near = np.bitwise_count(free ^ one) <= most
-                found, free = free[near], free[~near]
-                a += [one] * len(found)
-                b += found.tolist()
-                queue += list(found)
+        for bits in sorted({*range(2, most, 2), most}):  # closer ones first: a check may follow
+            free = np.unique(rows["fp"].to_numpy(np.int64)).view(np.uint64)
+            while len(free):
+                queue, free = [free[0]], free[1:]
+                while queue and len(free):
+                    one = queue.pop()
+                    near = np.bitwise_count(free ^ one) <= bits
+                    found, free = free[near], free[~near]
+                    a += [one] * len(found)
+                    b += found.tolist()
+                    queue += list(found)
         return pd.DataFrame({"a": np.array(a, np.uint64).view(np.int64), "b": np.array(b, np.uint64).view(np.int64)})
 
     return run
@@ -205,23 +206,46 @@ def near_groups(rows: DataFrame, most: int, doc_id: str = "doc_id") -> DataFrame
     return attach(rows, known, "fp", "rows_of_fp", rows.count()).drop("rows_of_fp")
 
 
-#: Bits that fingerprints of distinct words may differ in where five-word shingles are to be 0.8 similar.
-WORD_BITS = 6
+#: Bits that fingerprints of distinct words may differ in, and the similarity of WORDS-word shingles that then decides.
+WORD_BITS, WORDS, SIMILAR = 6, 5, 0.8
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.unique(np.array([xxhash.xxh64_intdigest(x) for x in shingles(t or b"", WORDS)], np.uint64)).view(np.int64).tolist() for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sets, pa.list_(pa.int64()))], ["row", "grams"])
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """The pairs (a, b) of rows whose sets of shingles have at least that Jaccard similarity; two without words do. texts: (row, text as bytes)."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    sets = stage(texts.join(wanted, "row", "left_semi").mapInArrow(_shingle_sets, "row long, grams array<long>"), "shingle-sets")
+    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("grams").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= F.lit(least) * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
 def drop_near_copies(docs: DataFrame, most: int = WORD_BITS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Rows of docs with all columns, one of each group of near copies: the one with the smallest id.
+    """Rows of docs with all columns, one of each group of near copies: the one with the smallest id, null ids last.
 
-    Fingerprints are of distinct words, which an edit changes less than it does shingles. Of documents without words
-    one stays. Repeated rows are copies.
+    Candidates are documents whose fingerprints of distinct words, which an edit changes less than it does shingles, are
+    linked or equal; pairs with SIMILAR of their shingles in common are near copies. Of documents without words one
+    stays. Repeated rows are copies. An empty table gives no rows.
     """
     staged = stage(docs.withColumn("__row__", row_id()), "near-input")
     ids = staged.select(F.col("__row__").alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     marked = stage(fingerprints(ids, distinct_words, keep=("row", "doc_id")), "near-fingerprints")
-    grouped = near_groups(marked, most)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
-    keep = grouped.groupBy(F.coalesce("component_id", F.lit(-1)).alias("c"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("f")).agg(first.alias("x"))
-    return staged.join(keep.select(F.col("x.row").alias("__row__")), "__row__", "left_semi").select(*docs.columns)
+    groups = stage(marked.groupBy("fp").agg(first.alias("first"), F.count("*").alias("n")).select("fp", F.col("first.row").alias("head"), "n"), "near-groups")
+    heads = groups.select("fp", "head")
+    linked = links(groups.select("fp"), most).join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    equal = attach(marked.select("row", "fp"), groups, "fp", "n", marked.count()).where("row <> head").select(F.col("row").alias("a"), F.col("head").alias("b"))
+    pairs = stage(linked.unionByName(equal).where("a <> b").distinct(), "near-pairs")
+    joined = components(similar_pairs(pairs, ids.select("row", F.encode("text", "UTF-8").alias("text"))))
+    members = joined.select(F.col("a").alias("row"), F.col("b").alias("root")).unionByName(joined.select(F.col("b").alias("row"), F.col("b").alias("root")).distinct()).join(marked.select("row", "doc_id"), "row")
+    kept = members.groupBy("root").agg(first.alias("x")).select(F.col("x.row").alias("row"))
+    gone = members.select("row").join(kept, "row", "left_anti").select(F.col("row").alias("__row__"))
+    return staged.join(gone, "__row__", "left_anti").select(*docs.columns)
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
