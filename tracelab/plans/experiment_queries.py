@@ -33,6 +33,7 @@ def run_directories(spark: SparkSession, sf: str) -> str:
         if run != 5:
             put(f"{at}/DONE", "")
         rows.where(F.col("run") == run).drop("run").write.option("header", True).csv(f"{at}/scheduler.csv")
+    rows.unpersist()
     return root
 
 

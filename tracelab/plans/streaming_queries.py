@@ -46,7 +46,7 @@ def w1_stream_counters(spark: SparkSession, sf: str) -> DataFrame:
     """Hours that the watermark, ten minutes behind the last event, has passed."""
     rows = spark.read.parquet(f"{sf}/events.parquet").select(F.col("ts").cast("timestamp").alias("time"), F.col("event_type").alias("event"), "value")
     out = run_to_end(spark, live.stream_counters(_source(spark, rows, "w1"), "time", "1 hour", "10 minutes"), "counters")
-    return rounded(out.select("event", F.unix_seconds("start").alias("start_s"), "n", "value"))
+    return rounded(out.select("event", F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', start)").alias("start_s"), "n", "value"))
 
 
 @query("select machine, time, status, ord from (select *, lag(status) over (partition by machine order by ord) as b from status) where b is distinct from status", "status")
