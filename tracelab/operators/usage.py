@@ -107,21 +107,19 @@ def inc_load(events: DataFrame, own: str, capacity: DataFrame, interval: int, pr
     used moves with the property's claims. total is the capacity of machines while it is active there. blocked is other
     properties' use on those machines: it moves with their claims while it is active, and by what is in use when it starts or ends to be.
     """
-    moves = events.select("seq", "time", "machine_id", F.col(prop).alias("property"), (sign() * F.col("num_tasks") * F.col(own)).alias("d"))
+    moves = events.select("seq", "time", "machine_id", F.col(prop).alias("property"), (sign() * F.col("num_tasks") * F.col(own)).alias("d"), sign().alias("step"))
     toggles = active_properties(events, prop)
     in_use = F.sum("d").over(_so_far("machine_id"))
     own_use = F.sum("d").over(_so_far("machine_id", "property"))
     state = moves.withColumn("all_use", in_use).withColumn("own_use", own_use)
-    # Intervals in which a property is active on a machine.
-    w = Window.partitionBy("machine_id", "property").orderBy("seq_time", "seq")
-    spans = toggles.withColumn("seq_time", F.col("time")).withColumn("to_time", F.lead("time").over(w)).withColumn("to_seq", F.lead("seq").over(w)).where("active")
-    spans = spans.select(F.col("machine_id").alias("m"), F.col("property").alias("p"), F.struct("time", "seq").alias("since"), F.struct(F.coalesce("to_time", F.lit((1 << 62))).alias("time"), F.coalesce("to_seq", F.lit(1 << 62)).alias("seq")).alias("until"))
     tick = tick_of(F.col("time"), interval).alias("tick")
     zero = F.lit(0).cast("bigint")
     used = moves.select("property", tick, F.col("d").alias("used"), zero.alias("total"), zero.alias("blocked"))
-    at = F.struct("time", "seq")
-    # A machine has few properties at a time, so each move meets few spans.
-    others = moves.join(spans, (F.col("machine_id") == F.col("m")) & (F.col("property") != F.col("p")) & (at > F.col("since")) & (at < F.col("until")))
+    # Each move is seen from every kind of property (a handful), with whether that one is active on the machine then.
+    kinds = F.broadcast(moves.select(F.col("property").alias("p")).distinct())
+    seen = moves.crossJoin(kinds).withColumn("own_step", F.when(F.col("property") == F.col("p"), F.col("step")).otherwise(0))
+    seen = seen.withColumn("active", F.sum("own_step").over(_so_far("machine_id", "p")) > 0)
+    others = seen.where(F.col("active") & (F.col("property") != F.col("p")))
     blocked = others.select(F.col("p").alias("property"), tick, zero.alias("used"), zero.alias("total"), F.col("d").alias("blocked"))
     here = toggles.join(state.select("seq", "time", "machine_id", "property", "all_use", "own_use"), ["seq", "time", "machine_id", "property"]).join(capacity, "machine_id")
     flip = F.when(F.col("active"), 1).otherwise(-1)

@@ -12,7 +12,7 @@ from tracelab.operators import figures, mappers, sweeps
 from tracelab.plans import paper_frames
 from tracelab.plans.experiments import load_experiments
 from tracelab.plans.registry import query, rounded
-from tracelab.plans.result_queries import inc_wide
+from tracelab.plans.result_queries import INC_VIEW, inc_wide
 from tracelab.plans.views import view
 from tracelab.sources import runs as source
 from tracelab.sources.scratch import scratch_path
@@ -209,15 +209,19 @@ def f6_locality(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(paper_frames.locality(view(spark, sf, "taskgroups").withColumn("InvolvedRacks", F.col("AvgQueueing"))))
 
 
+@query(
+    f"""with {INC_VIEW}, a as (select experiment, run, Time, 100 * (1 - ((1 - u1 - b1) * t1 + (1 - u2 - b2) * t2) / (t1 + t2 + 0.01)) as s0, 100 * (1 - ((1 - (u1 + b1) / 2) * t1 / 2 + (1 - (u2 + b2) / 2) * t2 / 2) / ((t1 + t2) / 2 + 0.01)) as s1 from wide),
+b as (select experiment, run, Time, 100 * (CountJobs % 11) / 11.0 as v0, 100 * (CountPreemptions % 5) / 5.0 as v1 from counters), j as (select * from a join b using (experiment, run, Time)),
+m as (select 'SwitchDim0' as origin_column, s0 as y from j union all select 'SwitchDim1', s1 from j union all select 'ServerDim0', v0 from j union all select 'ServerDim1', v1 from j)
+select origin_column, count(y) as count, round(avg(y), 4) as mean, round(stddev_samp(y), 4) as std, round(min(y), 4) as min, round(quantile_cont(y, 0.25), 4) as p25, round(quantile_cont(y, 0.5), 4) as p50, round(quantile_cont(y, 0.75), 4) as p75, round(max(y), 4) as max from m group by 1""",
+    "counters",
+)
 def f6_load_by_dim(spark: SparkSession, sf: str) -> DataFrame:
     cell = view(spark, sf, "counters").select("experiment", "run", "scheduler", "Time", (F.col("CountJobs") % 11 / 11).alias("UtilizationServersDim0"), (F.col("CountPreemptions") % 5 / 5).alias("UtilizationServersDim1"))
     inc = inc_wide(spark, sf).withColumns({c.replace("Dim0", "Dim1"): F.col(c) / 2 for c in inc_wide(spark, sf).columns if "Dim0" in c})
     return rounded(paper_frames.load_by_dim(inc, cell, dims=2))
 
 
-query()(f6_load_by_dim)
-
-
 @query(
     """with e as (select mu, (EndTimeNanos - StartTimeNanos) / 1000000 as x from solver join (select distinct run, mu from runs) using (run)), s as (select min(log10(x)) filter (where x > 0) as low, max(log10(x)) filter (where x > 0) as high from e),
 c as (select mu, cast(case when x <= 0 then 0 else least(48, floor((log10(x) - low) / (high - low) * 49 + 1e-9)) end as int) as bin, count(*) as n from e, s group by 1, 2), d as (select mu, bin, low, high, coalesce(n, 0) as m from (select * from (select distinct mu from e), (select unnest(range(49))::int as bin), s) left join c using (mu, bin))
