@@ -147,9 +147,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     named = docs.select(F.coalesce(i, F.lit(_LAST)).alias("ord"), F.coalesce(F.xxhash64(i, t), F.lit(0)).alias("key"), t.alias("text"))
     scanned = named.mapInArrow(_scan, "ord long, key long, n_words long, digest binary, anchor array<long>, span array<long>, block array<boolean>")
     scanned = stage(scanned.withColumn("row", F.monotonically_increasing_id()), "scanned")
-    groups = stage(scanned.groupBy("digest").agg(F.min("ord").alias("first"), F.count("*").alias("copies")), "word-digests")
+    groups = scanned.groupBy("digest").agg(F.min("ord").alias("first"), F.count("*").alias("copies"))
     rows = attach(scanned.select("row", "ord", "key", "n_words", "digest"), groups, "digest", "copies", scanned.count())
-    rows = stage(rows.withColumn("whole", (F.col("first") < F.col("ord")) & (F.col("n_words") >= WINDOW)).drop("first", "copies"), "digested")
+    rows = rows.withColumn("whole", (F.col("first") < F.col("ord")) & (F.col("n_words") >= WINDOW)).drop("first", "copies")
 
     probes = scanned.select("row", F.hash("digest").alias("content"), F.explode(F.arrays_zip("anchor", "span", "block")).alias("x"))
     probes = probes.select("row", "content", F.col("x.anchor").alias("anchor"), F.col("x.span").alias("span"), F.col("x.block").alias("block"))
@@ -167,8 +167,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, cuts = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    cuts = stage(cuts.select("row", "n_removed", F.sha2("kept", 256).alias("cut_sha256")), "cuts")
-    out = rows.join(cuts, "row", "left")
+    out = rows.join(cuts.select("row", "n_removed", F.sha2("kept", 256).alias("cut_sha256")), "row", "left")
     removed = F.when(F.col("whole"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
     kept = F.when(F.col("whole"), F.sha2(F.lit(""), 256)).otherwise(F.coalesce("cut_sha256", F.lower(F.hex("digest"))))
     return out.select("doc_id", "n_words", removed.cast("long").alias("n_removed"), kept.alias("kept_sha256"))
