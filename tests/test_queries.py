@@ -22,7 +22,7 @@ def duck():
 
 def plain(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else repr(round(value, 4) + 0.0)
+        return "nan" if math.isnan(value) else repr(round(value, 6) + 0.0)
     return str(value)
 
 

@@ -78,9 +78,9 @@ def e9_rolling_share(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(mappers.rolling_share(view(spark, sf, "counters"), "CountPreemptions").select("experiment", "run", "Time", "CountPreemptionsRolling"))
 
 
-@query("select experiment, run, SimulationTime, EndTimeNanos - StartTimeNanos as ElapsedNanos, round((EndTimeNanos - StartTimeNanos) / 1000000, 4) as ElapsedMs, ProducerCnt + NonProducerCnt as Nodes from solver", "solver")
+@query("select experiment, run, SimulationTime, EndTimeNanos - StartTimeNanos as ElapsedNanos, round((EndTimeNanos - StartTimeNanos) / 1000000, 6) as ElapsedMs, ProducerCnt + NonProducerCnt as Nodes from solver", "solver")
 def e10_solver_times(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(mappers.solver_times(view(spark, sf, "solver")).select("experiment", "run", "SimulationTime", "ElapsedNanos", "ElapsedMs", "Nodes"))
+    return rounded(mappers.solver_times(view(spark, sf, "solver")).select("experiment", "run", "SimulationTime", "ElapsedNanos", "ElapsedMs", "Nodes"), 6)
 
 
 def _five(col: str, where: str = "true") -> str:
