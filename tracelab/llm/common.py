@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +24,33 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_tracked: list[str] | None = None
+
+
+@contextmanager
+def tracked() -> Iterator[list[str]]:
+    """Lists the scratch paths that are made inside, for remove()."""
+    global _tracked
+    before, _tracked = _tracked, []
+    try:
+        yield _tracked
+    finally:
+        _tracked = before
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes scratch paths, which nothing may need any more."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _tracked is not None:
+        _tracked.append(path)
+    return path
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -47,6 +74,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of a few bytes each that are broadcast at most, after they were counted.
+SHORT = 1_000_000
+
+
+def short(rows: DataFrame) -> DataFrame:
+    """Staged rows of row ids, to be broadcast if they are counted to be few; else they are joined by a shuffle."""
+    return F.broadcast(rows) if rows.count() <= SHORT else rows
+
+
 #: A group with over this share of all rows is hot; fewer than 1000 groups can be.
 HOT_SHARE = 1000
 

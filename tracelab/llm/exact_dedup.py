@@ -73,7 +73,7 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     rows = staged.select(F.col("__row__").alias("row"), F.col(doc_id).cast("long").alias("doc_id"), digest(F.col(text)).alias("digest"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
     index = DigestIndex.open(spark, scratch(spark, "index"))
-    groups = stage(rows.groupBy("digest").agg(first.alias("first")), "digest-groups")
+    groups = rows.groupBy("digest").agg(first.alias("first"))
     fresh = stage(groups.join(index.read().hint("merge"), "digest", "left_anti"), "fresh")
     index.append(fresh.select("digest", F.col("first.doc_id").alias("first_id"), F.lit("0").alias("batch")))
     return staged.join(fresh.select(F.col("first.row").alias("__row__")), "__row__", "left_semi").select(*docs.columns)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelab.llm.common import attach, row_id, stage
+from tracelab.llm.common import attach, row_id, short, stage
 from tracelab.llm.components import components
 
 BITS, SEED = 64, 42
@@ -218,8 +218,8 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFrame:
     """The pairs (a, b) of rows whose sets of shingles have at least that Jaccard similarity; two without words do. texts: (row, text as bytes)."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    sets = stage(texts.join(wanted, "row", "left_semi").mapInArrow(_shingle_sets, "row long, grams array<long>"), "shingle-sets")
+    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "wanted")
+    sets = stage(texts.join(short(wanted), "row", "left_semi").mapInArrow(_shingle_sets, "row long, grams array<long>"), "shingle-sets")
     both = pairs.join(sets.select(F.col("row").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("grams").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared >= F.lit(least) * (F.size("x") + F.size("y") - shared)).select("a", "b")
@@ -244,8 +244,8 @@ def drop_near_copies(docs: DataFrame, most: int = WORD_BITS, text: str = "text",
     joined = components(similar_pairs(pairs, ids.select("row", F.encode("text", "UTF-8").alias("text"))))
     members = joined.select(F.col("a").alias("row"), F.col("b").alias("root")).unionByName(joined.select(F.col("b").alias("row"), F.col("b").alias("root")).distinct()).join(marked.select("row", "doc_id"), "row")
     kept = members.groupBy("root").agg(first.alias("x")).select(F.col("x.row").alias("row"))
-    gone = members.select("row").join(kept, "row", "left_anti").select(F.col("row").alias("__row__"))
-    return staged.join(gone, "__row__", "left_anti").select(*docs.columns)
+    gone = stage(members.select("row").join(kept, "row", "left_anti").select(F.col("row").alias("__row__")), "near-copies")
+    return staged.join(short(gone), "__row__", "left_anti").select(*docs.columns)
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
