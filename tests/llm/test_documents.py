@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -218,6 +219,57 @@ def test_links_connect_what_is_near(spark, monkeypatch, most, full):
     assert groups(mine) == groups(theirs)
 
 
+def near_groups_by_hand(texts):
+    """Components of all pairs with 0.8 of their five-word shingles in common, each with its ids in order."""
+    sets = {}
+    for i, t in texts:
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in combinations(sorted(sets), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {find(i) for i in sets}
+
+
+def template_family(draw, n, length, slots):
+    """Texts of one template in which some words vary, so that some pairs are similar and others, as near in words, aren't."""
+    base = [f"w{int(draw.integers(400))}" for _ in range(length)]
+    out = []
+    for _ in range(n):
+        words = list(base)
+        for k in draw.choice(length, int(draw.integers(0, slots + 1)), replace=False):
+            words[k] = f"v{int(draw.integers(6))}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_near_copies_in_full_buckets(spark, monkeypatch):
+    """Every pair that is similar enough counts, however full the buckets are."""
+    monkeypatch.setattr(simhash, "FULL", 4)
+    draw = np.random.default_rng(3)
+    texts = list(enumerate(t for length, slots in ((120, 8), (60, 5), (300, 16), (7, 2), (3, 1)) for t in template_family(draw, 40, length, slots)))
+    table = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in simhash.drop_near_copies(table).collect()} == near_groups_by_hand(texts)
+
+
+def test_frequent_shingles_only_order_the_prefixes(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    texts = list(enumerate(t for length, slots in ((120, 8), (60, 5)) for t in template_family(draw, 40, length, slots)))
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    for sample, many in ((10_000, 0), (10, 50), (10_000, 50_000)):
+        monkeypatch.setattr(simhash, "SAMPLE", sample)
+        monkeypatch.setattr(simhash, "FREQUENT", many)
+        assert {r.doc_id for r in simhash.drop_near_copies(table).collect()} == near_groups_by_hand(texts)
+
+
 def test_allocation_meets_the_pigeonhole():
     together = np.full((64, 64), 250.0)
     np.fill_diagonal(together, 500)

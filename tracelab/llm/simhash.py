@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelab.llm.common import attach, row_id, short, stage
@@ -39,10 +39,6 @@ def shingles(text: bytes, n: int) -> list[bytes]:
     return [line[a:b] for a, b in zip(starts[: len(starts) - k].tolist(), ends[k:].tolist(), strict=True)]
 
 
-def distinct_words(text: bytes) -> list[bytes]:
-    return list(set(text.lower().split()))
-
-
 def fingerprint(grams: list[bytes]) -> int:
     """Bits that are set in over half of the hashes; 0 of none."""
     ones = np.zeros(BITS, np.int64)
@@ -206,16 +202,58 @@ def near_groups(rows: DataFrame, most: int, doc_id: str = "doc_id") -> DataFrame
     return attach(rows, known, "fp", "rows_of_fp", rows.count()).drop("rows_of_fp")
 
 
-#: Bits that fingerprints of distinct words may differ in, and the similarity of WORDS-word shingles that then decides.
-WORD_BITS, WORDS, SIMILAR = 6, 5, 0.8
+#: Similarity of the sets of WORDS-word shingles from which two documents are near copies.
+WORDS, SIMILAR = 5, 0.8
+#: Documents that tell which shingles are frequent, in how many of them one must be, and how many such shingles are kept.
+SAMPLE, OFTEN, FREQUENT = 10_000, 3, 50_000
+
+
+def _shingle_set(text: bytes | None) -> np.ndarray:
+    return np.unique(np.array([xxhash.xxh64_intdigest(x) for x in shingles(text or b"", WORDS)], np.uint64))
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [np.unique(np.array([xxhash.xxh64_intdigest(x) for x in shingles(t or b"", WORDS)], np.uint64)).view(np.int64).tolist() for t in batch.column("text").to_pylist()]
+        sets = [_shingle_set(t).view(np.int64).tolist() for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sets, pa.list_(pa.int64()))], ["row", "grams"])
 
 
+def _frequent(texts: DataFrame) -> np.ndarray:
+    """Shingles of several sampled documents, rarer ones first. They only order the prefixes: any order finds every pair."""
+    part = max(1, texts.count() // SAMPLE)
+    some = texts.where(F.pmod(F.xxhash64("row"), F.lit(part)) == 0).mapInArrow(_shingle_sets, "row long, grams array<long>")
+    counts = some.select(F.explode("grams").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    return counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()["h"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
+
+
+def _prefixes(frequent: np.ndarray):
+    """Size and digest of a document's set, and its first shingles: two sets that are similar enough share one of these, as all sets are put in the same order."""
+    order = np.argsort(frequent)
+    known = frequent[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, digests, firsts = [], [], []
+            for text in batch.column("text").to_pylist():
+                grams = _shingle_set(text)
+                place = np.zeros(len(grams), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+                    place = np.where(known[at] == grams, order[at] + 1, 0)
+                long = len(grams) - int(np.ceil(SIMILAR * len(grams) - 1e-6)) + 1
+                sizes.append(len(grams))
+                digests.append(xxhash.xxh3_128_digest(grams.tobytes()))
+                firsts.append(grams[np.lexsort((grams, place))[:long]].view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], ["row", "n", "digest", "firsts"])
+
+    return run
+
+
+def _may_reach(a_n: Column, a_pos: Column, b_n: Column, b_pos: Column) -> Column:
+    """False if sets of these sizes whose first common shingle is at these places (from 0) can't be similar enough."""
+    return F.least(a_n - a_pos, b_n - b_pos) >= SIMILAR / (1 + SIMILAR) * (a_n + b_n) - 1e-6
+
+
 def similar_pairs(pairs: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFrame:
     """The pairs (a, b) of rows whose sets of shingles have at least that Jaccard similarity; two without words do. texts: (row, text as bytes)."""
     wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "wanted")
@@ -225,24 +263,41 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, least: float = SIMILAR) ->
     return both.where(shared >= F.lit(least) * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def drop_near_copies(docs: DataFrame, most: int = WORD_BITS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def near_links(sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Columns a, b: links that connect all rows whose sets of shingles are similar enough, by all pairs that share a prefix shingle.
+
+    sets: (row, n, firsts) of distinct sets; texts: (row, text as bytes). The first row of each shingle is compared with
+    its others, then all those that this has not connected yet are compared with each other.
+    """
+    entries = sets.where("n > 0").select("row", "n", F.posexplode("firsts").alias("pos", "h"))
+    same = Window.partitionBy("h")
+    shared = stage(entries.select("*", F.count("*").over(same).alias("many"), F.min(F.struct("row", "n", "pos")).over(same).alias("head")).where("many > 1").drop("many"), "shared-shingles")
+    starry = shared.where((F.col("row") != F.col("head.row")) & _may_reach(F.col("n"), F.col("pos"), F.col("head.n"), F.col("head.pos")))
+    stars = stage(similar_pairs(stage(starry.select(F.col("head.row").alias("a"), F.col("row").alias("b")).distinct(), "near-stars"), texts), "near-star-links")
+    roots = stage(shared.select("row", "n", "pos", "h").join(components(stars).select(F.col("a").alias("row"), F.col("b").alias("root")), "row", "left").withColumn("root", F.coalesce("root", "row")), "near-roots")
+    x, y = roots.alias("x"), roots.alias("y")
+    open_ = (F.col("x.h") == F.col("y.h")) & (F.col("x.row") < F.col("y.row")) & (F.col("x.root") != F.col("y.root"))
+    rest = x.join(y, open_ & _may_reach(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))).select(F.col("x.row").alias("a"), F.col("y.row").alias("b"))
+    return stars.unionByName(similar_pairs(stage(rest.distinct(), "near-pairs"), texts))
+
+
+def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Rows of docs with all columns, one of each group of near copies: the one with the smallest id, null ids last.
 
-    Candidates are documents whose fingerprints of distinct words, which an edit changes less than it does shingles, are
-    linked or equal; pairs with SIMILAR of their shingles in common are near copies. Of documents without words one
+    Groups are the components of all pairs with SIMILAR of their distinct shingles in common. Rows with one set of
+    shingles are copies and only the first of them is compared with others. Of documents without words one
     stays. Repeated rows are copies. An empty table gives no rows.
     """
     staged = stage(docs.withColumn("__row__", row_id()), "near-input")
-    ids = staged.select(F.col("__row__").alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    marked = stage(fingerprints(ids, distinct_words, keep=("row", "doc_id")), "near-fingerprints")
+    ids = staged.select(F.col("__row__").alias("row"), F.col(doc_id).cast("long").alias("doc_id"))
+    texts = staged.select(F.col("__row__").alias("row"), F.encode(F.col(text).cast("string"), "UTF-8").alias("text"))
+    sets = stage(texts.mapInArrow(_prefixes(_frequent(texts)), "row long, n int, digest binary, firsts array<long>"), "near-sets")
+    groups = stage(sets.groupBy("digest").agg(F.min("row").alias("head"), F.count("*").alias("rows")).where("rows > 1"), "near-groups")
+    equal = stage(attach(sets.select("row", "digest"), groups, "digest", "rows", sets.count()).where("row <> head").select(F.col("row").alias("a"), F.col("head").alias("b")), "near-equal")
+    found = near_links(sets.join(short(equal.select(F.col("a").alias("row"))), "row", "left_anti"), texts)
+    joined = components(found.unionByName(equal))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
-    groups = stage(marked.groupBy("fp").agg(first.alias("first"), F.count("*").alias("n")).select("fp", F.col("first.row").alias("head"), "n"), "near-groups")
-    heads = groups.select("fp", "head")
-    linked = links(groups.select("fp"), most).join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    equal = attach(marked.select("row", "fp"), groups, "fp", "n", marked.count()).where("row <> head").select(F.col("row").alias("a"), F.col("head").alias("b"))
-    pairs = stage(linked.unionByName(equal).where("a <> b").distinct(), "near-pairs")
-    joined = components(similar_pairs(pairs, ids.select("row", F.encode("text", "UTF-8").alias("text"))))
-    members = joined.select(F.col("a").alias("row"), F.col("b").alias("root")).unionByName(joined.select(F.col("b").alias("row"), F.col("b").alias("root")).distinct()).join(marked.select("row", "doc_id"), "row")
+    members = joined.select(F.col("a").alias("row"), F.col("b").alias("root")).unionByName(joined.select(F.col("b").alias("row"), F.col("b").alias("root")).distinct()).join(ids, "row")
     kept = members.groupBy("root").agg(first.alias("x")).select(F.col("x.row").alias("row"))
     gone = stage(members.select("row").join(kept, "row", "left_anti").select(F.col("row").alias("__row__")), "near-copies")
     return staged.join(short(gone), "__row__", "left_anti").select(*docs.columns)
