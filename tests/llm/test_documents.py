@@ -150,6 +150,24 @@ def test_cube_keeps_totals():
         assert set(p) <= {0.0, 1.0} and abs(p @ size - want) <= 5
 
 
+def test_every_source_lands(spark, monkeypatch):
+    """A source of many blocks, small ones of one, each with a document as long as many others: all land near their targets."""
+    monkeypatch.setattr(mixing, "BLOCK", 32)
+    draw = np.random.default_rng(6)
+    rows = [(s, 200 if k == 0 else int(draw.integers(1, 30))) for s, n in (("large", 300), *[(f"small{j}", 28) for j in range(8)], *[(f"middle{j}", 90) for j in range(4)]) for k in range(n)]
+    table = spark.createDataFrame([(i, " ".join(["x"] * n), s) for i, (s, n) in enumerate(rows)], "doc_id long, text string, source string")
+    for seed in (0, 1):
+        out = mixing.mix(table, weights=(1,), share=0.5, seed=seed).collect()
+        assert len(out) == len(rows)
+        taken, goal, size = Counter(), {}, {}
+        for r in out:
+            taken[r.source] += r.size * r.copies
+            goal[r.source], size[r.source] = r.target, r.source_size
+        for s in goal:
+            if goal[s] < size[s]:
+                assert abs(taken[s] - goal[s]) <= 10, s
+
+
 def fingerprints_by_hand(rows):
     out = []
     for i, t in rows:

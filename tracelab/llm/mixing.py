@@ -3,7 +3,8 @@
 A source whose target is r times its size takes every document floor(r) times and a sample of them once more,
 with inclusion probability r - floor(r). The sample is balanced on words and on documents: within blocks of bounded
 size, probabilities move along the null space of both totals until at most two of a block are undecided; those meet
-in fewer blocks, level by level, until at most two of a source are left, which land where the total is nearest.
+in fewer blocks, level by level, until at most two of a source are left, which land where the total is nearest. A source
+lands in the level in which it has one block. Some decided documents of each block go along, so that they can still change sides there.
 Blocks, order and draws follow from document ids and texts alone, so reruns agree whatever the partitioning.
 """
 
@@ -21,6 +22,8 @@ from tracelab.llm.common import n_words, row_id, stage
 #: Weights of sources in their order, share of all words that the mix has, most times that a source is read.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 BLOCK, FLIPS = 4096, 64
+#: Decided documents of a block that go on to the next level.
+CARRIED = 256
 _EDGE = 1e-9
 
 
@@ -85,16 +88,29 @@ def _land(p: np.ndarray, size: np.ndarray, want: float) -> None:
         p[k] = 1 - p[k]
 
 
-def _block(seed: int, level: int, last: bool):
+def _going(p: np.ndarray, n: int) -> np.ndarray:
+    """The undecided, and at most n decided of either kind. Rows are sorted by size: the largest, to make up for a long document, and others spread evenly down to the last."""
+    go = (p > 0) & (p < 1)
+    for side in (0, 1):
+        some = np.flatnonzero(p == side)
+        many = min(n, len(some))
+        spread = len(some) - 1 - np.linspace(0, len(some) - 1, many - many // 2).astype(int)
+        go[some[: many // 2]] = True
+        go[some[spread]] = True
+    return go
+
+
+def _block(seed: int, level: int, carried: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "key", "row"], ascending=[False, True, True])  # what is left at the end is small
         p, size = rows["p"].to_numpy(float, copy=True), rows["size"].to_numpy(float)
         name = f"{seed}/{level}/{rows['rank'].iloc[0]}/{rows['block'].iloc[0]}"
         want = float(p @ size)
         _fly(p, size, np.random.default_rng(zlib.crc32(name.encode())))
-        if last:
-            _land(p, size, want)
-        return rows.assign(p=p)
+        if rows["blocks"].iloc[0] > 1:
+            return rows.assign(p=p, go=_going(p, carried // 2))
+        _land(p, size, want)
+        return rows.assign(p=p, go=False)
 
     return run
 
@@ -122,16 +138,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     todo = units.join(F.broadcast(table), units["source"].eqNullSafe(table["source"])).select(units["*"], "rank", "p", "blocks")
     done, level = None, 0
     most_blocks = max([1, *(x[-1] for x in plan)])
+    carried = min(CARRIED, BLOCK // 2 - 2)  # blocks must become fewer
     while True:
-        last = most_blocks == 1
         blocks = todo.withColumn("block", F.pmod(F.xxhash64("key", F.lit(level)), F.col("blocks"))).select("row", "size", "key", "rank", "p", "blocks", "block")
-        moved = stage(blocks.groupBy("rank", "block").applyInPandas(_block(seed, level, last), blocks.schema), f"cube-{level}")
-        settled = moved.where("p = 0 or p = 1").select("row", F.col("p").cast("int").alias("taken"))
+        moved = stage(blocks.groupBy("rank", "block").applyInPandas(_block(seed, level, carried), blocks.withColumn("go", F.lit(True)).schema), f"cube-{level}")
+        settled = moved.where("not go").select("row", F.col("p").cast("int").alias("taken"))
         done = settled if done is None else done.unionByName(settled)
-        if last:
+        if most_blocks == 1:
             break
-        todo = moved.where("p > 0 and p < 1").withColumn("blocks", F.ceil(F.col("blocks") * 2 / BLOCK))
-        most_blocks, level = -(-most_blocks * 2 // BLOCK), level + 1
+        todo = moved.where("go").drop("go").withColumn("blocks", F.ceil(F.col("blocks") * (2 + carried) / BLOCK))
+        most_blocks, level = -(-most_blocks * (2 + carried) // BLOCK), level + 1
     facts = F.broadcast(table.drop("p", "blocks", "rank"))
     out = units.join(facts, units["source"].eqNullSafe(facts["source"])).select(units["*"], "source_size", "target", "sure")
     return out.join(done, "row").select("row", "doc_id", "source", "size", "source_size", "target", (F.col("sure") + F.col("taken")).alias("copies"))
