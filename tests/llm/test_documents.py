@@ -278,6 +278,16 @@ def test_near_copies_in_full_buckets(spark, monkeypatch):
     assert {r.doc_id for r in simhash.drop_near_copies(table).collect()} == near_groups_by_hand(texts)
 
 
+def test_near_copies_of_one_set_of_words(spark):
+    """The first document of a set of words may be unlike the others, which are still compared with each other and with those of other sets."""
+    draw = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(60)]
+    mixed = [str(x) for x in draw.permutation(words)]
+    texts = [(0, " ".join(mixed)), (1, " ".join(words)), (2, " ".join([*words, "w7"])), (3, " ".join([*mixed[30:], *mixed[:30]])), (4, " ".join([*words, "other"])), (5, " ".join([*mixed[31:], *mixed[:30], "other", mixed[30]]))]
+    kept = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)).collect()}
+    assert kept == near_groups_by_hand(texts) == {0, 1}
+
+
 def test_frequent_shingles_only_order_the_prefixes(spark, monkeypatch):
     draw = np.random.default_rng(4)
     texts = list(enumerate(t for length, slots in ((120, 8), (60, 5)) for t in template_family(draw, 40, length, slots)))

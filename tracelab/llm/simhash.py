@@ -212,10 +212,23 @@ def _shingle_set(text: bytes | None) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(x) for x in shingles(text or b"", WORDS)], np.uint64))
 
 
-def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    """A column of lists of longs, without an object for each number."""
+    ends = np.cumsum([0, *(len(x) for x in arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).view(np.int64)))
+
+
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, as shingles take more room than their texts."""
     for batch in batches:
-        sets = [_shingle_set(t).view(np.int64).tolist() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sets, pa.list_(pa.int64()))], ["row", "grams"])
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _few(batches):
+        sets = [_shingle_set(t) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), _lists(sets)], ["row", "grams"])
 
 
 def _frequent(texts: DataFrame) -> np.ndarray:
@@ -232,7 +245,7 @@ def _prefixes(frequent: np.ndarray):
     known = frequent[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             sizes, digests, firsts = [], [], []
             for text in batch.column("text").to_pylist():
                 grams = _shingle_set(text)
@@ -243,8 +256,8 @@ def _prefixes(frequent: np.ndarray):
                 long = len(grams) - int(np.ceil(SIMILAR * len(grams) - 1e-6)) + 1
                 sizes.append(len(grams))
                 digests.append(xxhash.xxh3_128_digest(grams.tobytes()))
-                firsts.append(grams[np.lexsort((grams, place))[:long]].view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], ["row", "n", "digest", "firsts"])
+                firsts.append(grams[np.lexsort((grams, place))[:long]])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), _lists(firsts)], ["row", "n", "digest", "firsts"])
 
     return run
 
