@@ -49,3 +49,10 @@ def test_plans_are_distributed(spark):
         assert "CartesianProduct" not in plan, name
         for line in plan.splitlines():
             assert not ("Window" in line and "SinglePartition" in line), name
+
+
+def test_composites_are_of_all_jobs(spark):
+    """Submissions outside b2_trace_window's window have parts and edges too."""
+    inside = {r.job for r in QUERIES["b2_trace_window"](spark, SF).select("job").distinct().collect()}
+    for name in ("b10_expand_composites", "b12_rewire_composites"):
+        assert {r.job for r in QUERIES[name](spark, SF).select("job").distinct().collect()} - inside, name

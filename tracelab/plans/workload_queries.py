@@ -64,9 +64,9 @@ def b5_select_flavored_jobs(spark: SparkSession, sf: str) -> DataFrame:
     return out.where("ordinal is not null").groupBy(F.floor(F.col("ordinal") / 100).alias("block")).agg(F.count("*").alias("jobs"), F.count_if("flavored").alias("flavored"))
 
 
-def _flavored(spark: SparkSession, sf: str) -> DataFrame:
-    jobs = workload.select_flavored_jobs(workload.job_header(_window(spark, sf)), 0.5, 0).select("job", "flavored")
-    return workload.select_flavored_tgs(_window(spark, sf).join(jobs, "job"), 0.5)
+def _flavored(rows: DataFrame) -> DataFrame:
+    jobs = workload.select_flavored_jobs(workload.job_header(rows), 0.5, 0).select("job", "flavored")
+    return workload.select_flavored_tgs(rows.join(jobs, "job"), 0.5)
 
 
 @query(
@@ -100,14 +100,14 @@ def b9_switch_resources(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", *[F.col("r")[k].alias(f"r{k}") for k in range(3)])
 
 
-def parts(spark: SparkSession, sf: str) -> DataFrame:
-    typed = workload.assign_inc_type(_flavored(spark, sf), TYPES)
+def parts(rows: DataFrame) -> DataFrame:
+    typed = workload.assign_inc_type(_flavored(rows), TYPES)
     scaled = workload.scale_resources(workload.reduce_by_kappa(typed, 0.85, 0.8), 1000)
     return workload.flavor_bits(workload.expand_composites(scaled.where("reason is null"), MOST))
 
 
 def b10_expand_composites(spark: SparkSession, sf: str) -> DataFrame:
-    return parts(spark, sf).select("job", "task_group", "part", "part_name", "parent", "is_switch", "tasks", "part_duration")
+    return parts(_units(spark, sf)).select("job", "task_group", "part", "part_name", "parent", "is_switch", "tasks", "part_duration")
 
 
 query()(b10_expand_composites)
@@ -119,9 +119,9 @@ def b11_flavor_bits(spark: SparkSession, sf: str) -> DataFrame:
     return workload.flavor_bits(rows).select("job", "task_group", F.col("in_option")[0].alias("inc_bit"), F.col("not_in_option")[0].alias("server_bit"))
 
 
-def _edges(spark: SparkSession, sf: str) -> DataFrame:
+def _edges(rows: DataFrame) -> DataFrame:
     """Edges between consecutive groups of a job."""
-    rows = _window(spark, sf).select("job", "task_group")
+    rows = rows.select("job", "task_group")
     n = F.regexp_extract("task_group", "([0-9]+)", 1).cast("int")
     return rows.select("job", F.col("task_group").alias("src"), F.concat(F.lit("tg-T"), (n + 1).cast("string")).alias("dst")).join(rows.select("job", F.col("task_group").alias("dst")), ["job", "dst"])
 
@@ -130,11 +130,12 @@ def _edges(spark: SparkSession, sf: str) -> DataFrame:
 def b12_rewire_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Without flavors, the trace's edges as they are."""
     rows = _window(spark, sf).withColumns({"tg_flavored": F.lit(False), "inc_type": F.lit(None).cast("string"), "part": F.lit("server"), "part_name": F.col("task_group"), "parent": F.lit(None).cast("string"), "is_switch": F.lit(False)})
-    return workload.rewire_edges(_edges(spark, sf), rows).select("job", "src", "dst")
+    return workload.rewire_edges(_edges(_window(spark, sf)), rows).select("job", "src", "dst")
 
 
 def b12_rewire_composites(spark: SparkSession, sf: str) -> DataFrame:
-    return workload.rewire_edges(_edges(spark, sf), parts(spark, sf))
+    rows = _units(spark, sf)
+    return workload.rewire_edges(_edges(rows), parts(rows))
 
 
 query()(b12_rewire_composites)
@@ -148,11 +149,11 @@ def b13_global_ordinal(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"with {WINDOW} select job, rule, count(*) as rows from (select job, 'longer than the original' as rule from win where duration % 7000 = 0) group by 1, 2", "task_rows")
 def b14_check_jobs(spark: SparkSession, sf: str) -> DataFrame:
     """Violations of a workload in which groups of some durations were made longer: those, and no others."""
-    made = parts(spark, sf)
+    made = parts(_window(spark, sf))
     plain = _window(spark, sf).withColumns({"tg_flavored": F.lit(False), "part": F.lit("server"), "part_name": F.col("task_group"), "is_switch": F.lit(False), "tasks": F.lit(1), "part_resources": F.array(F.lit(1)), "in_option": F.array().cast("array<int>"), "not_in_option": F.array().cast("array<int>")})
     plain = plain.withColumn("part_duration", F.col("duration") + F.when(F.col("duration") % 7000 == 0, 1).otherwise(0))
-    right = workload.check_jobs(made, workload.rewire_edges(_edges(spark, sf).join(made.select("job").distinct(), "job", "left_semi"), made)).where("rule <> 'edge to nowhere'")
-    wrong = workload.check_jobs(plain, _edges(spark, sf))
+    right = workload.check_jobs(made, workload.rewire_edges(_edges(_window(spark, sf)).join(made.select("job").distinct(), "job", "left_semi"), made)).where("rule <> 'edge to nowhere'")
+    wrong = workload.check_jobs(plain, _edges(_window(spark, sf)))
     return wrong.unionByName(right).groupBy("job", "rule").agg(F.count("*").alias("rows"))
 
 
