@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +17,29 @@ WORD = "[^ \\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the session names none (tests), a new local one is set."""
+    """The folder that driver and executors share, as the session names it. A session on one machine that names none has a local one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    if at:
+        return at.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _local_dir(spark.sparkContext.applicationId)
+
+
+@lru_cache(maxsize=None)
+def _local_dir(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-")
+
+
+_cached: dict[str, dict] = {}
+
+
+def cache(operator: str) -> dict:
+    """What a Python worker keeps for an operator between batches and tasks. Only the last operator's is held: workers are used again by later stages."""
+    if operator not in _cached:
+        _cached.clear()
+        _cached[operator] = {}
+    return _cached[operator]
 
 
 _tracked: list[str] | None = None
@@ -65,6 +83,14 @@ def row_id() -> Column:
     return F.monotonically_increasing_id()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that starts so and that no column has, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def n_words(text: Column) -> Column:
     """Number of words, counted where one begins, without making an array of them. Null has none."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")

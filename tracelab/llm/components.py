@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelab.llm.common import stage
+from tracelab.llm.common import attach, stage
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Hooks neighbours to the smallest node around: larger neighbours in a large star, the others in a small one."""
+def _star(edges: DataFrame, total: int, large: bool) -> DataFrame:
+    """Hooks neighbours to the smallest node around: larger neighbours in a large star, the others in a small one.
+
+    A node with many edges is no hot key: what all its edges are told goes to them by `attach`.
+    """
     if large:
         around = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        out = around.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        out = attach(around.where("b > a"), least, "a", "n", 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        out = moved.unionByName(least.withColumnRenamed("m", "b"))
+        least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        moved = attach(edges, least, "a", "n", total).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        out = moved.unionByName(least.select("a", F.col("m").alias("b")))
     return out.where("a > b").distinct()
 
 
@@ -28,10 +31,11 @@ def components(edges: DataFrame) -> DataFrame:
     Each round is staged; there are about log(n) of them.
     """
     now = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
-    seen = None
-    while True:
-        now = stage(_star(_star(now, large=True), large=False), "stars")
+    seen, total = None, now.count()
+    while total:
+        now = stage(_star(_star(now, total, large=True), total, large=False), "stars")
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
-            return now
-        seen = mark
+            break
+        seen, total = mark, mark[0]
+    return now

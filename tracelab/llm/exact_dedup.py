@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelab.llm.common import SPACE, attach, row_id, scratch, shuffle_partitions, stage
+from tracelab.llm.common import SPACE, attach, free_name, row_id, scratch, shuffle_partitions, stage
 
 
 def digest(text: Column) -> Column:
@@ -69,14 +69,15 @@ def ingest(docs: DataFrame, index: DigestIndex, batch: str, text: str = "text",
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs that stay, with all their columns, by a new index. docs is staged so that rows keep their ids."""
     spark = docs.sparkSession
-    staged = stage(docs.withColumn("__row__", row_id()), "exact-input")
-    rows = staged.select(F.col("__row__").alias("row"), F.col(doc_id).cast("long").alias("doc_id"), digest(F.col(text)).alias("digest"))
+    row = free_name(docs, "row")
+    staged = stage(docs.withColumn(row, row_id()), "exact-input")
+    rows = staged.select(F.col(row).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), digest(F.col(text)).alias("digest"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
     index = DigestIndex.open(spark, scratch(spark, "index"))
     groups = rows.groupBy("digest").agg(first.alias("first"))
     fresh = stage(groups.join(index.read().hint("merge"), "digest", "left_anti"), "fresh")
     index.append(fresh.select("digest", F.col("first.doc_id").alias("first_id"), F.lit("0").alias("batch")))
-    return staged.join(fresh.select(F.col("first.row").alias("__row__")), "__row__", "left_semi").select(*docs.columns)
+    return staged.join(fresh.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelab.llm.common import n_words, row_id, stage
+from tracelab.llm.common import free_name, n_words, row_id, stage
 
 #: Weights of sources in their order, share of all words that the mix has, most times that a source is read.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
@@ -154,11 +154,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with all columns of docs."""
-    staged = stage(docs.withColumn("__row__", row_id()), "mix-input")
-    copies = mix(staged, row="__row__", **how).where("copies > 0").select(F.col("row").alias("__row__"), "copies")
-    often = staged.join(copies, "__row__").select(*docs.columns, F.explode(F.expr("sequence(1, copies)")).alias("_copy"))
-    return often.select(*docs.columns)
+    """The documents of the mix, each as often as it is taken, with all columns of docs, whatever their names. Otherwise like mix()."""
+    row, times = free_name(docs, "row"), free_name(docs, "copies")
+    staged = stage(docs.withColumn(row, row_id()), "mix-input")
+    copies = mix(staged, row=row, **how).where("copies > 0").select(F.col("row").alias(row), F.col("copies").alias(times))
+    often = F.explode(F.sequence(F.lit(1), F.col(times))).alias(free_name(docs, "copy"))
+    return staged.join(copies, row).select(*docs.columns, often).select(*docs.columns)
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

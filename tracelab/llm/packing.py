@@ -17,19 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelab.llm.common import row_id, shuffle_partitions, stage
+from tracelab.llm.common import cache, row_id, shuffle_partitions, stage
 from tracelab.llm.tokenizer import encode_pieces, load, split, vocabulary_path
 
 LENGTH, END = 2048, 0
-#: Pre-tokens whose ids a worker keeps at hand, the first that it meets, and the longest it keeps: at most about 250 MB.
-CACHE, CACHE_CHARS = 1_000_000, 48
-_ids: dict[str, bytes] = {}
+#: Pre-tokens whose ids a worker keeps at hand, the first that it meets, and the longest it keeps: at most about 60 MB.
+CACHE, CACHE_CHARS = 250_000, 48
 
 
 def _document_ids(path: str, texts: list[str]) -> Iterator[bytes]:
     """Ids of each text, four bytes each."""
-    tokenizer, cuts = load(path), [split(x) for x in texts]
-    found = [list(map(_ids.get, rest)) for _, rest in cuts]
+    tokenizer, cuts, kept = load(path), [split(x) for x in texts], cache("packing")
+    found = [list(map(kept.get, rest)) for _, rest in cuts]
     new = list({x for (_, rest), ids in zip(cuts, found, strict=True) if None in ids for x, y in zip(rest, ids, strict=True) if y is None})
     now = dict(zip(new, encode_pieces(path, new), strict=True))
     heads = tokenizer.encode_batch_fast([head for head, _ in cuts], add_special_tokens=False)
@@ -37,10 +36,10 @@ def _document_ids(path: str, texts: list[str]) -> Iterator[bytes]:
         if None in ids:
             ids = [now[x] if y is None else y for x, y in zip(rest, ids, strict=True)]
         yield np.asarray(head.ids, "<u4").tobytes() + b"".join(ids)
-    if len(_ids) >= CACHE and 2 * len(new) > sum(len(rest) for _, rest in cuts):
-        _ids.clear()  # another kind of text
-    if len(_ids) < CACHE:
-        _ids.update((k, v) for k, v in now.items() if len(k) <= CACHE_CHARS)
+    if len(kept) >= CACHE and 2 * len(new) > sum(len(rest) for _, rest in cuts):
+        kept.clear()  # another kind of text
+    if len(kept) < CACHE:
+        kept.update((k, v) for k, v in now.items() if len(k) <= CACHE_CHARS)
 
 
 def _pieces(path: str, length: int, end: int):

@@ -16,23 +16,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelab.llm.common import stage
+from tracelab.llm.common import cache, free_name, stage
 
 #: Buckets of the models, pseudo-counts that pull the target model to the raw one, labelled documents that are read at most.
 BUCKETS, PRIOR, SAMPLE = 1 << 13, 1 << 18, 20_000
+#: Tokens whose hashes a worker keeps at hand.
+KNOWN = 200_000
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
-_KNOWN: dict[str, int] = {}
 
 
 def _buckets(text: str) -> np.ndarray:
     """Buckets of the 1- and 2-grams of lower-cased words and runs of punctuation."""
-    if len(_KNOWN) > 400_000:
-        _KNOWN.clear()
+    known = cache("quality")
+    if len(known) > KNOWN:
+        known.clear()
     ids = np.empty(0, np.uint32)
     if tokens := _TOKEN.findall(text):
-        for x in [x for x in set(tokens) if x not in _KNOWN]:
-            _KNOWN[x] = zlib.crc32(x.lower().encode("utf-8", "replace"))
-        ids = np.fromiter(map(_KNOWN.__getitem__, tokens), np.uint32, len(tokens))
+        for x in [x for x in set(tokens) if x not in known]:
+            known[x] = zlib.crc32(x.lower().encode("utf-8", "replace"))
+        ids = np.fromiter(map(known.__getitem__, tokens), np.uint32, len(tokens))
     pairs = ids[:-1] * np.uint32(2654435761) + ids[1:] * np.uint32(40503) + np.uint32(1)
     return np.concatenate([ids * np.uint32(2246822519), pairs]) >> np.uint32(32 - BUCKETS.bit_length() + 1)
 
@@ -119,8 +121,9 @@ def sampled_share(labels: DataFrame) -> float:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are sampled, with all their columns. Null and empty texts have weight 0. An empty table gives no rows."""
     ratios = log_ratios(docs, labels.where("quality = 1"))
-    rows = stage(scored(docs, ratios, weight="__weight__", key="__key__"), "quality")
-    return rows.where(F.col("__key__") >= F.lit(threshold(rows, sampled_share(labels), "__key__"))).select(*docs.columns)
+    weight, key = free_name(docs, "log_weight"), free_name(docs, "key")
+    rows = stage(scored(docs, ratios, weight=weight, key=key), "quality")
+    return rows.where(F.col(key) >= F.lit(threshold(rows, sampled_share(labels), key))).select(*docs.columns)
 
 
 def op2_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,17 +13,17 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracelab.llm.common import attach, row_id, short, stage
+from tracelab.llm.common import attach, free_name, row_id, short, stage
 from tracelab.llm.components import components
+from tracelab.llm.rolling import Rolling
 
 BITS, SEED = 64, 42
-#: In a fuller bucket, comparing all pairs costs more than the ways around it below.
+#: In a fuller bucket, comparing all pairs costs more than the way around it below.
 FULL = 128
 
 
@@ -139,27 +139,6 @@ def _near(a: Column, b: Column, most: int) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= most
 
 
-def _forest(most: int):
-    """Links of a full bucket that connect what is linked in it, at most one a member and radius: each member in turn takes all that are near and still free."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = [], []
-        for bits in sorted({*range(2, most, 2), most}):  # closer ones first: a check may follow
-            free = np.unique(rows["fp"].to_numpy(np.int64)).view(np.uint64)
-            while len(free):
-                queue, free = [free[0]], free[1:]
-                while queue and len(free):
-                    one = queue.pop()
-                    near = np.bitwise_count(free ^ one) <= bits
-                    found, free = free[near], free[~near]
-                    a += [one] * len(found)
-                    b += found.tolist()
-                    queue += list(found)
-        return pd.DataFrame({"a": np.array(a, np.uint64).view(np.int64), "b": np.array(b, np.uint64).view(np.int64)})
-
-    return run
-
-
 def _balls(members: DataFrame) -> DataFrame:
     """Links of fingerprints within 2 bits, by the values that are at most one bit from both: no value has over 65 around it."""
     flips = np.array([0, *(1 << k for k in range(BITS))], np.uint64).view(np.int64).tolist()
@@ -171,8 +150,8 @@ def _balls(members: DataFrame) -> DataFrame:
 def links(fps: DataFrame, most: int) -> DataFrame:
     """Columns a, b: links between distinct fingerprints (column fp, staged) that differ in at most `most` bits, enough to connect all that are linked.
 
-    Buckets of up to FULL members give every linked pair. Fuller ones, where pairs would grow with the square, give
-    links with the same components: by values one bit from both for 2 bits, else by growing trees in the bucket.
+    Within 2 bits, buckets of over FULL members, where pairs would grow with the square, give links with the same
+    components by values one bit from both. With more bits every linked pair is given, whatever a bucket's size.
     """
     n = fps.count()
     cells = fps.select("fp").mapInArrow(_bit_counts, "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
@@ -180,15 +159,13 @@ def links(fps: DataFrame, most: int) -> DataFrame:
     together[cells["cell"]] = cells["n"]
     parts = allocate(together.reshape(BITS, BITS), max(1, n), most)
     index, probe = _keys(fps, parts, probe=False), _keys(fps, parts, probe=True)
+    near = lambda some: some.withColumnRenamed("fp", "a").join(probe.withColumnRenamed("fp", "b"), ["part", "z"]).where((F.col("a") < F.col("b")) & _near(F.col("a"), F.col("b"), most)).select("a", "b").distinct()
+    if most > 2:
+        return near(index)
     sizes = stage(index.groupBy("part", "z").agg(F.count("*").alias("n")).where("n > 1 or " + ("false" if all(t == 0 for _, t in parts) else "true")), "buckets")
-    small = index.join(sizes.where(F.col("n") <= FULL).select("part", "z"), ["part", "z"])
-    pairs = small.withColumnRenamed("fp", "a").join(probe.withColumnRenamed("fp", "b"), ["part", "z"])
-    out = pairs.where((F.col("a") < F.col("b")) & _near(F.col("a"), F.col("b"), most)).select("a", "b").distinct()
     full = sizes.where(F.col("n") > FULL).select("part", "z")
     members = index.unionByName(probe).join(full, ["part", "z"], "left_semi")
-    if most <= 2:
-        return out.unionByName(_balls(members.select("fp").distinct()))
-    return out.unionByName(members.distinct().groupBy("part", "z").applyInPandas(_forest(most), "a long, b long"))
+    return near(index.join(sizes.where(F.col("n") <= FULL).select("part", "z"), ["part", "z"])).unionByName(_balls(members.select("fp").distinct()))
 
 
 def near_groups(rows: DataFrame, most: int, doc_id: str = "doc_id") -> DataFrame:
@@ -197,8 +174,8 @@ def near_groups(rows: DataFrame, most: int, doc_id: str = "doc_id") -> DataFrame
     linked = components(links(groups.select("fp"), most))
     roots = groups.join(linked.withColumnRenamed("a", "fp"), "fp", "left").select("fp", "first", "rows_of_fp", F.coalesce("b", "fp").alias("root"))
     roots = stage(roots, "roots")
-    ids = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = stage(roots.join(ids, "root").select("fp", "rows_of_fp", "component_id"), "classes")
+    ids = roots.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("fps"))
+    known = stage(attach(roots, ids, "root", "fps", roots.count()).select("fp", "rows_of_fp", "component_id"), "classes")
     return attach(rows, known, "fp", "rows_of_fp", rows.count()).drop("rows_of_fp")
 
 
@@ -206,16 +183,20 @@ def near_groups(rows: DataFrame, most: int, doc_id: str = "doc_id") -> DataFrame
 WORDS, SIMILAR = 5, 0.8
 #: Documents that tell which shingles are frequent, in how many of them one must be, and how many such shingles are kept.
 SAMPLE, OFTEN, FREQUENT = 10_000, 3, 50_000
+#: A shingle of so many sampled documents is hot: its rows are dealt to SALTS groups, each with its own head.
+HOT, SALTS = 10, 64
 
 
 def _shingle_set(text: bytes | None) -> np.ndarray:
-    return np.unique(np.array([xxhash.xxh64_intdigest(x) for x in shingles(text or b"", WORDS)], np.uint64))
+    """Hashes of the distinct shingles; of the whole sequence of fewer words; none without words. A-Z count as a-z."""
+    words = (text or b"").lower().split()
+    return np.unique(Rolling(words, "shingles").runs(min(WORDS, len(words)))) if words else np.empty(0, np.uint64)
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    """A column of lists of longs, without an object for each number."""
+def _lists(arrays: list[np.ndarray], kind: type = np.int64) -> pa.ListArray:
+    """A column of lists of numbers, without an object for each."""
     ends = np.cumsum([0, *(len(x) for x in arrays)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).view(np.int64)))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).view(kind)))
 
 
 def _few(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
@@ -231,33 +212,43 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("row"), _lists(sets)], ["row", "grams"])
 
 
-def _frequent(texts: DataFrame) -> np.ndarray:
-    """Shingles of several sampled documents, rarer ones first. They only order the prefixes: any order finds every pair."""
+def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of several sampled documents, rarer ones first, and in how many of them each is.
+
+    They only order the prefixes and deal out work: any order finds every pair.
+    """
     part = max(1, texts.count() // SAMPLE)
     some = texts.where(F.pmod(F.xxhash64("row"), F.lit(part)) == 0).mapInArrow(_shingle_sets, "row long, grams array<long>")
     counts = some.select(F.explode("grams").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
-    return counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()["h"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
+    found = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
+    return found["h"].to_numpy(np.int64)[::-1].copy().view(np.uint64), found["n"].to_numpy(np.int64)[::-1].copy()
 
 
-def _prefixes(frequent: np.ndarray):
-    """Size and digest of a document's set, and its first shingles: two sets that are similar enough share one of these, as all sets are put in the same order."""
+def _prefixes(frequent: np.ndarray, times: np.ndarray):
+    """Size and digest of a document's set, its first shingles, and the places of hot ones among these.
+
+    Two sets that are similar enough share one of the first shingles, as all sets are put in the same order.
+    """
     order = np.argsort(frequent)
-    known = frequent[order]
+    known, hot = frequent[order], times[order] >= HOT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _few(batches):
-            sizes, digests, firsts = [], [], []
+            sizes, digests, firsts, hots = [], [], [], []
             for text in batch.column("text").to_pylist():
                 grams = _shingle_set(text)
-                place = np.zeros(len(grams), np.int64)
+                place, is_hot = np.zeros(len(grams), np.int64), np.zeros(len(grams), bool)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-                    place = np.where(known[at] == grams, order[at] + 1, 0)
+                    same = known[at] == grams
+                    place, is_hot = np.where(same, order[at] + 1, 0), same & hot[at]
                 long = len(grams) - int(np.ceil(SIMILAR * len(grams) - 1e-6)) + 1
+                first = np.argsort(place, kind="stable")[:long]  # the set itself is sorted
                 sizes.append(len(grams))
                 digests.append(xxhash.xxh3_128_digest(grams.tobytes()))
-                firsts.append(grams[np.lexsort((grams, place))[:long]])
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), _lists(firsts)], ["row", "n", "digest", "firsts"])
+                firsts.append(grams[first])
+                hots.append(np.flatnonzero(is_hot[first]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), _lists(firsts), _lists(hots, np.int32)], ["row", "n", "digest", "firsts", "hots"])
 
     return run
 
@@ -279,13 +270,18 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, least: float = SIMILAR) ->
 def near_links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     """Columns a, b: links that connect all rows whose sets of shingles are similar enough, by all pairs that share a prefix shingle.
 
-    sets: (row, n, firsts) of distinct sets; texts: (row, text as bytes). The first row of each shingle is compared with
-    its others, then all those that this has not connected yet are compared with each other.
+    sets: (row, n, firsts, hots) of distinct sets; texts: (row, text as bytes). The first row of each shingle is compared
+    with its others, then all those that this has not connected yet are compared with each other. Rows of a hot shingle
+    are dealt to groups with a head each, and these heads are compared with the first of them.
     """
-    entries = sets.where("n > 0").select("row", "n", F.posexplode("firsts").alias("pos", "h"))
-    same = Window.partitionBy("h")
-    shared = stage(entries.select("*", F.count("*").over(same).alias("many"), F.min(F.struct("row", "n", "pos")).over(same).alias("head")).where("many > 1").drop("many"), "shared-shingles")
-    starry = shared.where((F.col("row") != F.col("head.row")) & _may_reach(F.col("n"), F.col("pos"), F.col("head.n"), F.col("head.pos")))
+    entries = sets.where("n > 0").select("row", "n", "hots", F.posexplode("firsts").alias("pos", "h")).withColumn("hot", F.array_contains("hots", F.col("pos")))
+    entries = entries.select("row", "n", "pos", "h", "hot", F.when(F.col("hot"), F.pmod(F.xxhash64("row"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt"))
+    same = Window.partitionBy("h", "salt")
+    shared = entries.select("row", "n", "pos", "h", "hot", F.count("*").over(same).alias("many"), F.min(F.struct("row", "n", "pos")).over(same).alias("head"))
+    shared = stage(shared.where("many > 1 or hot").drop("many"), "shared-shingles")
+    firsts = shared.where("hot").groupBy("h").agg(F.min("head").alias("first"))
+    heads = shared.where("hot and row = head.row").join(firsts, "h").select("row", "n", "pos", F.col("first").alias("head"))
+    starry = shared.select("row", "n", "pos", "head").unionByName(heads).where((F.col("row") != F.col("head.row")) & _may_reach(F.col("n"), F.col("pos"), F.col("head.n"), F.col("head.pos")))
     stars = stage(similar_pairs(stage(starry.select(F.col("head.row").alias("a"), F.col("row").alias("b")).distinct(), "near-stars"), texts), "near-star-links")
     roots = stage(shared.select("row", "n", "pos", "h").join(components(stars).select(F.col("a").alias("row"), F.col("b").alias("root")), "row", "left").withColumn("root", F.coalesce("root", "row")), "near-roots")
     x, y = roots.alias("x"), roots.alias("y")
@@ -294,26 +290,32 @@ def near_links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     return stars.unionByName(similar_pairs(stage(rest.distinct(), "near-pairs"), texts))
 
 
+def near_classes(texts: DataFrame) -> DataFrame:
+    """Columns a, b: the smallest row b of each row a's group of near copies, for rows that aren't the smallest themselves. texts: staged (row, text as bytes)."""
+    sets = stage(texts.mapInArrow(_prefixes(*_frequent(texts)), "row long, n int, digest binary, firsts array<long>, hots array<int>"), "near-sets")
+    groups = stage(sets.groupBy("digest").agg(F.min("row").alias("head"), F.count("*").alias("rows")).where("rows > 1"), "near-groups")
+    equal = stage(attach(sets.select("row", "digest"), groups, "digest", "rows", sets.count()).where("row <> head").select(F.col("row").alias("a"), F.col("head").alias("b")), "near-equal")
+    found = near_links(sets.join(short(equal.select(F.col("a").alias("row"))), "row", "left_anti"), texts)
+    return components(found.unionByName(equal))
+
+
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Rows of docs with all columns, one of each group of near copies: the one with the smallest id, null ids last.
 
     Groups are the components of all pairs with SIMILAR of their distinct shingles in common. Rows with one set of
-    shingles are copies and only the first of them is compared with others. Of documents without words one
-    stays. Repeated rows are copies. An empty table gives no rows.
+    shingles are copies and only the first of them is compared with others. Of documents without words (null, empty or
+    white space) one stays. Repeated rows are copies. An empty table gives no rows. Columns of any name are kept as they are.
     """
-    staged = stage(docs.withColumn("__row__", row_id()), "near-input")
-    ids = staged.select(F.col("__row__").alias("row"), F.col(doc_id).cast("long").alias("doc_id"))
-    texts = staged.select(F.col("__row__").alias("row"), F.encode(F.col(text).cast("string"), "UTF-8").alias("text"))
-    sets = stage(texts.mapInArrow(_prefixes(_frequent(texts)), "row long, n int, digest binary, firsts array<long>"), "near-sets")
-    groups = stage(sets.groupBy("digest").agg(F.min("row").alias("head"), F.count("*").alias("rows")).where("rows > 1"), "near-groups")
-    equal = stage(attach(sets.select("row", "digest"), groups, "digest", "rows", sets.count()).where("row <> head").select(F.col("row").alias("a"), F.col("head").alias("b")), "near-equal")
-    found = near_links(sets.join(short(equal.select(F.col("a").alias("row"))), "row", "left_anti"), texts)
-    joined = components(found.unionByName(equal))
+    row = free_name(docs, "row")
+    staged = stage(docs.withColumn(row, row_id()), "near-input")
+    ids = staged.select(F.col(row).alias("row"), F.col(doc_id).cast("long").alias("doc_id"))
+    texts = staged.select(F.col(row).alias("row"), F.encode(F.col(text).cast("string"), "UTF-8").alias("text"))
+    joined = near_classes(texts)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
     members = joined.select(F.col("a").alias("row"), F.col("b").alias("root")).unionByName(joined.select(F.col("b").alias("row"), F.col("b").alias("root")).distinct()).join(ids, "row")
     kept = members.groupBy("root").agg(first.alias("x")).select(F.col("x.row").alias("row"))
-    gone = stage(members.select("row").join(kept, "row", "left_anti").select(F.col("row").alias("__row__")), "near-copies")
-    return staged.join(short(gone), "__row__", "left_anti").select(*docs.columns)
+    gone = stage(members.select("row").join(kept, "row", "left_anti").select(F.col("row").alias(row)), "near-copies")
+    return staged.join(short(gone), row, "left_anti").select(*docs.columns)
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,50 +16,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelab.llm.common import attach, stage
+from tracelab.llm.rolling import Rolling
 
 WINDOW, BLOCK, GRAM = 50, 25, 8
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_KNOWN: dict[bytes, int] = {}
 _LAST = (1 << 63) - 1
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def _hashes(words: list[bytes]) -> np.ndarray:
-    if len(_KNOWN) > 500_000:
-        _KNOWN.clear()
-    for x in [x for x in set(words) if x not in _KNOWN]:
-        _KNOWN[x] = xxhash.xxh64_intdigest(x)
-    return np.fromiter(map(_KNOWN.__getitem__, words), np.uint64, len(words))
-
-
-class Rolling:
-    """Hashes of all runs of n words of a text, equal for equal runs, from one prefix sum."""
-
-    def __init__(self, words: list[bytes]):
-        self.n = len(words)
-        self.powers = _powers(_BASE, self.n + 1)
-        sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(_hashes(words) * _powers(_BACK, self.n), out=sums[1:])
-        self.sums = sums
-
-    def runs(self, n: int) -> np.ndarray:
-        h = (self.sums[n:] - self.sums[:-n]) * self.powers[: self.n - n + 1]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        return h ^ (h >> np.uint64(32))
-
-
 def _words(text: bytes | None) -> list[bytes]:
     return (text or b"").split()  # bytes split at 20 and 09 to 0D, as the contract has it
 
@@ -69,7 +35,7 @@ def _anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     if len(words) < WINDOW:
         none = np.empty(0, np.int64)
         return none, none, none, none.astype(bool)
-    grams = Rolling(words).runs(GRAM)
+    grams = Rolling(words, "substrings").runs(GRAM)
     at = np.lib.stride_tricks.sliding_window_view(grams, BLOCK - GRAM + 1).argmin(1)
     at += np.arange(len(at))
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
@@ -113,7 +79,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words = _words(text)
                 starts = _starts(spans, len(words))
                 if len(starts):
-                    for to, value in zip(out, (Rolling(words).runs(WINDOW)[starts].view(np.int64), np.full(len(starts), order), np.full(len(starts), row), starts), strict=True):
+                    for to, value in zip(out, (Rolling(words, "substrings").runs(WINDOW)[starts].view(np.int64), np.full(len(starts), order), np.full(len(starts), row), starts), strict=True):
                         to.append(value)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["h", "ord", "row", "start"])
