@@ -269,15 +269,57 @@ def template_family(draw, n, length, slots):
     return out
 
 
-def test_near_copies_in_full_buckets(spark, monkeypatch):
-    """Every pair that is similar enough counts, however full the buckets are."""
-    monkeypatch.setattr(simhash, "FULL", 4)
+def test_near_copies_in_full_buckets(spark):
+    """Every pair that is similar enough counts, however many documents share a shingle."""
     draw = np.random.default_rng(3)
     texts = list(enumerate(t for length, slots in ((120, 8), (60, 5), (300, 16), (7, 2), (3, 1)) for t in template_family(draw, 40, length, slots)))
     table = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
     assert {r.doc_id for r in simhash.drop_near_copies(table).collect()} == near_groups_by_hand(texts)
 
 
+def test_hot_shingles_are_dealt_to_groups(spark, monkeypatch):
+    """With shingles hot that are in two documents, groups of few rows have heads of their own and give the same."""
+    monkeypatch.setattr(simhash, "OFTEN", 2)
+    monkeypatch.setattr(simhash, "HOT", 2)
+    draw = np.random.default_rng(8)
+    texts = list(enumerate(t for length, slots in ((120, 8), (60, 5), (7, 2), (900, 60)) for t in template_family(draw, 40, length, slots)))
+    table = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in simhash.drop_near_copies(table).collect()} == near_groups_by_hand(texts)
+
+
+def test_parities_bound_what_differs(spark):
+    draw = np.random.default_rng(9)
+    rows = []
+    for n, m in ((1, 1), (60, 64), (60, 70), (500, 520), (500, 620), (1024, 1025)):
+        both = draw.integers(0, 1 << 63, max(n, m)).astype(np.uint64)
+        x, y = both[:n], np.unique(np.concatenate([both[: m - m // 10], draw.integers(0, 1 << 63, m // 10).astype(np.uint64)]))
+        rows.append((simhash._parities(x).view(np.int64).tolist(), simhash._parities(y).view(np.int64).tolist(), len(set(x.tolist()) ^ set(y.tolist()))))
+    table = spark.createDataFrame(rows, "x array<long>, y array<long>, unlike int")
+    found = table.select(simhash._at_least_unlike(simhash.F.col("x"), simhash.F.col("y")).alias("k"), "unlike").collect()
+    assert all(0 <= r.k <= r.unlike and (r.unlike - r.k) % 2 == 0 for r in found) and sum(r.k for r in found) > 0.5 * sum(r.unlike for r in found)
+
+
+def test_near_copies_of_sf01_are_found(spark):
+    """Of the pairs of documents divisible by 50 with any other that are 0.8 similar, by brute force, all are in one class."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text is not null").select(simhash.F.col("doc_id").alias("row"), simhash.F.encode("text", "UTF-8").alias("text"))
+    texts = stage(docs, "texts")
+    root = {r.a: r.b for r in simhash.near_classes(texts).collect()}
+    sets, where = {}, defaultdict(list)
+    for r in texts.collect():
+        w = bytes(r.text).lower().split()
+        sets[r.row] = {hash(tuple(w[k : k + 5])) for k in range(max(1, len(w) - 4))}
+        for g in sets[r.row]:
+            where[g].append(r.row)
+    pairs = 0
+    for q in (q for q in sets if q % 50 == 0):
+        shared = Counter(i for g in sets[q] for i in where[g] if i != q)
+        for i, n in shared.items():
+            if n >= 0.8 * (len(sets[q]) + len(sets[i]) - n):
+                pairs += 1
+                assert root.get(q, q) == root.get(i, i), (q, i)
+    assert pairs > 20
+
+
 def test_near_copies_of_one_set_of_words(spark):
     """The first document of a set of words may be unlike the others, which are still compared with each other and with those of other sets."""
     draw = np.random.default_rng(5)

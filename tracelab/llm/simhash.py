@@ -185,6 +185,7 @@ WORDS, SIMILAR = 5, 0.8
 SAMPLE, OFTEN, FREQUENT = 10_000, 3, 50_000
 #: A shingle of so many sampled documents is hot: its rows are dealt to SALTS groups, each with its own head.
 HOT, SALTS = 10, 64
+_ODD = 0x00F42D4C957F2D51
 
 
 def _shingle_set(text: bytes | None) -> np.ndarray:
@@ -224,8 +225,23 @@ def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return found["h"].to_numpy(np.int64)[::-1].copy().view(np.uint64), found["n"].to_numpy(np.int64)[::-1].copy()
 
 
+def _parities(grams: np.ndarray) -> np.ndarray:
+    """For each value of the hashes' low bits whether an odd number of hashes has it, in words of 64; about as many bits as there are hashes."""
+    n = max(64, 1 << max(0, len(grams) - 1).bit_length())
+    odd = np.bincount((grams & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
+
+
+def _at_least_unlike(x: Column, y: Column) -> Column:
+    """A lower bound of the number of shingles that just one of two sets has: the bits in which their parities differ. The longer ones are folded to the shorter ones' length."""
+    half = lambda v, k: F.slice(v, F.lit(1) + k * (F.size(v) / 2).cast("int"), (F.size(v) / 2).cast("int"))
+    fold = lambda v: F.zip_with(half(v, 0), half(v, 1), lambda a, b: a.bitwiseXOR(b))
+    a, b = F.when(F.size(x) > F.size(y), fold(x)).otherwise(x), F.when(F.size(y) > F.size(x), fold(y)).otherwise(y)
+    return F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
+
+
 def _prefixes(frequent: np.ndarray, times: np.ndarray):
-    """Size and digest of a document's set, its first shingles, and the places of hot ones among these.
+    """Size, digest and parities of a document's set, its first shingles, and the places of hot ones among these.
 
     Two sets that are similar enough share one of the first shingles, as all sets are put in the same order.
     """
@@ -234,7 +250,7 @@ def _prefixes(frequent: np.ndarray, times: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _few(batches):
-            sizes, digests, firsts, hots = [], [], [], []
+            sizes, digests, firsts, hots, bits = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 grams = _shingle_set(text)
                 place, is_hot = np.zeros(len(grams), np.int64), np.zeros(len(grams), bool)
@@ -248,7 +264,8 @@ def _prefixes(frequent: np.ndarray, times: np.ndarray):
                 digests.append(xxhash.xxh3_128_digest(grams.tobytes()))
                 firsts.append(grams[first])
                 hots.append(np.flatnonzero(is_hot[first]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), _lists(firsts), _lists(hots, np.int32)], ["row", "n", "digest", "firsts", "hots"])
+                bits.append(_parities(grams))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), _lists(bits), _lists(firsts), _lists(hots, np.int32)], ["row", "n", "digest", "bits", "firsts", "hots"])
 
     return run
 
@@ -258,11 +275,19 @@ def _may_reach(a_n: Column, a_pos: Column, b_n: Column, b_pos: Column) -> Column
     return F.least(a_n - a_pos, b_n - b_pos) >= SIMILAR / (1 + SIMILAR) * (a_n + b_n) - 1e-6
 
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """The pairs (a, b) of rows whose sets of shingles have at least that Jaccard similarity; two without words do. texts: (row, text as bytes)."""
-    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "wanted")
-    sets = stage(texts.join(short(wanted), "row", "left_semi").mapInArrow(_shingle_sets, "row long, grams array<long>"), "shingle-sets")
-    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("grams").alias("y")), "b")
+def similar_pairs(pairs: DataFrame, texts: DataFrame, sets: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """The pairs (a, b) of rows whose sets of shingles have at least that Jaccard similarity.
+
+    texts: (row, text as bytes); sets: (row, n, bits). Sizes of a pair differ by less than twice. Parities rule most pairs
+    out, so that whole sets are compared for few.
+    """
+    side = lambda name: sets.select(F.col("row").alias(name), F.col("n").alias(f"{name}_n"), F.col("bits").alias(f"{name}_bits"))
+    unlike = _at_least_unlike(F.col("a_bits"), F.col("b_bits"))
+    open_ = pairs.join(side("a"), "a").join(side("b"), "b").where(unlike <= F.lit((1 - least) / (1 + least)) * (F.col("a_n") + F.col("b_n")) + 1e-6).select("a", "b")
+    open_ = stage(open_, "open-pairs")
+    wanted = stage(open_.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "wanted")
+    whole = stage(texts.join(short(wanted), "row", "left_semi").mapInArrow(_shingle_sets, "row long, grams array<long>"), "shingle-sets")
+    both = open_.join(whole.select(F.col("row").alias("a"), F.col("grams").alias("x")), "a").join(whole.select(F.col("row").alias("b"), F.col("grams").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared >= F.lit(least) * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
@@ -270,29 +295,37 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, least: float = SIMILAR) ->
 def near_links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     """Columns a, b: links that connect all rows whose sets of shingles are similar enough, by all pairs that share a prefix shingle.
 
-    sets: (row, n, firsts, hots) of distinct sets; texts: (row, text as bytes). The first row of each shingle is compared
+    sets: (row, n, bits, firsts, hots) of distinct sets; texts: (row, text as bytes). The first row of each shingle is compared
     with its others, then all those that this has not connected yet are compared with each other. Rows of a hot shingle
     are dealt to groups with a head each, and these heads are compared with the first of them.
     """
-    entries = sets.where("n > 0").select("row", "n", "hots", F.posexplode("firsts").alias("pos", "h")).withColumn("hot", F.array_contains("hots", F.col("pos")))
-    entries = entries.select("row", "n", "pos", "h", "hot", F.when(F.col("hot"), F.pmod(F.xxhash64("row"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt"))
-    same = Window.partitionBy("h", "salt")
-    shared = entries.select("row", "n", "pos", "h", "hot", F.count("*").over(same).alias("many"), F.min(F.struct("row", "n", "pos")).over(same).alias("head"))
-    shared = stage(shared.where("many > 1 or hot").drop("many"), "shared-shingles")
+    entries = sets.where("n > 0").select("row", "n", "hots", F.posexplode("firsts").alias("pos", "h"))
+    # Three longs a shingle: the group that it falls to, the row, and the rest in one.
+    group = F.lit(_ODD) * F.pmod(F.xxhash64("row"), F.lit(SALTS))
+    hot = F.array_contains("hots", F.col("pos"))
+    entries = entries.select("row", F.when(hot, F.col("h").bitwiseXOR(group)).otherwise(F.col("h")).alias("g"), (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos") * 2 + hot.cast("int")).alias("rest"))
+    same = Window.partitionBy("g")
+    grouped = entries.select("row", "g", "rest", F.count("*").over(same).alias("many"), F.min(F.struct("row", "rest")).over(same).alias("head"))
+    n, pos, is_hot = (lambda c: F.shiftright(c, 32).cast("int")), (lambda c: (F.shiftright(c, 1).bitwiseAND(F.lit((1 << 31) - 1))).cast("int")), F.col("rest") % 2 == 1
+    shared = grouped.where((F.col("many") > 1) | is_hot).select(
+        "row", n(F.col("rest")).alias("n"), pos(F.col("rest")).alias("pos"), F.when(is_hot, F.col("g").bitwiseXOR(group)).otherwise(F.col("g")).alias("h"), is_hot.alias("hot"),
+        F.struct("head.row", n(F.col("head.rest")).alias("n"), pos(F.col("head.rest")).alias("pos")).alias("head"),
+    )
+    shared = stage(shared, "shared-shingles")
     firsts = shared.where("hot").groupBy("h").agg(F.min("head").alias("first"))
     heads = shared.where("hot and row = head.row").join(firsts, "h").select("row", "n", "pos", F.col("first").alias("head"))
     starry = shared.select("row", "n", "pos", "head").unionByName(heads).where((F.col("row") != F.col("head.row")) & _may_reach(F.col("n"), F.col("pos"), F.col("head.n"), F.col("head.pos")))
-    stars = stage(similar_pairs(stage(starry.select(F.col("head.row").alias("a"), F.col("row").alias("b")).distinct(), "near-stars"), texts), "near-star-links")
+    stars = stage(similar_pairs(stage(starry.select(F.col("head.row").alias("a"), F.col("row").alias("b")).distinct(), "near-stars"), texts, sets), "near-star-links")
     roots = stage(shared.select("row", "n", "pos", "h").join(components(stars).select(F.col("a").alias("row"), F.col("b").alias("root")), "row", "left").withColumn("root", F.coalesce("root", "row")), "near-roots")
     x, y = roots.alias("x"), roots.alias("y")
     open_ = (F.col("x.h") == F.col("y.h")) & (F.col("x.row") < F.col("y.row")) & (F.col("x.root") != F.col("y.root"))
     rest = x.join(y, open_ & _may_reach(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))).select(F.col("x.row").alias("a"), F.col("y.row").alias("b"))
-    return stars.unionByName(similar_pairs(stage(rest.distinct(), "near-pairs"), texts))
+    return stars.unionByName(similar_pairs(stage(rest.distinct(), "near-pairs"), texts, sets))
 
 
 def near_classes(texts: DataFrame) -> DataFrame:
     """Columns a, b: the smallest row b of each row a's group of near copies, for rows that aren't the smallest themselves. texts: staged (row, text as bytes)."""
-    sets = stage(texts.mapInArrow(_prefixes(*_frequent(texts)), "row long, n int, digest binary, firsts array<long>, hots array<int>"), "near-sets")
+    sets = stage(texts.mapInArrow(_prefixes(*_frequent(texts)), "row long, n int, digest binary, bits array<long>, firsts array<long>, hots array<int>"), "near-sets")
     groups = stage(sets.groupBy("digest").agg(F.min("row").alias("head"), F.count("*").alias("rows")).where("rows > 1"), "near-groups")
     equal = stage(attach(sets.select("row", "digest"), groups, "digest", "rows", sets.count()).where("row <> head").select(F.col("row").alias("a"), F.col("head").alias("b")), "near-equal")
     found = near_links(sets.join(short(equal.select(F.col("a").alias("row"))), "row", "left_anti"), texts)
