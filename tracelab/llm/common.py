@@ -71,11 +71,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Rows that go to Python at once, where the session would send more: whole texts are long, and what passes them on keeps its buffers.
+ARROW_ROWS = 1_000
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: lineage ends there, so a lost executor costs no recomputation and row ids are fixed."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, size = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path, before = scratch(spark, name), spark.conf.get(size)
+    spark.conf.set(size, str(min(ARROW_ROWS, int(before)) if int(before) > 0 else ARROW_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(size, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def row_id() -> Column:

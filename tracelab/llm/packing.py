@@ -21,8 +21,8 @@ from tracelab.llm.common import cache, row_id, shuffle_partitions, stage
 from tracelab.llm.tokenizer import encode_pieces, load, split, vocabulary_path
 
 LENGTH, END = 2048, 0
-#: Pre-tokens whose ids a worker keeps at hand, the first that it meets, and the longest it keeps: at most about 60 MB.
-CACHE, CACHE_CHARS = 250_000, 48
+#: Pre-tokens whose ids a worker keeps at hand, the first that it meets, and the longest it keeps: at most about 40 MB.
+CACHE, CACHE_CHARS = 200_000, 48
 
 
 def _document_ids(path: str, texts: list[str]) -> Iterator[bytes]:

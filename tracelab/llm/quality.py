@@ -21,7 +21,7 @@ from tracelab.llm.common import cache, free_name, stage
 #: Buckets of the models, pseudo-counts that pull the target model to the raw one, labelled documents that are read at most.
 BUCKETS, PRIOR, SAMPLE = 1 << 13, 1 << 18, 20_000
 #: Tokens whose hashes a worker keeps at hand.
-KNOWN = 200_000
+KNOWN = 100_000
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 

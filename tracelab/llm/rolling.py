@@ -10,7 +10,7 @@ from tracelab.llm.common import cache
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: Words whose hashes a worker keeps at hand.
-KNOWN = 300_000
+KNOWN = 100_000
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
