@@ -76,27 +76,43 @@ def assign_inc_type(tgs: DataFrame, types: Sequence[str], seed: int = 0) -> Data
     return numbered.withColumn("inc_type", F.element_at(order, (F.col("ordinal") % n + 1).cast("int"))["t"]).drop("ordinal")
 
 
-def reduce_by_kappa(tgs: DataFrame, k_runtime: float, k_tasks: float, seed: int = 0, random: bool = True) -> DataFrame:
-    """reduced_duration and reduced_tasks of in-network variants."""
-    unit = lambda salt: hash_unit(seed + salt, F.col("job"), F.col("task_group")) if random else F.lit(1.0)
-    return tgs.withColumns({"reduced_duration": kappa_reduce(F.col("duration"), k_runtime, unit(0)), "reduced_tasks": kappa_reduce(F.col("instances"), k_tasks, unit(1))})
+def reduce_by_kappa(tgs: DataFrame, k_runtime: float, k_tasks: float, seed: int = 0, random: bool = True, units: Sequence[Column] | None = None) -> DataFrame:
+    """reduced_duration and reduced_tasks of in-network variants. units are two draws in [0, 1) that take the place of hashes."""
+    drawn = units or [hash_unit(seed + k, F.col("job"), F.col("task_group")) if random else F.lit(1.0) for k in range(2)]
+    return tgs.withColumns({"reduced_duration": kappa_reduce(F.col("duration"), k_runtime, drawn[0]), "reduced_tasks": kappa_reduce(F.col("instances"), k_tasks, drawn[1])})
 
 
-#: How many switches an in-network type takes and the demand ranges of one (recirculation %, stages, SRAM MB).
 TREE, FLAT, RATE, CHAIN = ("daiet", "sharp"), ("incbricks", "netcache", "distcache"), ("hovercraft", "r2p2", "harmonia"), ("netchain",)
+#: Demand of one switch by in-network type, as least and most of recirculation in percent, stages, and SRAM
+#: in steps of so many kB. The most stages of r2p2 go with a group's tasks, see _most_stages.
 DEMAND = {
-    "daiet": ((10, 10), (1, 1), (10, 10)),
-    "sharp": ((0, 0), (0, 0), (1, 8)),
-    "incbricks": ((40, 40), (4, 8), (3, 12)),
-    "netcache": ((0, 10), (0, 8), (6, 12)),
-    "distcache": ((0, 10), (0, 8), (6, 12)),
-    "netchain": ((5, 20), (8, 8), (6, 12)),
-    "harmonia": ((5, 10), (3, 3), (1, 1)),
-    "hovercraft": ((20, 20), (18, 18), (1, 6)),
-    "r2p2": ((5, 20), (2, 2), (1, 2)),
+    "daiet": ((10, 10), (1, 1), (10, 10), 1000),
+    "sharp": ((0, 0), (0, 0), (1, 7), 1000),
+    "incbricks": ((40, 40), (4, 7), (3, 11), 1000),
+    "netcache": ((0, 9), (0, 7), (6, 11), 1000),
+    "distcache": ((0, 9), (0, 7), (6, 11), 1000),
+    "hovercraft": ((0, 10), (1, 18), (1, 128), 1),
+    "r2p2": ((0, 30), (1, 47), (1, 63), 1),
+    "harmonia": ((0, 0), (1, 3), (768, 2047), 1),
+    "netchain": ((0, 10), (0, 8), (6, 11), 1000),
 }
 
 
+def _most_stages(name: str, most: int, tasks: Column) -> Column:
+    """A switch of r2p2 has fewer stages than its group has tasks, and one at least."""
+    return F.greatest(F.lit(1), F.least(F.lit(most), tasks - 1)) if name == "r2p2" else F.lit(most)
+
+
+def switch_demand(inc_type: Column, tasks: Column, draws: Sequence[Column], most: int) -> Column:
+    """Demand in switch units of one switch of a type, from three draws in [0, 1)."""
+    out = F.lit(None).cast("array<bigint>")
+    for name, (recirculation, stages, sram, step) in DEMAND.items():
+        ends = (recirculation[0], F.lit(recirculation[1])), (stages[0], _most_stages(name, stages[1], tasks)), (sram[0], F.lit(sram[1]))
+        a, b, c = (F.floor(lo + u * (hi - lo + 1)) for (lo, hi), u in zip(ends, draws, strict=True))
+        out = F.when(inc_type == name, switch_resources(a, b, c * step / 1000, most)).otherwise(out)
+    return out
+
+
 def switch_count(inc_type: Column, tasks: Column) -> Column:
     ln = F.ceil(F.log(F.greatest(tasks, F.lit(1)).cast("double")))
     return F.when(inc_type.isin(*TREE), F.greatest(F.lit(1), ln)).when(inc_type.isin(*FLAT), F.greatest(F.lit(3), ln)).when(inc_type.isin(*RATE), F.greatest(F.lit(1), F.floor(tasks / 9000))).otherwise(F.greatest(F.lit(3), F.floor(tasks * 3 / 1000))).cast("int")
@@ -108,41 +124,35 @@ def _children(n: Column) -> Column:
     return F.when(n <= 1, 0).otherwise(F.pow(F.lit(2), levels + 1) - 2).cast("int")
 
 
-def expand_composites(tgs: DataFrame, most: int, seed: int = 0) -> DataFrame:
+def expand_composites(tgs: DataFrame, most: int, seed: int = 0, draws: Sequence[Column] | None = None) -> DataFrame:
     """Flavored groups (with inc_type, reduced_*) as their parts, other groups as they are.
 
-    Columns of tgs and part (server, inc_server, root, child, switch), part_name, parent (of a tree's switch), is_switch,
-    tasks, part_duration, part_resources, part_all_to_all.
+    Columns of tgs and part (server, inc_server, switch, child), part_name, parent (of a tree's switch), is_switch,
+    tasks, part_duration, part_resources, part_all_to_all. draws are three columns in [0, 1) that take the place of
+    hashes. Parts of a group are made from its row in one pass.
     """
-    plain = tgs.where(~F.col("tg_flavored")).select("*", *_part("server", F.col("task_group"), None, False, F.col("instances"), F.col("duration"), F.col("resources"), F.col("type") == "DAG"))
-    flavored = tgs.where("tg_flavored")
-    draw = lambda lo, hi, salt: F.floor(F.lit(lo) + hash_unit(seed + salt, F.col("job"), F.col("task_group")) * (hi - lo + 1))
-    demand = F.lit(None).cast("array<bigint>")
-    for name, ranges in DEMAND.items():
-        demand = F.when(F.col("inc_type") == name, switch_resources(*[draw(lo, hi, 10 + k) for k, (lo, hi) in enumerate(ranges)], most)).otherwise(demand)
-    n = switch_count(F.col("inc_type"), F.col("instances"))
-    tree = F.col("inc_type").isin(*TREE)
-    sized = flavored.withColumn("_demand", demand).withColumn("_n", n).withColumn("_tree", tree).withColumn("_below", F.when(tree, _children(n)).otherwise(0))
+    drawn = draws or [hash_unit(seed + 10 + k, F.col("job"), F.col("task_group")) for k in range(3)]
+    n, tree = switch_count(F.col("inc_type"), F.col("instances")), F.col("inc_type").isin(*TREE)
+    demand = switch_demand(F.col("inc_type"), F.col("instances"), drawn, most)
+    sized = tgs.withColumns({"_n": n, "_demand": demand, "_tree": tree, "_below": F.when(tree, _children(n)).otherwise(0)})
     name = lambda head: F.concat(F.lit(head), F.col("task_group"))
-    parts = [
-        ("server", F.col("task_group"), None, False, F.col("instances"), F.col("duration"), F.col("resources"), F.col("type") == "DAG"),
-        ("inc_server", name("inc-server "), None, False, F.col("reduced_tasks"), F.col("reduced_duration"), F.col("resources"), F.lit(False)),
-    ]
-    servers = [sized.select(*tgs.columns, *_part(*p)) for p in parts]
-    top = sized.select(*tgs.columns, *_part("switch", F.when(F.col("_tree"), name("root ")).otherwise(name("inc ")), None, True, F.col("_n"), F.col("reduced_duration"), F.col("_demand"), F.col("_tree") | (F.col("inc_type") == "distcache")))
-    below = sized.where("_below > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_below"))))
     child = lambda i: F.concat(F.lit("child"), i.cast("string"), F.lit(" "), F.col("task_group"))
-    parent = F.when(F.col("_i") <= 2, name("root ")).otherwise(child(F.floor((F.col("_i") - 1) / 2)))
-    low = below.select(*tgs.columns, *_part("child", child(F.col("_i")), parent, True, F.lit(1), F.col("reduced_duration"), F.col("_demand"), F.lit(False)))
-    out = plain
-    for df in (*servers, top, low):
-        out = out.unionByName(df)
-    return out
+    server = _part("server", F.col("task_group"), None, False, F.col("instances"), F.col("duration"), F.col("resources"), F.col("type") == "DAG")
+    reduced = _part("inc_server", name("inc-server "), None, False, F.col("reduced_tasks"), F.col("reduced_duration"), F.col("resources"), F.lit(False))
+    top = _part("switch", F.when(F.col("_tree"), name("root ")).otherwise(name("inc ")), None, True, F.col("_n"), F.col("reduced_duration"), F.col("_demand"), F.col("_tree") | F.col("inc_type").isin("distcache", "netchain"))
+    low = lambda i: _part("child", child(i), F.when(i <= 2, name("root ")).otherwise(child(F.floor((i - 1) / 2))), True, F.lit(1), F.col("reduced_duration"), F.col("_demand"), F.lit(False))
+    children = F.when(F.col("_below") > 0, F.transform(F.sequence(F.lit(1), F.col("_below")), low)).otherwise(F.array().cast(f"array<{_PART}>"))
+    parts = F.when(F.col("tg_flavored"), F.concat(F.array(server, reduced, top), children)).otherwise(F.array(server))
+    return sized.select(*tgs.columns, F.explode(parts).alias("_part")).select(*tgs.columns, "_part.*")
+
+
+_PART = "struct<part: string, part_name: string, parent: string, is_switch: boolean, tasks: bigint, part_duration: bigint, part_resources: array<bigint>, part_all_to_all: boolean>"
 
 
-def _part(part: str, name: Column, parent: Column | None, switch: bool, tasks: Column, duration: Column, resources: Column, all_to_all: Column) -> list[Column]:
-    up = parent if parent is not None else F.lit(None).cast("string")
-    return [F.lit(part).alias("part"), name.alias("part_name"), up.alias("parent"), F.lit(switch).alias("is_switch"), tasks.cast("bigint").alias("tasks"), duration.cast("bigint").alias("part_duration"), resources.alias("part_resources"), all_to_all.alias("part_all_to_all")]
+def _part(part: str, name: Column, parent: Column | None, switch: bool, tasks: Column, duration: Column, resources: Column, all_to_all: Column) -> Column:
+    up = parent if parent is not None else F.lit(None)
+    fields = {"part": F.lit(part), "part_name": name, "parent": up, "is_switch": F.lit(switch), "tasks": tasks, "part_duration": duration, "part_resources": resources, "part_all_to_all": all_to_all}
+    return F.struct(*[x.alias(k) for k, x in fields.items()]).cast(_PART)
 
 
 def flavor_bits(parts: DataFrame, simple: bool = False) -> DataFrame:
@@ -157,17 +167,22 @@ def flavor_bits(parts: DataFrame, simple: bool = False) -> DataFrame:
 def rewire_edges(edges: DataFrame, parts: DataFrame) -> DataFrame:
     """Edges (job, src, dst) between parts: of each trace edge, all ends of its source times all begins of its target; and those inside composites.
 
-    A group begins at its servers, plain and in-network; it ends there too or, as a tree, at its root.
+    A group begins and ends at its servers, plain and in-network. A tree ends at its root instead of its in-network
+    servers; types whose switches talk to servers directly begin and end at their switch instead of these. Inside, a tree
+    goes from its in-network servers to its leaves and from each switch to its children; others have both directions
+    between in-network servers and switch.
     """
-    tree = F.col("inc_type").isin(*TREE) & F.col("tg_flavored")
-    begins = parts.where("part in ('server', 'inc_server')").select("job", F.col("task_group").alias("to"), F.col("part_name").alias("dst"))
-    at_end = (F.col("part") == "server") | (F.coalesce(tree, F.lit(False)) & (F.col("part") == "switch")) | (~F.coalesce(tree, F.lit(False)) & (F.col("part") == "inc_server"))
-    ends = parts.where(at_end).select("job", F.col("task_group").alias("from"), F.col("part_name").alias("src"))
+    kind = lambda names: F.coalesce(F.col("inc_type").isin(*names) & F.col("tg_flavored"), F.lit(False))
+    tree, flat, part = kind(TREE), kind(FLAT), F.col("part")
+    begins = parts.where((part == "server") | (flat & (part == "switch")) | (~flat & (part == "inc_server"))).select("job", F.col("task_group").alias("to"), F.col("part_name").alias("dst"))
+    ends = parts.where((part == "server") | ((flat | tree) & (part == "switch")) | (~flat & ~tree & (part == "inc_server"))).select("job", F.col("task_group").alias("from"), F.col("part_name").alias("src"))
     outer = edges.select("job", F.col("src").alias("from"), F.col("dst").alias("to")).join(ends, ["job", "from"]).join(begins, ["job", "to"]).select("job", "src", "dst")
     inner = parts.where("parent is not null").select("job", F.col("parent").alias("src"), F.col("part_name").alias("dst"))
-    leaf = parts.where("is_switch").join(inner.select("job", F.col("src").alias("part_name")).distinct(), ["job", "part_name"], "left_anti").select("job", "task_group", F.col("part_name").alias("dst"))
-    served = parts.where("part = 'inc_server'").select("job", "task_group", F.col("part_name").alias("src")).join(leaf, ["job", "task_group"]).select("job", "src", "dst")
-    return outer.unionByName(inner).unionByName(served)
+    leaf = parts.where("is_switch").join(inner.select("job", F.col("src").alias("part_name")).distinct(), ["job", "part_name"], "left_anti").select("job", "task_group", F.col("part_name").alias("dst"), tree.alias("tree"))
+    served = parts.where("part = 'inc_server'").select("job", "task_group", F.col("part_name").alias("src")).join(leaf, ["job", "task_group"])
+    there, back = F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    both = served.select("job", F.explode(F.when(F.col("tree"), F.array(there)).otherwise(F.array(there, back))).alias("e")).select("job", "e.src", "e.dst")
+    return outer.unionByName(inner).unionByName(both)
 
 
 def check_jobs(parts: DataFrame, edges: DataFrame) -> DataFrame:
