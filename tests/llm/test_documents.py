@@ -281,6 +281,7 @@ def test_hot_shingles_are_dealt_to_groups(spark, monkeypatch):
     """With shingles hot that are in two documents, groups of few rows have heads of their own and give the same."""
     monkeypatch.setattr(simhash, "OFTEN", 2)
     monkeypatch.setattr(simhash, "HOT", 2)
+    monkeypatch.setattr(simhash, "HEADS", 2)
     draw = np.random.default_rng(8)
     texts = list(enumerate(t for length, slots in ((120, 8), (60, 5), (7, 2), (900, 60)) for t in template_family(draw, 40, length, slots)))
     table = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)

@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelab.llm.common import attach, stage
+from tracelab.llm.common import SHORT, attach, stage
 
 
-def _star(edges: DataFrame, total: int, large: bool) -> DataFrame:
-    """Hooks neighbours to the smallest node around: larger neighbours in a large star, the others in a small one.
+def _told(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """rows with what least says of their a. Beyond SHORT edges, a node with a large share of them is no hot key."""
+    return attach(rows, least, "a", "n", total) if total > SHORT else rows.join(least, "a")
 
-    A node with many edges is no hot key: what all its edges are told goes to them by `attach`.
-    """
+
+def _star(edges: DataFrame, total: int, large: bool) -> DataFrame:
+    """Hooks neighbours to the smallest node around: larger neighbours in a large star, the others in a small one."""
     if large:
         around = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-        out = attach(around.where("b > a"), least, "a", "n", 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        out = _told(around.where("b > a"), least, 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        moved = attach(edges, least, "a", "n", total).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        moved = _told(edges, least, total).select(F.col("b").alias("a"), F.col("m").alias("b"))
         out = moved.unionByName(least.select("a", F.col("m").alias("b")))
     return out.where("a > b").distinct()
 

@@ -182,9 +182,11 @@ def near_groups(rows: DataFrame, most: int, doc_id: str = "doc_id") -> DataFrame
 #: Similarity of the sets of WORDS-word shingles from which two documents are near copies.
 WORDS, SIMILAR = 5, 0.8
 #: Documents that tell which shingles are frequent, in how many of them one must be, and how many such shingles are kept.
-SAMPLE, OFTEN, FREQUENT = 10_000, 3, 50_000
+SAMPLE, OFTEN, FREQUENT = 40_000, 3, 500_000
 #: A shingle of so many sampled documents is hot: its rows are dealt to SALTS groups, each with its own head.
-HOT, SALTS = 10, 64
+HOT, SALTS = 40, 64
+#: Rows of a group that all its others are compared with before the rest is: in a family of texts of which few pairs are similar, one wouldn't connect much.
+HEADS = 16
 _ODD = 0x00F42D4C957F2D51
 
 
@@ -295,32 +297,36 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, sets: DataFrame, least: fl
 def near_links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     """Columns a, b: links that connect all rows whose sets of shingles are similar enough, by all pairs that share a prefix shingle.
 
-    sets: (row, n, bits, firsts, hots) of distinct sets; texts: (row, text as bytes). The first row of each shingle is compared
-    with its others, then all those that this has not connected yet are compared with each other. Rows of a hot shingle
-    are dealt to groups with a head each, and these heads are compared with the first of them.
+    sets: (row, n, bits, firsts, hots) of distinct sets; texts: (row, text as bytes). The first HEADS rows of each shingle are
+    compared with all its others; in larger groups, those that this has not connected yet are compared with each other.
+    Rows of a hot shingle are dealt to groups with heads of their own, and first heads are compared with that of all.
     """
     entries = sets.where("n > 0").select("row", "n", "hots", F.posexplode("firsts").alias("pos", "h"))
     # Three longs a shingle: the group that it falls to, the row, and the rest in one.
-    group = F.lit(_ODD) * F.pmod(F.xxhash64("row"), F.lit(SALTS))
+    salt = F.lit(_ODD) * F.pmod(F.xxhash64("row"), F.lit(SALTS))
     hot = F.array_contains("hots", F.col("pos"))
-    entries = entries.select("row", F.when(hot, F.col("h").bitwiseXOR(group)).otherwise(F.col("h")).alias("g"), (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos") * 2 + hot.cast("int")).alias("rest"))
-    same = Window.partitionBy("g")
-    grouped = entries.select("row", "g", "rest", F.count("*").over(same).alias("many"), F.min(F.struct("row", "rest")).over(same).alias("head"))
-    n, pos, is_hot = (lambda c: F.shiftright(c, 32).cast("int")), (lambda c: (F.shiftright(c, 1).bitwiseAND(F.lit((1 << 31) - 1))).cast("int")), F.col("rest") % 2 == 1
-    shared = grouped.where((F.col("many") > 1) | is_hot).select(
-        "row", n(F.col("rest")).alias("n"), pos(F.col("rest")).alias("pos"), F.when(is_hot, F.col("g").bitwiseXOR(group)).otherwise(F.col("g")).alias("h"), is_hot.alias("hot"),
-        F.struct("head.row", n(F.col("head.rest")).alias("n"), pos(F.col("head.rest")).alias("pos")).alias("head"),
-    )
-    shared = stage(shared, "shared-shingles")
-    firsts = shared.where("hot").groupBy("h").agg(F.min("head").alias("first"))
-    heads = shared.where("hot and row = head.row").join(firsts, "h").select("row", "n", "pos", F.col("first").alias("head"))
-    starry = shared.select("row", "n", "pos", "head").unionByName(heads).where((F.col("row") != F.col("head.row")) & _may_reach(F.col("n"), F.col("pos"), F.col("head.n"), F.col("head.pos")))
-    stars = stage(similar_pairs(stage(starry.select(F.col("head.row").alias("a"), F.col("row").alias("b")).distinct(), "near-stars"), texts, sets), "near-star-links")
-    roots = stage(shared.select("row", "n", "pos", "h").join(components(stars).select(F.col("a").alias("row"), F.col("b").alias("root")), "row", "left").withColumn("root", F.coalesce("root", "row")), "near-roots")
-    x, y = roots.alias("x"), roots.alias("y")
-    open_ = (F.col("x.h") == F.col("y.h")) & (F.col("x.row") < F.col("y.row")) & (F.col("x.root") != F.col("y.root"))
-    rest = x.join(y, open_ & _may_reach(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))).select(F.col("x.row").alias("a"), F.col("y.row").alias("b"))
-    return stars.unionByName(similar_pairs(stage(rest.distinct(), "near-pairs"), texts, sets))
+    entries = entries.select("row", F.when(hot, F.col("h").bitwiseXOR(salt)).otherwise(F.col("h")).alias("g"), (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos") * 2 + hot.cast("int")).alias("rest"))
+    group = Window.partitionBy("g")
+    counted = entries.select("row", "g", "rest", F.row_number().over(group.orderBy("row")).alias("k"), F.count("*").over(group).alias("many"))
+    is_hot = F.col("rest") % 2 == 1
+    shared = stage(counted.where((F.col("many") > 1) | is_hot), "shared-shingles")
+
+    def met(x: DataFrame, y: DataFrame, on: str, more: Column = F.lit(True)) -> DataFrame:
+        """Distinct pairs (a of y, b of x) with one value of a column, the smaller row first, that may be similar enough."""
+        n, pos = (lambda c: F.shiftright(c, 32).cast("int")), (lambda c: F.shiftright(c, 1).bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+        reach = _may_reach(n(F.col("x.rest")), pos(F.col("x.rest")), n(F.col("y.rest")), pos(F.col("y.rest")))
+        pairs = x.alias("x").join(y.alias("y"), (F.col(f"x.{on}") == F.col(f"y.{on}")) & (F.col("x.row") > F.col("y.row")) & reach & more)
+        return pairs.select(F.col("y.row").alias("a"), F.col("x.row").alias("b")).distinct()
+
+    whole = shared.where((F.col("many") > HEADS) | is_hot).select("row", "k", "rest", F.when(is_hot, F.col("g").bitwiseXOR(salt)).otherwise(F.col("g")).alias("h"))
+    first = whole.where(is_hot & (F.col("k") == 1))
+    top = first.groupBy("h").agg(F.min(F.struct("row", "rest")).alias("t")).select("h", "t.row", "t.rest")
+    heads = met(shared.where("k > 1"), shared.where(F.col("k") <= HEADS), "g").unionByName(met(first, top, "h")).distinct()
+    stars = stage(similar_pairs(stage(heads, "near-stars"), texts, sets), "near-star-links")
+    roots = components(stars).select(F.col("a").alias("row"), F.col("b").alias("root"))
+    placed = stage(whole.join(roots, "row", "left").select("row", "rest", "h", F.coalesce("root", "row").alias("root")), "near-roots")
+    rest = met(placed, placed, "h", F.col("x.root") != F.col("y.root"))
+    return stars.unionByName(similar_pairs(stage(rest, "near-pairs"), texts, sets))
 
 
 def near_classes(texts: DataFrame) -> DataFrame:
