@@ -186,7 +186,7 @@ SAMPLE, OFTEN, FREQUENT = 40_000, 3, 500_000
 #: A shingle of so many sampled documents is hot: its rows are dealt to SALTS groups, each with its own head.
 HOT, SALTS = 40, 64
 #: Rows of a group that all its others are compared with before the rest is: in a family of texts of which few pairs are similar, one wouldn't connect much.
-HEADS = 16
+HEADS = 64
 _ODD = 0x00F42D4C957F2D51
 
 
@@ -297,9 +297,10 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, sets: DataFrame, least: fl
 def near_links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     """Columns a, b: links that connect all rows whose sets of shingles are similar enough, by all pairs that share a prefix shingle.
 
-    sets: (row, n, bits, firsts, hots) of distinct sets; texts: (row, text as bytes). The first HEADS rows of each shingle are
-    compared with all its others; in larger groups, those that this has not connected yet are compared with each other.
-    Rows of a hot shingle are dealt to groups with heads of their own, and first heads are compared with that of all.
+    sets: (row, n, bits, firsts, hots) of distinct sets; texts: (row, text as bytes). The first row of each shingle is
+    compared with all its others, then the first HEADS are with those that this has not connected with them, then, in larger
+    groups, all that are still apart are with each other. Rows of a hot shingle are dealt to groups with heads of their own,
+    and first heads are compared with that of all.
     """
     entries = sets.where("n > 0").select("row", "n", "hots", F.posexplode("firsts").alias("pos", "h"))
     # Three longs a shingle: the group that it falls to, the row, and the rest in one.
@@ -318,15 +319,21 @@ def near_links(sets: DataFrame, texts: DataFrame) -> DataFrame:
         pairs = x.alias("x").join(y.alias("y"), (F.col(f"x.{on}") == F.col(f"y.{on}")) & (F.col("x.row") > F.col("y.row")) & reach & more)
         return pairs.select(F.col("y.row").alias("a"), F.col("x.row").alias("b")).distinct()
 
-    whole = shared.where((F.col("many") > HEADS) | is_hot).select("row", "k", "rest", F.when(is_hot, F.col("g").bitwiseXOR(salt)).otherwise(F.col("g")).alias("h"))
-    first = whole.where(is_hot & (F.col("k") == 1))
+    def placed(rows: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        roots = components(links).select(F.col("a").alias("row"), F.col("b").alias("root"))
+        return stage(rows.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")), name)
+
+    apart = F.col("x.root") != F.col("y.root")
+    whole = F.when(is_hot, F.col("g").bitwiseXOR(salt)).otherwise(F.col("g")).alias("h")
+    first = shared.where(is_hot & (F.col("k") == 1)).select("row", "rest", whole)
     top = first.groupBy("h").agg(F.min(F.struct("row", "rest")).alias("t")).select("h", "t.row", "t.rest")
-    heads = met(shared.where("k > 1"), shared.where(F.col("k") <= HEADS), "g").unionByName(met(first, top, "h")).distinct()
-    stars = stage(similar_pairs(stage(heads, "near-stars"), texts, sets), "near-star-links")
-    roots = components(stars).select(F.col("a").alias("row"), F.col("b").alias("root"))
-    placed = stage(whole.join(roots, "row", "left").select("row", "rest", "h", F.coalesce("root", "row").alias("root")), "near-roots")
-    rest = met(placed, placed, "h", F.col("x.root") != F.col("y.root"))
-    return stars.unionByName(similar_pairs(stage(rest, "near-pairs"), texts, sets))
+    stars = met(shared.where("k > 1"), shared.where("k = 1"), "g").unionByName(met(first, top, "h")).distinct()
+    found = stage(similar_pairs(stage(stars, "near-stars"), texts, sets), "near-star-links")
+    once = placed(shared.where((F.col("many") > 2) | is_hot), found, "near-roots")
+    more = met(once, once.where(F.col("k") <= HEADS), "g", apart)
+    found = stage(found.unionByName(similar_pairs(stage(more, "near-heads"), texts, sets)), "near-head-links")
+    twice = placed(once.where((F.col("many") > HEADS) | is_hot).select("row", "rest", whole), found, "near-rest")
+    return found.unionByName(similar_pairs(stage(met(twice, twice, "h", apart), "near-pairs"), texts, sets))
 
 
 def near_classes(texts: DataFrame) -> DataFrame:
