@@ -329,10 +329,10 @@ def near_links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     top = first.groupBy("h").agg(F.min(F.struct("row", "rest")).alias("t")).select("h", "t.row", "t.rest")
     stars = met(shared.where("k > 1"), shared.where("k = 1"), "g").unionByName(met(first, top, "h")).distinct()
     found = stage(similar_pairs(stage(stars, "near-stars"), texts, sets), "near-star-links")
-    once = placed(shared.where((F.col("many") > 2) | is_hot), found, "near-roots")
-    more = met(once, once.where(F.col("k") <= HEADS), "g", apart)
+    once = placed(shared.where((F.col("many") > 2) | is_hot).select("row", "rest", "k", "many", whole), found, "near-roots")
+    more = met(once, once.where(F.col("k") <= F.when(is_hot, 1).otherwise(HEADS)), "h", apart)  # of a hot shingle, the first of each group
     found = stage(found.unionByName(similar_pairs(stage(more, "near-heads"), texts, sets)), "near-head-links")
-    twice = placed(once.where((F.col("many") > HEADS) | is_hot).select("row", "rest", whole), found, "near-rest")
+    twice = placed(once.where((F.col("many") > HEADS) | is_hot).select("row", "rest", "h"), found, "near-rest")
     return found.unionByName(similar_pairs(stage(met(twice, twice, "h", apart), "near-pairs"), texts, sets))
 
 
