@@ -16,8 +16,9 @@ def map_status(status: Column, mapping: dict[str, bool] = MACHINE_STATUS) -> Col
     return reduce(lambda out, kv: out.when(status == kv[0], F.lit(kv[1])), list(mapping.items())[1:], F.when(status == next(iter(mapping)), F.lit(mapping[next(iter(mapping))])))
 
 
-INDEPENDENT = r"^(?:task_\S*|MergeTask)\z"
-DEPENDENT = r"^([a-zA-Z]+)([0-9]+)_?((?:_[0-9]+)*?)_?(?:Stg[0-9]+)?\z"
+#: Forms of task names in the trace. Independent ones, and those with a number, numbers of others and a stage.
+INDEPENDENT = r"^(task_\S*|MergeTask)\z"
+DEPENDENT = r"^[a-zA-Z]+[0-9]+_?(_[0-9]+)*_?(Stg[0-9]+)?\z"
 
 
 def parse_task_name(name: Column, deps: str = "last") -> Column:
