@@ -300,7 +300,8 @@ def near_links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     sets: (row, n, bits, firsts, hots) of distinct sets; texts: (row, text as bytes). The first row of each shingle is
     compared with all its others, then the first HEADS are with those that this has not connected with them, then, in larger
     groups, all that are still apart are with each other. Rows of a hot shingle are dealt to groups with heads of their own,
-    and first heads are compared with that of all.
+    and first heads are compared with that of all. The rows of a shingle are in the order of its place in their prefixes: a
+    text in the middle of a family has few shingles of its own before those of the family, so that it becomes a head.
     """
     entries = sets.where("n > 0").select("row", "n", "hots", F.posexplode("firsts").alias("pos", "h"))
     # Three longs a shingle: the group that it falls to, the row, and the rest in one.
@@ -308,32 +309,34 @@ def near_links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     hot = F.array_contains("hots", F.col("pos"))
     entries = entries.select("row", F.when(hot, F.col("h").bitwiseXOR(salt)).otherwise(F.col("h")).alias("g"), (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos") * 2 + hot.cast("int")).alias("rest"))
     group = Window.partitionBy("g")
-    counted = entries.select("row", "g", "rest", F.row_number().over(group.orderBy("row")).alias("k"), F.count("*").over(group).alias("many"))
+    place = lambda rest: F.shiftright(rest, 1).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    counted = entries.select("row", "g", "rest", F.row_number().over(group.orderBy(place("rest"), "row")).alias("k"), F.count("*").over(group).alias("many"))
     is_hot = F.col("rest") % 2 == 1
     shared = stage(counted.where((F.col("many") > 1) | is_hot), "shared-shingles")
 
-    def met(x: DataFrame, y: DataFrame, on: str, more: Column = F.lit(True)) -> DataFrame:
-        """Distinct pairs (a of y, b of x) with one value of a column, the smaller row first, that may be similar enough."""
-        n, pos = (lambda c: F.shiftright(c, 32).cast("int")), (lambda c: F.shiftright(c, 1).bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
-        reach = _may_reach(n(F.col("x.rest")), pos(F.col("x.rest")), n(F.col("y.rest")), pos(F.col("y.rest")))
-        pairs = x.alias("x").join(y.alias("y"), (F.col(f"x.{on}") == F.col(f"y.{on}")) & (F.col("x.row") > F.col("y.row")) & reach & more)
-        return pairs.select(F.col("y.row").alias("a"), F.col("x.row").alias("b")).distinct()
+    def met(x: DataFrame, y: DataFrame, on: str, more: Column) -> DataFrame:
+        """Distinct pairs (a, b) of a row of x and one of y with one value of a column, the smaller row first, that may be similar enough."""
+        n = lambda c: F.shiftright(c, 32).cast("int")
+        reach = _may_reach(n(F.col("x.rest")), place("x.rest"), n(F.col("y.rest")), place("y.rest"))
+        pairs = x.alias("x").join(y.alias("y"), (F.col(f"x.{on}") == F.col(f"y.{on}")) & reach & more)
+        return pairs.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct()
 
     def placed(rows: DataFrame, links: DataFrame, name: str) -> DataFrame:
         roots = components(links).select(F.col("a").alias("row"), F.col("b").alias("root"))
         return stage(rows.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")), name)
 
-    apart = F.col("x.root") != F.col("y.root")
+    other, apart = F.col("x.row") != F.col("y.row"), F.col("x.root") != F.col("y.root")
+    after = F.struct("x.k", "x.row") > F.struct("y.k", "y.row")  # each pair of heads once
     whole = F.when(is_hot, F.col("g").bitwiseXOR(salt)).otherwise(F.col("g")).alias("h")
     first = shared.where(is_hot & (F.col("k") == 1)).select("row", "rest", whole)
-    top = first.groupBy("h").agg(F.min(F.struct("row", "rest")).alias("t")).select("h", "t.row", "t.rest")
-    stars = met(shared.where("k > 1"), shared.where("k = 1"), "g").unionByName(met(first, top, "h")).distinct()
+    top = first.groupBy("h").agg(F.min(F.struct(place("rest").alias("place"), "row", "rest")).alias("t")).select("h", "t.row", "t.rest")
+    stars = met(shared.where("k > 1"), shared.where("k = 1"), "g", other).unionByName(met(first, top, "h", other)).distinct()
     found = stage(similar_pairs(stage(stars, "near-stars"), texts, sets), "near-star-links")
     once = placed(shared.where((F.col("many") > 2) | is_hot).select("row", "rest", "k", "many", whole), found, "near-roots")
-    more = met(once, once.where(F.col("k") <= F.when(is_hot, 1).otherwise(HEADS)), "h", apart)  # of a hot shingle, the first of each group
+    more = met(once, once.where(F.col("k") <= F.when(is_hot, 1).otherwise(HEADS)), "h", apart & after)  # of a hot shingle, the first of each group
     found = stage(found.unionByName(similar_pairs(stage(more, "near-heads"), texts, sets)), "near-head-links")
     twice = placed(once.where((F.col("many") > HEADS) | is_hot).select("row", "rest", "h"), found, "near-rest")
-    return found.unionByName(similar_pairs(stage(met(twice, twice, "h", apart), "near-pairs"), texts, sets))
+    return found.unionByName(similar_pairs(stage(met(twice, twice, "h", apart & (F.col("x.row") > F.col("y.row"))), "near-pairs"), texts, sets))
 
 
 def near_classes(texts: DataFrame) -> DataFrame:
