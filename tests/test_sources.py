@@ -145,3 +145,26 @@ def test_run_directories(spark, at, tmp_path):
     assert {r.key for r in sweeps.find_sweeps(config).collect()} == {"scheduler", "seed"}
     with pytest.raises(ValueError, match="columns exist"):
         sweeps.attach_config(stats, config, ["Time"])
+
+
+def test_statistics_are_read_by_column_names(spark, at, tmp_path):
+    """Each file has an order of its own; some lack a column or have one that isn't known."""
+    names = [c.split()[0] for c in runs.stats_schema("cell-inp").split(", ")]
+    assert names[1:5] == [f"{k}Switch_Prop2_Dim0" for k in ("Utilization", "Reserved", "Total", "BlockedByOthers")]
+    orders = {0: names, 1: names[::-1], 2: ["Time", "UtilizationSwitch_Prop9_Dim2"], 3: ["Other", *names[5:], "Time"]}
+    for n, order in orders.items():
+        number = lambda c, t: t if c == "Time" else t + names.index(c) / 100 if c in names else 0
+        lines = "".join(",".join(str(number(c, t)) for c in order) + "\n" for t in (1000, 2000))
+        for f in ("config.json", "START", "DONE"):
+            at(f"exp c/run-{n}/{f}", "{}")
+        at(f"exp c/run-{n}/cell-inp.csv", ",".join(order) + "\n" + lines)
+        with zipfile.ZipFile(tmp_path / f"exp c/run-{n}/stats.zip", "w") as z:
+            z.writestr("cell-inp.csv", ",".join(order) + "\n" + lines)
+    want = {(n, t): tuple(None if c not in order else float(t + names.index(c) / 100) for c in names[1:]) for n, order in orders.items() for t in (1000, 2000)}
+    with pytest.warns(UserWarning, match="Other"):
+        got = runs.read_stats(spark, [str(tmp_path / "exp c")], "cell-inp")
+    for some in (got, runs.read_stats_zip(spark, [str(tmp_path / "exp c")], "cell-inp")):
+        assert {(r.run, r.Time): tuple(r[c] for c in names[1:]) for r in some.collect()} == want
+    at("exp d/run-0/cell-inp.csv", "a,b\n1,2\n")
+    with pytest.raises(ValueError, match="no known column"):
+        runs.read_stats(spark, [str(tmp_path / "exp d")], "cell-inp")

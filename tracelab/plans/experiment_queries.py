@@ -58,6 +58,18 @@ def s7_read_stats(spark: SparkSession, sf: str) -> DataFrame:
     return source.read_stats(spark, [root], "scheduler", source.discover_runs(spark, [root]), SCHEMA).drop("run_dir", "experiment")
 
 
+@query("select run, Time, CountJobs::double as utilization, case when run % 2 = 0 then CountPreemptions::double end as reserved from counters", "counters")
+def s7_read_cell_inp(spark: SparkSession, sf: str) -> DataFrame:
+    """In-network load of runs whose files have their columns in different orders; odd runs lack one."""
+    root, rows = scratch_path(spark, "exp-inp"), view(spark, sf, "counters")
+    load, reserved = F.col("CountJobs").alias("UtilizationSwitch_Prop2_Dim0"), F.col("CountPreemptions").alias("ReservedSwitch_Prop2_Dim0")
+    for run in range(6):
+        some = rows.where(F.col("run") == run)
+        (some.select("Time", load, reserved) if run % 2 == 0 else some.select(load, "Time")).write.option("header", True).csv(f"{root}/run-{run}/cell-inp.csv")
+    read = source.read_stats(spark, [root], "cell-inp")
+    return read.select("run", "Time", F.col("UtilizationSwitch_Prop2_Dim0").alias("utilization"), F.col("ReservedSwitch_Prop2_Dim0").alias("reserved"))
+
+
 @query("select run, Time, round(value, 4) as value from runs", "runs")
 def s10_write_stats(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "stats")

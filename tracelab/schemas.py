@@ -21,5 +21,5 @@ STATS = {
 
 def cell_inp(properties=range(2, 10), dims: int = 3) -> str:
     """The load table's columns, for the given property ids."""
-    names = [f"{kind}Switch_Prop{p}_Dim{d} double" for kind in ("Utilization", "Reserved", "Total", "BlockedByOthers") for p in properties for d in range(dims)]
+    names = [f"{kind}Switch_Prop{p}_Dim{d} double" for p in properties for d in range(dims) for kind in ("Utilization", "Reserved", "Total", "BlockedByOthers")]
     return ", ".join(["Time bigint", *names])
