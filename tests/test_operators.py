@@ -126,10 +126,9 @@ def test_max_waiting_time_by_hand(spark):
     spans = [(s := draw.randrange(0, 5000), s + draw.randrange(0, 3000)) for _ in range(60)]
     got = {r.tick: r.waiting for r in tenant.max_waiting_time(spark.createDataFrame(spans, "submitted long, until long"), 100).collect()}
     want = {}
-    for t in range(0, 8100, 100):
+    for t in range(-(-min(s for s, _ in spans) // 100) * 100, -(-max(u for _, u in spans) // 100) * 100 + 1, 100):
         waiting = [s for s, u in spans if s <= t and t < -(-u // 100) * 100 and t >= -(-s // 100) * 100]
-        if waiting:
-            want[t] = t - min(waiting)
+        want[t] = t - min(waiting) if waiting else 0
     assert got == want
 
 

@@ -76,12 +76,13 @@ def taskgroup_stats(allocs: DataFrame, tgs: DataFrame, options: DataFrame, now:
     return out
 
 
-def job_stats(tg_stats: DataFrame) -> DataFrame:
-    """The job table: tasks and task-weighted means over a job's groups."""
+def job_stats(tg_stats: DataFrame, inp: DataFrame | None = None) -> DataFrame:
+    """The job table: tasks and task-weighted means over a job's groups. inp: (job_id, InpStatus)."""
     each = lambda c: F.sum(F.col(c) * F.col("TotalTasks")) / F.greatest(F.lit(1), F.sum("TotalTasks"))
-    return tg_stats.groupBy("JobID", "JobStatus").agg(
+    out = tg_stats.groupBy("JobID", "JobStatus").agg(
         F.count("*").alias("InvolvedTGCnt"), F.sum("TotalTasks").alias("TasksTotal"), F.sum("TasksStarted").alias("TasksStarted"), each("AvgQueueing").alias("AvgTaskQueueing"), each("Duration").alias("AvgTaskDuration"), each("OriginalDuration").alias("AvgTaskDurationOriginal")
     )
+    return out if inp is None else out.join(inp.withColumnRenamed("job_id", "JobID"), "JobID", "left")
 
 
 def tenant_snapshots(allocs: DataFrame, tgs: DataFrame, hours: Sequence[int], hour_ms: int = 3_600_000) -> DataFrame:
@@ -93,21 +94,57 @@ def tenant_snapshots(allocs: DataFrame, tgs: DataFrame, hours: Sequence[int], ho
     return both.select("hour", "tg_id", "started", F.greatest(F.lit(0), F.col("num_tasks") - F.col("started")).cast("bigint").alias("waiting"))
 
 
-def scheduler_counters(alloc_events: DataFrame, job_events: DataFrame, sched_events: DataFrame, interval: int, keys: Sequence[str] = ("run",)) -> DataFrame:
-    """Cumulative counters of each run at every tick. The tables are summed by tick first; only ticks are accumulated."""
+#: Counters of the scheduler's statistics file that follow from the logs, in its order.
+COUNTERS = (
+    "Attempts", "Allocations", "ScheduledTasks", "ThinkTime", "ThinkTimeWasted", "TotalJobsFullyScheduled", "TotalJobsFullyScheduledINP", "TotalJobQueueTime", "CountJobs", "CountJobsWithInp", "CountJobsFinished", "CountJobsFinishedINP",
+    "CountPreemptions", "PendingJobsNotFullyScheduledPlusFutureTgSubmissions", "TimesServerFallbackResubmit", "TimesServerFlavorTaken", "TimesSwitchFlavorTaken",
+)
+
+
+def scheduler_counters(alloc_events: DataFrame, job_events: DataFrame, sched_events: DataFrame, interval: int, keys: Sequence[str] = ("run",), pending: DataFrame | None = None) -> DataFrame:
+    """Cumulative counters of each run at every tick. The tables are summed by tick first; only ticks are accumulated.
+
+    job_events: (seq, time, event, job_id, options, included) with events submit, flavor_chosen, flavor_removed, resubmit,
+    scheduled, done and withdraw. A job is scheduled once, and in-network if its last word on flavors chose one; a removed
+    flavor is taken back. sched_events: (time, event, think_time, allocations); an attempt without allocations wastes its
+    time. Preemptions are counted in tasks. pending: pending_jobs by keys, whose two counts become columns.
+    Wall time and queue lengths of a scheduler's own making aren't in the logs.
+    """
     tick = tick_of(F.col("time"), interval).alias("tick")
-    one = lambda event: F.when(F.col("event") == event, 1).otherwise(0).cast("bigint")
-    names = ("Attempts", "Allocations", "ScheduledTasks", "ThinkTime", "CountPreemptions", "CountJobs", "CountJobsFinished", "TimesSwitchFlavorTaken", "TimesServerFlavorTaken")
-    parts = {
-        "alloc": (alloc_events, {"Allocations": one("claim"), "ScheduledTasks": F.when(F.col("event") == "claim", F.col("num_tasks")).otherwise(0).cast("bigint"), "CountPreemptions": one("preempt")}),
-        "job": (job_events, {"CountJobs": one("submit"), "CountJobsFinished": one("done"), "TimesSwitchFlavorTaken": F.when((F.col("event") == "flavor_chosen") & inc_options("included"), 1).otherwise(0).cast("bigint"), "TimesServerFlavorTaken": F.when((F.col("event") == "flavor_chosen") & ~inc_options("included"), 1).otherwise(0).cast("bigint")}),
-        "sched": (sched_events, {"Attempts": one("attempt"), "ThinkTime": F.coalesce("think_time", F.lit(0)).cast("bigint")}),
-    }
+    long = lambda c: c.cast("bigint")
+    when = lambda cond, c=1: long(F.when(cond, c).otherwise(0))
+    event = F.col("event")
+    so_far = Window.partitionBy(*keys, "job_id").orderBy("time", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    word = F.when(event == "flavor_chosen", inc_options("included")).when(event == "flavor_removed", F.lit(False))
+    left = event.isin("scheduled", "withdraw")
+    jobs = job_events.select(
+        "*", F.coalesce(F.last(word, ignorenulls=True).over(so_far), F.lit(False)).alias("_inp"), F.count_if(event == "scheduled").over(so_far).alias("_scheduled"), F.count_if(left).over(so_far).alias("_left"),
+        F.min(F.when(event == "submit", F.col("time"))).over(so_far).alias("_submitted"),
+    )
+    placed, done = (event == "scheduled") & (F.col("_scheduled") == 1), event == "done"
+    taken = F.when(event == "flavor_chosen", 1).when(event == "flavor_removed", -1).otherwise(0)
+    parts = [
+        (alloc_events, {"Allocations": when(event == "claim"), "ScheduledTasks": when(event == "claim", F.col("num_tasks")), "CountPreemptions": when(event == "preempt", F.col("num_tasks"))}),
+        (sched_events, {"Attempts": when(event == "attempt"), "ThinkTime": when(F.col("allocations") > 0, F.coalesce("think_time", F.lit(0))), "ThinkTimeWasted": when(F.col("allocations") == 0, F.coalesce("think_time", F.lit(0)))}),
+        (jobs, {
+            "TotalJobsFullyScheduled": when(placed), "TotalJobsFullyScheduledINP": when(placed & F.col("_inp")), "TotalJobQueueTime": when(placed, F.coalesce(F.col("time") - F.col("_submitted"), F.lit(0))),
+            "CountJobs": when(event == "submit"), "CountJobsWithInp": when((event == "submit") & inc_options("options")), "CountJobsFinished": when(done), "CountJobsFinishedINP": when(done & F.col("_inp")),
+            "PendingJobsNotFullyScheduledPlusFutureTgSubmissions": long(F.when(event == "submit", 1).when(left & (F.col("_left") == 1), -1).otherwise(0)), "TimesServerFallbackResubmit": when(event == "resubmit"),
+            "TimesServerFlavorTaken": long(F.when(~inc_options("included"), taken).otherwise(0)), "TimesSwitchFlavorTaken": long(F.when(inc_options("included"), taken).otherwise(0)),
+        }),
+    ]
     out = None
-    for df, given in parts.values():
-        some = df.select(*keys, tick, *[given.get(n, F.lit(0).cast("bigint")).alias(n) for n in names])
+    for df, given in parts:
+        some = df.select(*keys, tick, *[given.get(n, F.lit(0).cast("bigint")).alias(n) for n in COUNTERS])
         out = some if out is None else out.unionByName(some)
-    return running_by_tick(out, list(keys), list(names), interval).withColumnRenamed("tick", "Time")
+    out = running_by_tick(out, list(keys), list(COUNTERS), interval)
+    if pending is not None:
+        both = pending.groupBy(*keys, "tick").agg(*[F.sum(F.when(side, F.col("n")).otherwise(0)).alias(name) for side, name in ((~F.col("placed"), "PendingJobsNotFullyScheduled"), (F.col("placed"), "PendingJobsFullyScheduled"))])
+        # Beyond its last tick a count stays as it was.
+        until = Window.partitionBy(*keys).orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
+        kept = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(until), F.lit(0)).alias(c)
+        out = out.join(both, [*keys, "tick"], "left").select(*keys, "tick", *COUNTERS, kept("PendingJobsNotFullyScheduled"), kept("PendingJobsFullyScheduled"))
+    return out.withColumnRenamed("tick", "Time")
 
 
 def state_intervals(spans: DataFrame, interval: int, keys: Sequence[str]) -> DataFrame:
@@ -117,27 +154,28 @@ def state_intervals(spans: DataFrame, interval: int, keys: Sequence[str]) -> Dat
     return running_by_tick(ups.unionByName(downs), list(keys), ["n"], interval)
 
 
-def pending_jobs(tgs: DataFrame, started: DataFrame, interval: int) -> DataFrame:
-    """(placed, tick, n): unfinished jobs at each tick, split by whether all groups submitted so far are placed.
+def pending_jobs(tgs: DataFrame, started: DataFrame, interval: int, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, placed, tick, n): unfinished jobs at each tick, split by whether all groups submitted so far are placed.
 
-    tgs: (job_id, tg_id, submitted); started: (tg_id, full_time), when a group's last task started. A job is pending from its
+    tgs: (keys, job_id, tg_id, submitted); started: (keys, tg_id, full_time), when a group's last task started. A job is pending from its
     first submission until its last group is placed.
     """
-    rows = tgs.join(started, "tg_id", "left")
+    rows = tgs.join(started, [*keys, "tg_id"], "left")
+    job = [*keys, "job_id"]
     ends = F.max(F.coalesce("full_time", F.lit(1 << 62)))
-    jobs = rows.groupBy("job_id").agg(F.min("submitted").alias("since"), ends.alias("u")).select("job_id", "since", F.when(F.col("u") < (1 << 62), F.col("u")).alias("until"))
+    jobs = rows.groupBy(*job).agg(F.min("submitted").alias("since"), ends.alias("u")).select(*job, "since", F.when(F.col("u") < (1 << 62), F.col("u")).alias("until"))
     # Within a job, waiting groups go up at submission and down when placed; placed means there are none.
-    moves = rows.select("job_id", F.col("submitted").alias("time"), F.lit(1).alias("d")).unionByName(rows.where("full_time is not null").select("job_id", F.col("full_time").alias("time"), F.lit(-1).alias("d")))
-    summed = moves.groupBy("job_id", "time").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy("job_id").orderBy("time")
+    moves = rows.select(*job, F.col("submitted").alias("time"), F.lit(1).alias("d")).unionByName(rows.where("full_time is not null").select(*job, F.col("full_time").alias("time"), F.lit(-1).alias("d")))
+    summed = moves.groupBy(*job, "time").agg(F.sum("d").alias("d"))
+    w = Window.partitionBy(*job).orderBy("time")
     states = summed.withColumn("waiting", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("to", F.lead("time").over(w))
-    spans = states.join(jobs, "job_id").where((F.col("time") >= F.col("since")) & (F.col("until").isNull() | (F.col("time") < F.col("until"))))
-    spans = spans.select((F.col("waiting") == 0).alias("placed"), F.col("time").alias("since"), F.when(F.col("to").isNull(), F.col("until")).when(F.col("until").isNull(), F.col("to")).otherwise(F.least("to", "until")).alias("until"))
-    return state_intervals(spans, interval, ["placed"])
+    spans = states.join(jobs, job).where((F.col("time") >= F.col("since")) & (F.col("until").isNull() | (F.col("time") < F.col("until"))))
+    spans = spans.select(*keys, (F.col("waiting") == 0).alias("placed"), F.col("time").alias("since"), F.when(F.col("to").isNull(), F.col("until")).when(F.col("until").isNull(), F.col("to")).otherwise(F.least("to", "until")).alias("until"))
+    return state_intervals(spans, interval, [*keys, "placed"])
 
 
 def max_waiting_time(waits: DataFrame, interval: int) -> DataFrame:
-    """(tick, waiting): at each tick, now minus the oldest submission among groups (submitted, until) that still wait; ticks where none does are left out.
+    """(tick, waiting): at each tick from the first submission's to the last end's, now minus the oldest submission among groups (submitted, until) that still wait; 0 where none does.
 
     A span is cut at powers of two of the tick, so that it meets few buckets however long it is.
     """
@@ -155,7 +193,9 @@ def max_waiting_time(waits: DataFrame, interval: int) -> DataFrame:
         down = now.select("oldest", F.explode(F.array(F.col("at"), F.col("at") + half)).alias("at"))
         level -= 1
         now = down.unionByName(blocks.where(F.col("k") == level).select("oldest", "at")).groupBy("at").agg(F.min("oldest").alias("oldest"))
-    return now.select((F.col("at") * interval).alias("tick"), (F.col("at") * interval - F.col("oldest")).alias("waiting"))
+    ends = waits.agg((F.min(first)).cast("bigint").alias("lo"), (F.max(last) + 1).cast("bigint").alias("hi")).where("lo <= hi")
+    ticks = ends.select(F.explode(F.sequence("lo", "hi")).alias("at"))
+    return ticks.join(now, "at", "left").select((F.col("at") * interval).alias("tick"), F.coalesce(F.col("at") * interval - F.col("oldest"), F.lit(0)).alias("waiting"))
 
 
 def recent_latency_stats(latencies: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], last_n: int | None = 1000) -> DataFrame:

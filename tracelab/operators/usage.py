@@ -139,9 +139,12 @@ def property_load(load: DataFrame) -> DataFrame:
 
 
 def active_inc_load(toggles: DataFrame, switches: int, max_active: int, interval: int) -> DataFrame:
-    """(tick, active, mean_active, share): properties active on all switches, per switch, and of the most that may be."""
-    deltas = toggles.select(F.lit(0).alias("k"), tick_of(F.col("time"), interval).alias("tick"), F.when(F.col("active"), 1).otherwise(-1).cast("bigint").alias("active"))
-    return running_by_tick(deltas, ["k"], ["active"], interval).select("tick", "active", (F.col("active") / switches).alias("mean_active"), (F.col("active") / (switches * max_active)).alias("share"))
+    """(tick, active, in_use, mean_active, share): properties active on all switches, switches with any, properties per switch, and of the most that may be."""
+    step = F.when(F.col("active"), 1).otherwise(-1)
+    after = toggles.withColumn("n", F.sum(step).over(_so_far("machine_id")))
+    turned = F.when(F.col("active") & (F.col("n") == 1), 1).when(~F.col("active") & (F.col("n") == 0), -1).otherwise(0)
+    deltas = after.select(F.lit(0).alias("k"), tick_of(F.col("time"), interval).alias("tick"), step.cast("bigint").alias("active"), turned.cast("bigint").alias("in_use"))
+    return running_by_tick(deltas, ["k"], ["active", "in_use"], interval).select("tick", "active", "in_use", (F.col("active") / switches).alias("mean_active"), (F.col("active") / (switches * max_active)).alias("share"))
 
 
 def property_occupancy(toggles: DataFrame, properties: Sequence[str], switches: int, max_active: int, interval: int) -> DataFrame:

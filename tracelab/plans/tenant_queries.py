@@ -94,11 +94,12 @@ def t5_taskgroup_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""with {TGSTATS} select JobID, JobStatus, count(*) as InvolvedTGCnt, cast(sum(TotalTasks) as bigint) as TasksTotal, cast(sum(TasksStarted) as bigint) as TasksStarted, round(sum(AvgQueueing * TotalTasks) / greatest(1, sum(TotalTasks)), 2) as AvgTaskQueueing,
-round(sum(Duration * TotalTasks) / greatest(1, sum(TotalTasks)), 2) as AvgTaskDuration, round(sum(OriginalDuration * TotalTasks) / greatest(1, sum(TotalTasks)), 2) as AvgTaskDurationOriginal from stats group by 1, 2""",
+round(sum(Duration * TotalTasks) / greatest(1, sum(TotalTasks)), 2) as AvgTaskDuration, round(sum(OriginalDuration * TotalTasks) / greatest(1, sum(TotalTasks)), 2) as AvgTaskDurationOriginal,
+any_value((select case when s.JobID % 5 = 0 then 'S' when list_contains(o.chosen, 2) then 'Y' else 'N' end from options o where o.job_id = s.JobID)) as InpStatus from stats s group by 1, 2""",
     "allocs",
 )
 def t6_job_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(tenant.job_stats(_stats(spark, sf)), 2)
+    return rounded(tenant.job_stats(_stats(spark, sf), t4_inp_status(spark, sf)), 2)
 
 
 @query(
@@ -116,20 +117,52 @@ def t7_tenant_snapshots(spark: SparkSession, sf: str) -> DataFrame:
 TICK = f"cast(ceil(time / {HOUR}.0) as bigint) * {HOUR}"
 
 
-@query(
-    f"""with {JOB_EVENTS}, d as (select machine_id % 4 as run, {TICK} as tick, cast(event = 'claim' as int) as a, case when event = 'claim' then num_tasks else 0 end as s, cast(event = 'preempt' as int) as p, 0 as sw, 0 as sv, 0 as at_, 0 as th from alloc_events
-union all select job_id % 4, {TICK}, 0, 0, 0, cast(event = 'flavor_chosen' and bit = 2 as int), cast(event = 'flavor_chosen' and bit = 1 as int), 0, 0 from job_events
-union all select tg_id % 4, cast(ceil(start_time / {HOUR}.0) as bigint) * {HOUR}, 0, 0, 0, 0, 0, 1, cpu from allocs),
-g as (select unnest(range((select min(tick) from d), (select max(tick) from d) + 1, {HOUR})) as tick), x as (select run, tick, sum(a) a, sum(s) s, sum(p) p, sum(sw) sw, sum(sv) sv, sum(at_) at_, sum(th) th from d group by 1, 2)
-select run, tick as Time, cast(sum(coalesce(at_, 0)) over w as bigint) as Attempts, cast(sum(coalesce(a, 0)) over w as bigint) as Allocations, cast(sum(coalesce(s, 0)) over w as bigint) as ScheduledTasks, cast(sum(coalesce(th, 0)) over w as bigint) as ThinkTime,
-cast(sum(coalesce(p, 0)) over w as bigint) as CountPreemptions, cast(0 as bigint) as CountJobs, cast(0 as bigint) as CountJobsFinished, cast(sum(coalesce(sw, 0)) over w as bigint) as TimesSwitchFlavorTaken, cast(sum(coalesce(sv, 0)) over w as bigint) as TimesServerFlavorTaken
-from (select distinct run from d) cross join g left join x using (run, tick) window w as (partition by run order by tick)""",
-    "alloc_events",
-)
+#: What each log adds to the counters.
+COUNTS = f"""states as (select *, coalesce(last_value(case event when 'flavor_chosen' then bit = 2 when 'flavor_removed' then false end ignore nulls) over j, false) as inp, count(*) filter (where event = 'scheduled') over j as ns, count(*) filter (where event in ('scheduled', 'withdraw')) over j as nl, min(case when event = 'submit' then time end) over j as t0
+from job_log window j as (partition by run, job_id order by time, seq rows between unbounded preceding and current row)),
+added as (select cast(machine_id % 4 as int) as run, {TICK} as Time, cast(event = 'claim' as int) as Allocations, case when event = 'claim' then num_tasks else 0 end as ScheduledTasks, case when event = 'preempt' then num_tasks else 0 end as CountPreemptions from alloc_events
+union all by name select cast(tg_id % 4 as int) as run, cast(ceil(start_time / {HOUR}.0) as bigint) * {HOUR} as Time, 1 as Attempts, case when alloc_id % 4 > 0 then cpu else 0 end as ThinkTime, case when alloc_id % 4 = 0 then cpu else 0 end as ThinkTimeWasted from allocs
+union all by name select run, {TICK} as Time, cast(event = 'scheduled' and ns = 1 as int) as TotalJobsFullyScheduled, cast(event = 'scheduled' and ns = 1 and inp as int) as TotalJobsFullyScheduledINP, case when event = 'scheduled' and ns = 1 then time - t0 else 0 end as TotalJobQueueTime,
+cast(event = 'submit' as int) as CountJobs, cast(event = 'submit' and has_inp as int) as CountJobsWithInp, cast(event = 'done' as int) as CountJobsFinished, cast(event = 'done' and inp as int) as CountJobsFinishedINP,
+case when event = 'submit' then 1 when event in ('scheduled', 'withdraw') and nl = 1 then -1 else 0 end as PendingJobsNotFullyScheduledPlusFutureTgSubmissions, cast(event = 'resubmit' as int) as TimesServerFallbackResubmit,
+case when bit = 2 then 0 when event = 'flavor_chosen' then 1 when event = 'flavor_removed' then -1 else 0 end as TimesServerFlavorTaken, case when bit <> 2 then 0 when event = 'flavor_chosen' then 1 when event = 'flavor_removed' then -1 else 0 end as TimesSwitchFlavorTaken from states),
+summed as (select run, Time, {", ".join(f"sum({c}) as {c}" for c in tenant.COUNTERS)} from added group by 1, 2), span as (select unnest(range((select min(Time) from added), (select max(Time) from added) + 1, {HOUR})) as Time),
+totals as (select run, Time, {", ".join(f"cast(sum(coalesce({c}, 0)) over w as bigint) as {c}" for c in tenant.COUNTERS)} from (select distinct run from added) cross join span left join summed using (run, Time) window w as (partition by run order by Time)),
+ends as (select run, job_id, min(submitted) as since, case when bool_or(full_time is null) then null else max(full_time) end as until from job_groups group by 1, 2),
+at_ticks as (select run, job_id, Time, since, until, max(case when submitted <= Time and (full_time is null or full_time > Time) then 1 else 0 end) as waits from ends join job_groups using (run, job_id) join span on Time >= since and (until is null or Time < until) group by all),
+waiting as (select run, Time, sum(waits) as PendingJobsNotFullyScheduled, sum(1 - waits) as PendingJobsFullyScheduled from at_ticks group by 1, 2),
+log_counters as (select totals.*, cast(coalesce(PendingJobsNotFullyScheduled, 0) as bigint) as PendingJobsNotFullyScheduled, cast(coalesce(PendingJobsFullyScheduled, 0) as bigint) as PendingJobsFullyScheduled from totals left join waiting using (run, Time))"""
+
+
+def _log_counters(spark: SparkSession, sf: str) -> DataFrame:
+    jobs = view(spark, sf, "job_log")
+    jobs = jobs.select("run", "seq", "time", "event", "job_id", F.when(F.col("has_inp"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))).alias("options"), F.array("bit").alias("included"))
+    run = lambda c: (F.col(c) % 4).cast("int").alias("run")
+    sched = view(spark, sf, "allocs").select(run("tg_id"), F.col("start_time").alias("time"), F.lit("attempt").alias("event"), F.col("cpu").alias("think_time"), (F.col("alloc_id") % 4).alias("allocations"))
+    groups = view(spark, sf, "job_groups")
+    pending = tenant.pending_jobs(groups.select("run", "job_id", "tg_id", "submitted"), groups.where("full_time is not null").select("run", "tg_id", "full_time"), HOUR, ["run"])
+    return tenant.scheduler_counters(view(spark, sf, "alloc_events").withColumn("run", run("machine_id")), jobs, sched, HOUR, pending=pending)
+
+
+@query(f"with {COUNTS} select * from log_counters", "alloc_events", "job_log", "job_groups")
 def t8_scheduler_counters(spark: SparkSession, sf: str) -> DataFrame:
-    jobs = _job_events(spark, sf).withColumn("run", F.col("job_id") % 4)
-    sched = view(spark, sf, "allocs").select((F.col("tg_id") % 4).alias("run"), F.col("start_time").alias("time"), F.lit("attempt").alias("event"), F.col("cpu").alias("think_time"))
-    return tenant.scheduler_counters(view(spark, sf, "alloc_events").withColumn("run", F.col("machine_id") % 4), jobs, sched, HOUR)
+    return _log_counters(spark, sf)
+
+
+@query(f"with {COUNTS} select run, Time, TimesServerFlavorTaken + TimesSwitchFlavorTaken + TimesServerFallbackResubmit + CountJobs - TotalJobsFullyScheduled - PendingJobsFullyScheduled as CountJobsWithInp from log_counters", "alloc_events", "job_log", "job_groups")
+def e6_inc_job_count_of_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The substitute for a counter that old files lack, on counters of the event log."""
+    return mappers.inc_job_count(_log_counters(spark, sf).drop("CountJobsWithInp")).select("run", "Time", "CountJobsWithInp")
+
+
+@query(
+    f"""with {COUNTS} select run, Time, CountJobs - TimesServerFallbackResubmit as EffectiveCountJobs, round(100.0 * TotalJobsFullyScheduledINP / (1 + CountJobsWithInp), 4) as AllocatedIncSuccess, round(100.0 * TimesSwitchFlavorTaken / (1 + CountJobsWithInp), 4) as RollingIncTaken,
+round(100.0 * CountPreemptions / nullif(ScheduledTasks + CountPreemptions, 0), 4) as WastedAllocations, round(100.0 * (TotalJobsFullyScheduled + PendingJobsFullyScheduled) / nullif(CountJobs - TimesServerFallbackResubmit, 0), 4) as SchedulingSuccess from log_counters""",
+    "alloc_events", "job_log", "job_groups",
+)
+def e7_success_of_log(spark: SparkSession, sf: str) -> DataFrame:
+    """From event logs to success ratios, without a file between."""
+    return rounded(mappers.success_ratios(_log_counters(spark, sf)).select("run", "Time", "EffectiveCountJobs", "AllocatedIncSuccess", "RollingIncTaken", "WastedAllocations", "SchedulingSuccess"))
 
 
 #: Groups of a day: submitted a while before an allocation starts, placed when it does; some never.
@@ -157,7 +190,7 @@ def t9_pending_jobs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""with {WAITS}, s as (select submitted, cast(ceil(submitted / {HOUR}.0) as bigint) as a, cast(ceil(full_time / {HOUR}.0) as bigint) - 1 as b from waits where full_time is not null)
-select t * {HOUR} as tick, t * {HOUR} - min(submitted) as waiting from (select submitted, unnest(range(a, b + 1)) as t from s where a <= b) group by t""",
+select t * {HOUR} as tick, coalesce(t * {HOUR} - oldest, 0) as waiting from (select unnest(range((select min(a) from s), (select max(b) from s) + 2)) as t) left join (select t, min(submitted) as oldest from (select submitted, unnest(range(a, b + 1)) as t from s where a <= b) group by t) using (t)""",
     "allocs",
 )
 def t10_max_waiting_time(spark: SparkSession, sf: str) -> DataFrame:

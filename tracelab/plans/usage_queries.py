@@ -113,8 +113,8 @@ def c8_property_load(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""with {TOGGLES}, s as (select {TICK} as tick, sum(case when active then 1 else -1 end) as d from toggles group by 1), t as (select unnest(range((select min(tick) from s), (select max(tick) from s) + 1, {HOUR})) as tick)
-select tick, cast(sum(coalesce(d, 0)) over (order by tick) as bigint) as active, round(sum(coalesce(d, 0)) over (order by tick) / 50.0, 6) as mean_active, round(sum(coalesce(d, 0)) over (order by tick) / 150.0, 6) as share from t left join s using (tick)""",
+    f"""with {TOGGLES}, a as (select *, sum(case when active then 1 else -1 end) over (partition by machine_id order by time, seq) as n from toggles), s as (select {TICK} as tick, sum(case when active then 1 else -1 end) as d, sum(case when active and n = 1 then 1 when not active and n = 0 then -1 else 0 end) as u from a group by 1), t as (select unnest(range((select min(tick) from s), (select max(tick) from s) + 1, {HOUR})) as tick)
+select tick, cast(sum(coalesce(d, 0)) over (order by tick) as bigint) as active, cast(sum(coalesce(u, 0)) over (order by tick) as bigint) as in_use, round(sum(coalesce(d, 0)) over (order by tick) / 50.0, 6) as mean_active, round(sum(coalesce(d, 0)) over (order by tick) / 150.0, 6) as share from t left join s using (tick)""",
     "alloc_events",
 )
 def c9_active_inc_load(spark: SparkSession, sf: str) -> DataFrame:

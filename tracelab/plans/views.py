@@ -55,8 +55,25 @@ select event_id as alloc_id, user_id % 97 as job_id, user_id as tg_id, user_id %
 VIEWS["alloc_events"] = """
 select 2 * alloc_id as seq, start_time as time, 'claim' as event, alloc_id, job_id, tg_id, machine_id, num_tasks, property, cpu, mem from allocs
 union all select 2 * alloc_id + 1 as seq, end_time as time, case when alloc_id % 10 = 0 then 'preempt' else 'release' end as event, alloc_id, job_id, tg_id, machine_id, num_tasks, property, cpu, mem from allocs"""
+VIEWS["job_times"] = """
+select *, submitted + job_id % 977 * 1000 as chosen, submitted + job_id % 977 * 1000 + job_id % 1877 * 1000 as second_group, submitted + job_id % 977 * 1000 + job_id % 1877 * 1000 + job_id % 3001 * 1000 as ended
+from (select o_orderkey as job_id, cast(o_custkey % 4 as int) as run, o_orderkey % 5 <> 0 as has_inp, case when o_orderkey % 5 <> 0 and o_custkey % 3 <> 0 then 2 else 1 end as bit, cast(DAYS(o_orderdate) as bigint) * 360000 + o_orderkey % 3571 * 1000 as submitted, o_orderstatus as fate from orders) x"""
+VIEWS["job_log"] = """
+select 8 * job_id + k as seq, time, event, job_id, run, has_inp, bit from (
+select *, 0 as k, submitted as time, 'submit' as event from job_times
+union all select *, 1 as k, chosen as time, 'flavor_chosen' as event from job_times
+union all select *, 2 as k, chosen + 500 as time, 'flavor_removed' as event from job_times where job_id % 13 = 0
+union all select *, 3 as k, chosen + 700 as time, 'resubmit' as event from job_times where job_id % 17 = 0
+union all select *, 4 as k, second_group + 900 as time, 'withdraw' as event from job_times where job_id % 19 = 0
+union all select *, 5 as k, second_group + 1000 as time, 'scheduled' as event from job_times where fate <> 'P' and job_id % 17 <> 0 and job_id % 19 <> 0
+union all select *, 6 as k, ended + 1500 as time, 'scheduled' as event from job_times where fate <> 'P' and job_id % 23 = 0 and job_id % 17 <> 0 and job_id % 19 <> 0
+union all select *, 7 as k, ended + 2000 as time, 'done' as event from job_times where fate = 'F' and job_id % 17 <> 0 and job_id % 19 <> 0) x"""
+#: Two groups a job, the second submitted later.
+VIEWS["job_groups"] = """
+select run, job_id, 2 * job_id as tg_id, submitted, chosen + 600 as full_time from job_times
+union all select run, job_id, 2 * job_id + 1 as tg_id, second_group + 800 as submitted, case when fate <> 'P' and job_id % 17 <> 0 then second_group + 1000 end as full_time from job_times"""
 
-_NEEDS = {"counters": ["runs"], "alloc_events": ["allocs"]}
+_NEEDS = {"counters": ["runs"], "alloc_events": ["allocs"], "job_log": ["job_times"], "job_groups": ["job_times"]}
 
 
 def text(name: str, dialect: dict[str, str]) -> str:
