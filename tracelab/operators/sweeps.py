@@ -9,7 +9,7 @@ from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelab.functions.expressions import scheduler_family
@@ -18,6 +18,19 @@ RUN = ["experiment", "run"]
 #: Keys that say where and when a run ran, not how.
 DROPPED = ("id", "output-dir")
 
+#: Configuration keys that aren't text.
+TYPES = {
+    **dict.fromkeys(("sim-time", "statistics-interval", "max-server-capacity", "cell-k", "cell-max-active-inp"), "bigint"),
+    **dict.fromkeys(("mu-inp", "think-time-scaling"), "double"),
+    **dict.fromkeys(
+        (
+            "flow-scheduler-take-real-think-time", "hirePreventHighLoadSolver", "hirePropagateDownstreamServerLocality", "kappa-draw-random", "hirePostponePreemptionOnFeasibleJobAllocation", "hirePostponePreemptionOnOverloadedCell",
+            "useSimpleTwoStateInpServerFlavorOptions",
+        ),
+        "boolean",
+    ),
+}
+
 
 def normalize_config(config: DataFrame, drop_seed: bool = False) -> DataFrame:
     """Keys without leading dashes, without ids and paths; truth values in lower case."""
@@ -61,12 +74,19 @@ def find_sweeps(config: DataFrame, always: Sequence[str] = ("scheduler",), never
     return counts.where((F.col("values") > 1) | F.col("key").isin(*always))
 
 
-def attach_config(stats: DataFrame, config: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """stats with the keys as columns. A key that stats has already is an error. Configurations are a row a run and are small."""
+def typed(c: str, types: Mapping[str, str] = TYPES) -> Column:
+    """A configuration's text by the type of its name: a truth value is true or else false, what is no number is null."""
+    if types.get(c) == "boolean":
+        return (F.lower(f"`{c}`") == "true").alias(c)
+    return (F.col(f"`{c}`").try_cast(types[c]) if c in types else F.col(f"`{c}`")).alias(c)
+
+
+def attach_config(stats: DataFrame, config: DataFrame, keys: Sequence[str], types: Mapping[str, str] = TYPES) -> DataFrame:
+    """stats with the keys as columns of their types. A key that stats has already is an error. Configurations are a row a run and are small."""
     if clash := set(keys) & set(stats.columns):
         raise ValueError(f"columns exist: {sorted(clash)}")
     wide = config.where(F.col("key").isin(*keys)).groupBy(*RUN).pivot("key", list(keys)).agg(F.first("value"))
-    return stats.join(wide, RUN)
+    return stats.join(wide.select(*RUN, *[typed(c, types) for c in keys]), RUN)
 
 
 def apply_mappers(df: DataFrame, mappers: Sequence[Callable[[DataFrame], DataFrame]], keep: Sequence[str] | None = None) -> DataFrame:

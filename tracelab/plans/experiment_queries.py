@@ -116,6 +116,22 @@ def d6_attach_config(spark: SparkSession, sf: str) -> DataFrame:
     return sweeps.attach_config(stats, sweeps.normalize_config(_config(spark, sf)), ["scheduler", "mu"]).drop("experiment")
 
 
+@query(
+    """select run, Time, CountJobs, cast(mu * 2 as double) as "mu-inp", cast(run as bigint) as "cell-k", run % 2 = 0 as "kappa-draw-random", case when run < 3 then cast(run as bigint) * 1000 end as "sim-time" from counters""",
+    "counters",
+)
+def d6_attach_typed_config(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers and truth values of configurations come as such; what is no number is null."""
+    stats = view(spark, sf, "counters").select("experiment", "run", "Time", "CountJobs")
+    told = {
+        "mu-inp": (F.col("mu") * 2).cast("string"), "cell-k": F.col("run").cast("string"), "kappa-draw-random": F.when(F.col("run") % 2 == 0, "True").otherwise("no"),
+        "sim-time": F.when(F.col("run") < 3, (F.col("run") * 1000).cast("string")).otherwise("as long as it takes"),
+    }
+    pairs = F.explode(F.create_map(*[x for k, v in told.items() for x in (F.lit(f"--{k}"), v)])).alias("key", "value")
+    config = view(spark, sf, "runs").select("experiment", "run", "mu").distinct().select("experiment", "run", pairs)
+    return sweeps.attach_config(stats, sweeps.normalize_config(config), list(told)).drop("experiment")
+
+
 @query("select run, count(*) as rows, max(CountJobs) as jobs from counters where Time >= 3600000 group by run", "counters")
 def d7_apply_mappers(spark: SparkSession, sf: str) -> DataFrame:
     """A mapper on DataFrames, then one on each run's rows in pandas."""
