@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelab.llm.common import attach, stage
+from tracelab.llm.common import HOT_SHARE, attach, stage
 from tracelab.llm.rolling import Rolling
 
 WINDOW, BLOCK, GRAM = 50, 25, 8
+#: To how many tasks the probes of a hot anchor go.
+SALTS = 64
 _LAST = (1 << 63) - 1
 
 
@@ -119,8 +121,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
     probes = scanned.select("row", F.hash("digest").alias("content"), F.explode(F.arrays_zip("anchor", "span", "block")).alias("x"))
     probes = probes.select("row", "content", F.col("x.anchor").alias("anchor"), F.col("x.span").alias("span"), F.col("x.block").alias("block"))
-    hits = probes.groupBy("anchor").agg(F.min("content").alias("lo"), F.max("content").alias("hi"), F.max("block").alias("indexed")).where("indexed and lo < hi").select("anchor")
-    spans = probes.select("row", "anchor", "span").join(hits, "anchor", "left_semi").groupBy("row").agg(F.collect_list("span").alias("spans"))
+    hits = probes.groupBy("anchor").agg(F.min("content").alias("lo"), F.max("content").alias("hi"), F.max("block").alias("indexed"), F.count("*").alias("n")).where("indexed and lo < hi")
+    hits = stage(hits.select("anchor", "n"), "hits")
+    # Probes of an anchor with over 1/HOT_SHARE of them, of which there are fewer than HOT_SHARE, are dealt to SALTS tasks.
+    share = max(1, (hits.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
+    hot = F.broadcast(hits.where(F.col("n") > share).select("anchor", F.lit(SALTS).alias("salts")))
+    dealt = probes.select("row", "anchor", "span").join(hot, "anchor", "left").withColumn("salt", F.pmod(F.xxhash64("row"), F.coalesce("salts", F.lit(1))))
+    met = hits.select("anchor", F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(F.col("n") > share, SALTS - 1).otherwise(0).cast("bigint"))).alias("salt"))
+    spans = dealt.join(met, ["anchor", "salt"], "left_semi").groupBy("row").agg(F.collect_list("span").alias("spans"))
     found = rows.where(~F.col("whole")).join(spans, "row").select("row", "ord", "key", "spans")
     texts = stage(named.join(found, ["ord", "key"]).select("row", "ord", "text", "spans"), "candidates")
 
