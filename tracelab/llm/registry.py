@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracelab.llm import chat, exact_dedup, language, media, mixing, packing, quality, simhash, substrings, token_counts
+from tracelab.llm import centroids, chat, exact_dedup, language, media, mixing, negatives, packing, quality, secrets, simhash, substrings, token_counts
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,9 @@ QUERIES = {
         language.op8_language_id,
         packing.op9_best_fit_packing,
         media.op10_media_columns,
+        negatives.op11_hard_negatives,
+        secrets.op12_secret_scan,
+        centroids.op13_centroids,
     )
 }
-SQL = {"op3_exact_dedup": exact_dedup.SQL, "op4_substring_dedup": substrings.SQL}
+SQL = {"op3_exact_dedup": exact_dedup.SQL, "op4_substring_dedup": substrings.SQL, "op11_hard_negatives": negatives.SQL, "op13_centroids": centroids.SQL}
