@@ -42,7 +42,7 @@ def starts(rows: DataFrame, clusters: int, seed: int = SEED) -> np.ndarray:
     """The vectors with the smallest SHA-256 of `seed:vec_id`, in that order, fewer if there are fewer. Null ids come last; rows of one id by their components."""
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     first = rows.select(order.alias("h"), "v").orderBy(F.col("h").isNull(), "h", "v").limit(clusters).collect()
-    return np.array([r.v for r in first], np.int64).reshape(len(first), -1)
+    return np.array([r.v for r in first], np.int64)
 
 
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,9 +127,9 @@ def cluster(rows: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS, see
     """
     spark = rows.sparkSession
     centroids = starts(rows, clusters, seed)
-    blocks = stage(rows.mapInArrow(_encoded, "ids array<long>, codes binary, first binary, begin binary"), "blocks")
     if not len(centroids):
         return spark.createDataFrame([], "vec_id long, cluster int, distance long"), centroids
+    blocks = stage(rows.mapInArrow(_encoded, "ids array<long>, codes binary, first binary, begin binary"), "blocks")
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(centroids)
         sums = blocks.mapInArrow(_summed(shared), "cluster int, dim int, total decimal(38,0), n long")

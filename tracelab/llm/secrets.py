@@ -107,7 +107,10 @@ def scan(docs: DataFrame, pieces: list[str] | None = None, text: str = "text", d
     known = identifiers(docs, text) if pieces is None else pieces
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = cache("secrets").setdefault("novelty", Novelty(known))
+        held = cache("secrets")
+        if held.get("pieces") != known:
+            held |= {"pieces": known, "novelty": Novelty(known)}
+        novelty = held["novelty"]
         for batch in batches:
             rows = []
             for x in batch.column(1).to_pylist():
