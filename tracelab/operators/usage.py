@@ -101,43 +101,6 @@ def cell_utilization(events: DataFrame, demand: Sequence[str], capacity: DataFra
     return running_by_tick(deltas, ["dim"], ["used"], interval).join(F.broadcast(total), "dim").select("dim", "tick", "used", F.try_divide("used", "total").alias("utilization"))
 
 
-def inc_load(events: DataFrame, own: str, capacity: DataFrame, interval: int, prop: str = "property") -> DataFrame:
-    """(property, tick, used, total, blocked and their ratios): of the machines where a property is active, what it uses and what others block.
-
-    used moves with the property's claims. total is the capacity of machines while it is active there. blocked is other
-    properties' use on those machines: it moves with their claims while it is active, and by what is in use when it starts or ends to be.
-    """
-    moves = events.select("seq", "time", "machine_id", F.col(prop).alias("property"), (sign() * F.col("num_tasks") * F.col(own)).alias("d"), sign().alias("step"))
-    toggles = active_properties(events, prop)
-    in_use = F.sum("d").over(_so_far("machine_id"))
-    own_use = F.sum("d").over(_so_far("machine_id", "property"))
-    state = moves.withColumn("all_use", in_use).withColumn("own_use", own_use)
-    tick = tick_of(F.col("time"), interval).alias("tick")
-    zero = F.lit(0).cast("bigint")
-    used = moves.select("property", tick, F.col("d").alias("used"), zero.alias("total"), zero.alias("blocked"))
-    # Each move is seen from every kind of property (a handful), with whether that one is active on the machine then.
-    kinds = F.broadcast(moves.select(F.col("property").alias("p")).distinct())
-    seen = moves.crossJoin(kinds).withColumn("own_step", F.when(F.col("property") == F.col("p"), F.col("step")).otherwise(0))
-    seen = seen.withColumn("active", F.sum("own_step").over(_so_far("machine_id", "p")) > 0)
-    others = seen.where(F.col("active") & (F.col("property") != F.col("p")))
-    blocked = others.select(F.col("p").alias("property"), tick, zero.alias("used"), zero.alias("total"), F.col("d").alias("blocked"))
-    here = toggles.join(state.select("seq", "time", "machine_id", "property", "all_use", "own_use"), ["seq", "time", "machine_id", "property"]).join(capacity, "machine_id")
-    flip = F.when(F.col("active"), 1).otherwise(-1)
-    turned = here.select("property", tick, zero.alias("used"), (flip * F.col("capacity")).cast("bigint").alias("total"), (flip * (F.col("all_use") - F.col("own_use"))).alias("blocked"))
-    out = running_by_tick(used.unionByName(blocked).unionByName(turned), ["property"], ["used", "total", "blocked"], interval)
-    ratio = lambda c: F.coalesce(F.try_divide(c, "total"), F.lit(0.0))
-    return out.withColumns({"utilization": ratio("used"), "blocked_by_others": ratio("blocked")})
-
-
-def inc_load_wide(load: DataFrame, properties: Sequence[str], kinds: Sequence[str] = ("utilization", "blocked_by_others")) -> DataFrame:
-    """One row a tick with a column for each property and kind."""
-    return load.groupBy("tick").pivot("property", list(properties)).agg(*[F.first(k).alias(k) for k in kinds])
-
-
-def property_load(load: DataFrame) -> DataFrame:
-    return load.select("property", "tick", F.coalesce(F.try_divide(F.col("used") + F.col("blocked"), "total"), F.lit(0.0)).alias("load"))
-
-
 def active_inc_load(toggles: DataFrame, switches: int, max_active: int, interval: int) -> DataFrame:
     """(tick, active, in_use, mean_active, share): properties active on all switches, switches with any, properties per switch, and of the most that may be."""
     step = F.when(F.col("active"), 1).otherwise(-1)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelab.functions.expressions import load_level
-from tracelab.operators import usage
+from tracelab.operators import switches, usage
 from tracelab.plans.registry import query, rounded
 from tracelab.plans.views import view
 
@@ -69,6 +69,7 @@ def c4_shared_demand_never(spark: SparkSession, sf: str) -> DataFrame:
     return _shared_usage(spark, sf, "deactivated")
 
 
+KINDS = ("click", "error", "purchase", "signup", "view")
 TICK = f"cast(ceil(time / {HOUR}.0) as bigint) * {HOUR}"
 TICKS = f"ticks as (select unnest(range((select min({TICK}) from alloc_events), (select max({TICK}) from alloc_events) + 1, {HOUR})) as tick)"
 
@@ -93,23 +94,26 @@ dense as (select property, tick, sum(coalesce(used, 0)) over w as used, sum(coal
 
 
 def _load(spark: SparkSession, sf: str) -> DataFrame:
-    capacity = _capacity(spark, sf).where("dim = 0").select("machine_id", "capacity")
-    return usage.inc_load(view(spark, sf, "alloc_events"), "cpu", capacity, HOUR)
+    """One dimension, without needs of the properties' own."""
+    capacity = _capacity(spark, sf).where("dim = 0").select("machine_id", F.array("capacity").alias("capacity"))
+    demands = switches.switch_demands(view(spark, sf, "alloc_events").withColumn("properties", F.array("property")), ["cpu"])
+    return switches.inc_load(demands, capacity, 1, HOUR, KINDS)
 
 
 @query(f"with {LOAD} select property, tick, cast(used as bigint) as used, cast(total as bigint) as total, cast(blocked as bigint) as blocked, round(coalesce(used / nullif(total, 0), 0), 6) as utilization, round(coalesce(blocked / nullif(total, 0), 0), 6) as blocked_by_others from dense", "alloc_events")
 def c6_inc_load(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_load(spark, sf), 6)
+    return rounded(_load(spark, sf).select("property", "tick", "used", "total", "blocked", "utilization", "blocked_by_others"), 6)
 
 
 @query(f"with {LOAD} select tick, max(round(coalesce(used / nullif(total, 0), 0), 6)) filter (where property = 'click') as click_utilization, max(round(coalesce(used / nullif(total, 0), 0), 6)) filter (where property = 'error') as error_utilization from dense group by tick", "alloc_events")
 def c7_inc_load_wide(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(usage.inc_load_wide(_load(spark, sf), ["click", "error"]).select("tick", "click_utilization", "error_utilization"), 6)
+    wide = switches.load_table(_load(spark, sf), ["click", "error"], 1)
+    return rounded(wide.select(F.col("Time").alias("tick"), *[F.col(f"UtilizationSwitch_Prop{p}_Dim0").alias(f"{p}_utilization") for p in ("click", "error")]), 6)
 
 
 @query(f"with {LOAD} select property, tick, round(coalesce((used + blocked) / nullif(total, 0), 0), 6) as load from dense", "alloc_events")
 def c8_property_load(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(usage.property_load(_load(spark, sf)), 6)
+    return rounded(switches.property_load(_load(spark, sf)).select("property", "tick", "load"), 6)
 
 
 @query(
@@ -121,9 +125,6 @@ def c9_active_inc_load(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(usage.active_inc_load(usage.active_properties(view(spark, sf, "alloc_events")), 50, 3, HOUR), 6)
 
 
-KINDS = ("click", "error", "purchase", "signup", "view")
-
-
 @query(
     f"""with {TOGGLES}, a as (select *, case when active then 1 else -1 end as st, sum(case when active then 1 else -1 end) over (partition by machine_id order by time, seq) as n from toggles),
 e as (select a.*, p, sum(case when property = p then st else 0 end) over (partition by machine_id, p order by time, seq) > 0 or n >= 3 as taken from a cross join (select unnest([{", ".join(f"'{k}'" for k in KINDS)}]) as p)),

@@ -55,6 +55,13 @@ select event_id as alloc_id, user_id % 97 as job_id, user_id as tg_id, user_id %
 VIEWS["alloc_events"] = """
 select 2 * alloc_id as seq, start_time as time, 'claim' as event, alloc_id, job_id, tg_id, machine_id, num_tasks, property, cpu, mem from allocs
 union all select 2 * alloc_id + 1 as seq, end_time as time, case when alloc_id % 10 = 0 then 'preempt' else 'release' end as event, alloc_id, job_id, tg_id, machine_id, num_tasks, property, cpu, mem from allocs"""
+#: Allocations on switches, some of groups that ask for two properties, and those of the servers beside them.
+VIEWS["switch_allocs"] = """
+select event_id as alloc_id, user_id % 20 as machine_id, MS(ts) as start_time, MS(ts) + 1 + cast(floor(value * 500000) as bigint) as end_time, 1 + event_id % 2 as num_tasks,
+  case when user_id % 5 = 0 then concat(2 + user_id % 8, ',', 2 + (user_id + 3) % 8) else concat(2 + user_id % 8, '') end as props, 1 + user_id % 4 as stages, 1 + user_id % 2 as tables, user_id % 3 as sram from events"""
+VIEWS["switch_events"] = """
+select 2 * alloc_id as seq, start_time as time, 'claim' as event, alloc_id, machine_id, num_tasks, props, stages, tables, sram from switch_allocs
+union all select 2 * alloc_id + 1 as seq, end_time as time, case when alloc_id % 10 = 0 then 'preempt' else 'release' end as event, alloc_id, machine_id, num_tasks, props, stages, tables, sram from switch_allocs"""
 VIEWS["job_times"] = """
 select *, submitted + job_id % 977 * 1000 as chosen, submitted + job_id % 977 * 1000 + job_id % 1877 * 1000 as second_group, submitted + job_id % 977 * 1000 + job_id % 1877 * 1000 + job_id % 3001 * 1000 as ended
 from (select o_orderkey as job_id, cast(o_custkey % 4 as int) as run, o_orderkey % 5 <> 0 as has_inp, case when o_orderkey % 5 <> 0 and o_custkey % 3 <> 0 then 2 else 1 end as bit, cast(DAYS(o_orderdate) as bigint) * 360000 + o_orderkey % 3571 * 1000 as submitted, o_orderstatus as fate from orders) x"""
@@ -73,7 +80,7 @@ VIEWS["job_groups"] = """
 select run, job_id, 2 * job_id as tg_id, submitted, chosen + 600 as full_time from job_times
 union all select run, job_id, 2 * job_id + 1 as tg_id, second_group + 800 as submitted, case when fate <> 'P' and job_id % 17 <> 0 then second_group + 1000 end as full_time from job_times"""
 
-_NEEDS = {"counters": ["runs"], "alloc_events": ["allocs"], "job_log": ["job_times"], "job_groups": ["job_times"]}
+_NEEDS = {"counters": ["runs"], "alloc_events": ["allocs"], "switch_events": ["switch_allocs"], "job_log": ["job_times"], "job_groups": ["job_times"]}
 
 
 def text(name: str, dialect: dict[str, str]) -> str:
