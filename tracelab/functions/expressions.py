@@ -68,14 +68,14 @@ def scheduler_family(scheduler: Column) -> Column:
 
 
 def might_be_in_flavor(in_option: Column, not_in: Column, chosen: Column, excluded: Column) -> Column:
-    """A group that can still belong to the flavor: none of its options is excluded for good and none of the chosen rules it out."""
-    free = F.size(in_option) == 0
-    return ~F.arrays_overlap(not_in, chosen) & (free | (F.size(F.array_except(in_option, excluded)) > 0))
+    """A group that can still belong to the flavor: it rules nothing out, or nothing of that is chosen and none of its options is excluded."""
+    return (F.size(not_in) == 0) | (~F.arrays_overlap(not_in, chosen) & ~F.arrays_overlap(in_option, excluded))
 
 
 def definitely_in_flavor(in_option: Column, not_in: Column, chosen: Column, excluded: Column) -> Column:
-    """A group that does belong to it: without options, or with one that is chosen."""
-    return ~F.arrays_overlap(not_in, chosen) & ((F.size(in_option) == 0) | F.arrays_overlap(in_option, chosen))
+    """A group that does belong to it: it rules nothing out, or one of its options is chosen, none excluded, and all that it rules out is excluded, nothing of it chosen."""
+    settled = F.arrays_overlap(in_option, chosen) & (F.size(F.array_except(not_in, excluded)) == 0)
+    return (F.size(not_in) == 0) | (settled & ~F.arrays_overlap(not_in, chosen) & ~F.arrays_overlap(in_option, excluded))
 
 
 def inc_options(options: Column) -> Column:

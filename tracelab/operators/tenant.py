@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -147,31 +148,80 @@ def scheduler_counters(alloc_events: DataFrame, job_events: DataFrame, sched_eve
     return out.withColumnRenamed("tick", "Time")
 
 
-def state_intervals(spans: DataFrame, interval: int, keys: Sequence[str]) -> DataFrame:
-    """(keys, tick, n): how many spans (since, until) hold at each tick; open ones never end."""
+def state_intervals(spans: DataFrame, interval: int, keys: Sequence[str], last: int | None = None) -> DataFrame:
+    """(keys, tick, n): how many spans (since, until) hold at each tick, to the last change or the tick `last`; open ones never end."""
     ups = spans.select(*keys, tick_of(F.col("since"), interval).alias("tick"), F.lit(1).cast("bigint").alias("n"))
     downs = spans.where("until is not null").select(*keys, tick_of(F.col("until"), interval).alias("tick"), F.lit(-1).cast("bigint").alias("n"))
-    return running_by_tick(ups.unionByName(downs), list(keys), ["n"], interval)
+    return running_by_tick(ups.unionByName(downs), list(keys), ["n"], interval, last)
 
 
-def pending_jobs(tgs: DataFrame, started: DataFrame, interval: int, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, placed, tick, n): unfinished jobs at each tick, split by whether all groups submitted so far are placed.
+def placed_spans(alloc_events: DataFrame, tgs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, tg_id, full_time, lost_time): when all tasks of a group run or have run, until a preemption takes some of them; open ones have no lost_time.
 
-    tgs: (keys, job_id, tg_id, submitted); started: (keys, tg_id, full_time), when a group's last task started. A job is pending from its
-    first submission until its last group is placed.
+    alloc_events: (keys, tg_id, time, event, num_tasks); tgs: (keys, tg_id, num_tasks). What happens at one time counts together.
     """
-    rows = tgs.join(started, [*keys, "tg_id"], "left")
+    group = [*keys, "tg_id"]
+    change = F.when(F.col("event") == "claim", F.col("num_tasks")).when(F.col("event") == "preempt", -F.col("num_tasks"))
+    moves = alloc_events.where(F.col("event").isin("claim", "preempt")).groupBy(*group, "time").agg(F.sum(change).alias("d"))
+    w = Window.partitionBy(*group).orderBy("time")
+    rows = moves.join(tgs.select(*group, F.col("num_tasks").alias("_tasks")), group)
+    rows = rows.withColumn("full", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)) >= F.col("_tasks"))
+    turns = rows.withColumn("was", F.coalesce(F.lag("full").over(w), F.lit(False))).where("full <> was")
+    return turns.withColumn("next", F.lead("time").over(w)).where("full").select(*group, F.col("time").alias("full_time"), F.col("next").alias("lost_time"))
+
+
+def _ruled_out(tgs: DataFrame, options: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, job_id, tg_id, time, o): where the number of reasons against a group in its job's flavor changes: each bit that it rules out and is chosen, each of its own that is excluded."""
     job = [*keys, "job_id"]
-    ends = F.max(F.coalesce("full_time", F.lit(1 << 62)))
-    jobs = rows.groupBy(*job).agg(F.min("submitted").alias("since"), ends.alias("u")).select(*job, "since", F.when(F.col("u") < (1 << 62), F.col("u")).alias("until"))
-    # Within a job, waiting groups go up at submission and down when placed; placed means there are none.
-    moves = rows.select(*job, F.col("submitted").alias("time"), F.lit(1).alias("d")).unionByName(rows.where("full_time is not null").select(*job, F.col("full_time").alias("time"), F.lit(-1).alias("d")))
-    summed = moves.groupBy(*job, "time").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy(*job).orderBy("time")
-    states = summed.withColumn("waiting", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("to", F.lead("time").over(w))
-    spans = states.join(jobs, job).where((F.col("time") >= F.col("since")) & (F.col("until").isNull() | (F.col("time") < F.col("until"))))
-    spans = spans.select(*keys, (F.col("waiting") == 0).alias("placed"), F.col("time").alias("since"), F.when(F.col("to").isNull(), F.col("until")).when(F.col("until").isNull(), F.col("to")).otherwise(F.least("to", "until")).alias("until"))
-    return state_intervals(spans, interval, [*keys, "placed"])
+    told = options.where(F.col("event").isin("flavor_chosen", "flavor_removed"))
+    sides = [told.select(*job, "time", "seq", (F.col("event") == "flavor_chosen").alias("on"), F.lit(side).alias("side"), F.explode(side).alias("bit")) for side in ("included", "excluded")]
+    w = Window.partitionBy(*job, "side", "bit").orderBy("time", "seq")
+    turns = sides[0].unionByName(sides[1]).withColumn("was", F.coalesce(F.lag("on").over(w), F.lit(False))).where("on <> was")
+    bound = tgs.where(F.size("not_in_option") > 0)
+    against = [bound.select(*job, "tg_id", F.lit(side).alias("side"), F.explode(c).alias("bit")) for side, c in (("included", "not_in_option"), ("excluded", "in_option"))]
+    return turns.join(against[0].unionByName(against[1]), [*job, "side", "bit"]).select(*job, "tg_id", "time", F.when(F.col("on"), 1).otherwise(-1).alias("o"))
+
+
+def pending_jobs(tgs: DataFrame, started: DataFrame, interval: int, keys: Sequence[str] = (), options: DataFrame | None = None, withdrawn: DataFrame | None = None, last: int | None = None) -> DataFrame:
+    """(keys, placed, tick, n): unfinished jobs at each tick, split by whether all groups submitted so far that might be in the flavor are placed.
+
+    tgs: (keys, job_id, tg_id, submitted), with options also (in_option, not_in_option); started: (keys, tg_id, full_time[, lost_time]), when a group's last
+    task started, and when it lost one (placed_spans); options: (keys, job_id, seq, time, event, included, excluded), flavors chosen and removed: a group counts
+    only while it might be in its job's flavor; without them all groups do. withdrawn: (keys, job_id, time).
+    A job is pending from its first submission until no group that might be in its flavor lacks tasks, submitted or not, or until it is withdrawn.
+    What changes at one time counts together. Each group is swept over its changes in order, then each job over its groups'.
+    """
+    job = [*keys, "job_id"]
+    group = [*job, "tg_id"]
+    first = tgs.groupBy(*job).agg(F.min("submitted").alias("since"))
+    none = F.lit(0)
+    change = lambda df, time, u=none, o=none, s=none: df.select(*group, F.col(time).alias("time"), u.alias("u"), o.alias("o"), s.alias("s"))
+    own = tgs.select(*group, "submitted")
+    placed = own.select(*group).join(started, [*keys, "tg_id"])
+    moves = [change(own.join(first, job), "since", u=F.lit(1)), change(own, "submitted", s=F.lit(1)), change(placed.where("full_time is not null"), "full_time", u=F.lit(-1))]
+    if "lost_time" in started.columns:
+        moves.append(change(placed.where("lost_time is not null"), "lost_time", u=F.lit(1)))
+    if options is not None:
+        moves.append(change(_ruled_out(tgs, options, keys), "time", o=F.col("o")))
+    dealt = reduce(DataFrame.unionByName, moves).repartition(*job)  # what follows is by job or finer
+    summed = dealt.groupBy(*group, "time").agg(*[F.sum(c).alias(c) for c in ("u", "o", "s")])
+    w = Window.partitionBy(*group).orderBy("time")
+    now = lambda c: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    # lacks: the group needs tasks; ready: it is submitted too.
+    state = summed.select(*group, "time", (now("u") > 0).alias("_u"), (now("o") == 0).alias("_o"), (now("s") > 0).alias("_s"))
+    state = state.select(*group, "time", (F.col("_u") & F.col("_o")).cast("int").alias("lacks"), (F.col("_u") & F.col("_o") & F.col("_s")).cast("int").alias("ready"))
+    step = lambda c: (F.col(c) - F.coalesce(F.lag(c).over(w), F.lit(0))).alias(c)
+    jobs = state.select(*job, "tg_id", "time", step("lacks"), step("ready")).groupBy(*job, "time").agg(F.sum("lacks").alias("lacks"), F.sum("ready").alias("ready"))
+    v = Window.partitionBy(*job).orderBy("time")
+    jobs = jobs.select(*job, "time", *[F.sum(c).over(v.rowsBetween(Window.unboundedPreceding, 0)).alias(c) for c in ("lacks", "ready")], F.lead("time").over(v).alias("to"))
+    jobs = jobs.join(first, job).where(F.col("time") >= F.col("since"))
+    ends = jobs.where("lacks = 0").select(*job, "time")
+    if withdrawn is not None:
+        ends = ends.unionByName(withdrawn.select(*job, "time"))
+    jobs = jobs.join(ends.groupBy(*job).agg(F.min("time").alias("end")), job, "left").where(F.col("end").isNull() | (F.col("time") < F.col("end")))
+    # least() passes over nulls: an open span ends with its job, if that ends.
+    spans = jobs.select(*keys, (F.col("ready") == 0).alias("placed"), F.col("time").alias("since"), F.least("to", "end").alias("until"))
+    return state_intervals(spans, interval, [*keys, "placed"], last)
 
 
 def max_waiting_time(waits: DataFrame, interval: int) -> DataFrame:
@@ -243,6 +293,30 @@ def recent_speed(progress: DataFrame, keys: Sequence[str], sim: str, wall_us: st
     return speed.join(at, list(keys)).select(*keys, "speed", (F.col("speed") * (F.lit(end) - F.col("_at"))).alias("remaining_us"))
 
 
-def preemption_counts(events: DataFrame) -> DataFrame:
-    """(job_id, preemptions, last_preemption, preempted_tasks): distinct times, the last one, and the tasks."""
-    return events.where("event = 'preempt'").groupBy("job_id").agg(F.count_distinct("time").alias("preemptions"), F.max("time").alias("last_preemption"), F.sum("num_tasks").alias("preempted_tasks"))
+def preemption_counts(events: DataFrame, job_events: DataFrame | None = None) -> DataFrame:
+    """(job_id, preemptions, last_preemption, preempted_tasks): distinct times at which a job lost running allocations, the last one, and the tasks.
+
+    job_events: (job_id, time, event). A withdraw preempts what runs then, and counts as tasks all that the job was ever given until then, as those
+    who report it do; it is the last preemption, whether anything ran or not. `withdrawn_tasks` is what did run: allocations claimed by then and not
+    ended before, which the difference of claims and ends by job tells without joining them in pairs.
+    """
+    taken = events.where("event = 'preempt'").select("job_id", "time", "num_tasks")
+    if job_events is None:
+        return taken.groupBy("job_id").agg(F.count_distinct("time").alias("preemptions"), F.max("time").alias("last_preemption"), F.sum("num_tasks").alias("preempted_tasks"))
+    ends = job_events.where("event = 'withdraw'").groupBy("job_id").agg(F.min("time").alias("withdrawn"))
+    rows = events.select("job_id", "time", "event", "num_tasks").join(ends, "job_id", "left")
+    on_time = F.col("withdrawn").isNull() | (F.col("time") <= F.col("withdrawn"))
+    own = rows.where(on_time)
+    claim, preempt = F.col("event") == "claim", F.col("event") == "preempt"
+    add = lambda cond, c: F.coalesce(F.sum(F.when(cond, c)), F.lit(0)).cast("bigint")
+    sums = own.groupBy("job_id").agg(
+        F.collect_set(F.when(preempt, F.col("time"))).alias("times"), F.max(F.when(preempt, F.col("time"))).alias("last"), add(preempt, F.col("num_tasks")).alias("tasks"), add(claim, F.col("num_tasks")).alias("given"), (add(claim, F.col("num_tasks")) - add(~claim, F.col("num_tasks"))).alias("running"),
+    )
+    both = sums.join(ends, "job_id", "full")
+    alive = F.col("withdrawn").isNotNull() & (F.coalesce("running", F.lit(0)) > 0)
+    times = F.coalesce("times", F.array().cast("array<bigint>"))
+    out = both.select(
+        "job_id", F.size(F.when(alive, F.array_union(times, F.array("withdrawn"))).otherwise(times)).cast("bigint").alias("preemptions"), F.coalesce("withdrawn", "last").alias("last_preemption"),
+        (F.coalesce("tasks", F.lit(0)) + F.when(F.col("withdrawn").isNotNull(), F.coalesce("given", F.lit(0))).otherwise(0)).alias("preempted_tasks"), F.when(alive, F.col("running")).otherwise(0).alias("withdrawn_tasks"),
+    )
+    return out.where("last_preemption is not null")

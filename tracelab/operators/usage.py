@@ -80,16 +80,16 @@ def tick_of(time: Column, interval: int) -> Column:
     return F.ceil(time / interval).cast("bigint") * interval
 
 
-def _ticks(deltas: DataFrame, keys: Sequence[str], interval: int) -> DataFrame:
-    """Every tick of every key from the first to the last of all."""
-    ends = F.broadcast(deltas.agg(F.min("tick").alias("lo"), F.max("tick").alias("hi")))  # one row
+def _ticks(deltas: DataFrame, keys: Sequence[str], interval: int, last: int | None = None) -> DataFrame:
+    """Every tick of every key from the first to the last of all, or to `last` if that is later."""
+    ends = F.broadcast(deltas.agg(F.min("tick").alias("lo"), F.greatest(F.max("tick"), F.lit(last).cast("bigint")).alias("hi")))  # one row
     return deltas.select(*keys).distinct().crossJoin(ends).select(*keys, F.explode(F.sequence("lo", "hi", F.lit(interval).cast("bigint"))).alias("tick"))
 
 
-def running_by_tick(deltas: DataFrame, keys: Sequence[str], values: Sequence[str], interval: int) -> DataFrame:
-    """Running sums of values of (keys, tick) rows at each tick, dense."""
+def running_by_tick(deltas: DataFrame, keys: Sequence[str], values: Sequence[str], interval: int, last: int | None = None) -> DataFrame:
+    """Running sums of values of (keys, tick) rows at each tick, dense, up to the last change or to the tick `last` if that is later."""
     summed = deltas.groupBy(*keys, "tick").agg(*[F.sum(v).alias(v) for v in values])
-    dense = _ticks(summed, keys, interval).join(summed, [*keys, "tick"], "left")
+    dense = _ticks(summed, keys, interval, last).join(summed, [*keys, "tick"], "left")
     w = Window.partitionBy(*keys).orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
     return dense.select(*keys, "tick", *[F.sum(F.coalesce(v, F.lit(0))).over(w).alias(v) for v in values])
 

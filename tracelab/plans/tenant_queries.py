@@ -32,9 +32,12 @@ def t1_job_options_at(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("job_id", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("chosen", "excluded")])
 
 
+MIGHT = "(len(n) = 0 or (not list_has_any(n, chosen) and not list_has_any(i, excluded)))"
+
+
 @query(
     f"""with {OPTIONS}, tgs as (select distinct job_id, tg_id, tg_id % 3 as k from allocs), j as (select tg_id, job_id, case k when 0 then [] when 1 then [1] else [2] end as i, case k when 0 then [] when 1 then [2] else [1] end as n, chosen, excluded from tgs join options using (job_id))
-select tg_id, job_id, not list_has_any(n, chosen) and (len(i) = 0 or len(list_filter(i, lambda b: not list_contains(excluded, b))) > 0) as might_be, not list_has_any(n, chosen) and (len(i) = 0 or list_has_any(i, chosen)) as definitely from j""",
+select tg_id, job_id, {MIGHT} as might_be, {MIGHT} and (len(n) = 0 or (list_has_any(i, chosen) and list_has_all(excluded, n))) as definitely from j""",
     "allocs",
 )
 def t2_flavor_membership(spark: SparkSession, sf: str) -> DataFrame:
@@ -251,3 +254,49 @@ def t17_preemption_counts(spark: SparkSession, sf: str) -> DataFrame:
     return tenant.preemption_counts(view(spark, sf, "alloc_events"))
 
 
+
+
+LAST = 750 * HOUR
+#: Groups with options, and what jobs choose and give up: both from allocations.
+FLAVORS = f"""{WAITS}, groups as (select *, case tg_id % 3 when 0 then [] when 1 then [1] else [2] end as i, case tg_id % 3 when 0 then [] when 1 then [2] else [1] end as n from waits),
+told as (select job_id * 100 + cast(floor(start_time / 86400000) as bigint) as job_id, alloc_id as seq, start_time - 2000000 * (alloc_id % 3) as time, alloc_id % 9 <> 8 as chosen, 1 + job_id % 2 as bit from allocs where alloc_id % 4 < 3),
+bits as (select job_id, seq, time, chosen, 'c' as side, bit from told union all select job_id, seq, time, chosen, 'x', 3 - bit from told),
+born as (select job_id, min(submitted) as since from groups group by job_id), gone as (select job_id * 100 + cast(floor(start_time / 86400000) as bigint) as job_id, min(start_time) + 1000 as left_at from allocs where alloc_id % 37 = 0 group by 1),
+span as (select unnest(range((select cast(ceil(min(submitted) / {HOUR}.0) as bigint) from groups), {LAST // HOUR + 1})) * {HOUR} as tick),
+times as (select distinct job_id, time, false as is_tick from (select job_id, since as time from born union all select job_id, submitted from groups union all select job_id, full_time from groups where full_time is not null union all select job_id, time from told) join born using (job_id) where time >= since union all select job_id, tick, true from born join span on tick >= since),
+word as (select job_id, t.time, side, bit, arg_max(chosen, (b.time, seq)) as is_on from (select distinct job_id, time from times) t join bits b using (job_id) where b.time <= t.time group by all),
+held as (select job_id, time, list(bit) filter (where side = 'c' and is_on) as c, list(bit) filter (where side = 'x' and is_on) as x from word group by all),
+state as (select t.job_id, t.time, t.is_tick, count(*) filter (where lacks) as lacks, count(*) filter (where lacks and submitted <= t.time) as ready from (
+select times.job_id, times.time, is_tick, submitted, (full_time is null or full_time > times.time) and (len(n) = 0 or (not list_has_any(n, coalesce(c, [])) and not list_has_any(i, coalesce(x, [])))) as lacks from times join groups using (job_id) left join held on held.job_id = times.job_id and held.time = times.time) t group by all),
+ended as (select job_id, min(time) as until from (select job_id, time from state where lacks = 0 and not is_tick union all select job_id, left_at from gone) group by 1)"""
+
+
+@query(f"with {FLAVORS} select (ready = 0) as placed, time as tick, count(*) as n from state left join ended using (job_id) where is_tick and time <= {LAST} and (until is null or time < until) group by 1, 2", "allocs")
+def t9_pending_in_flavor(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups count while they might be in the flavor that their job has chosen by then; some jobs are withdrawn."""
+    rows = view(spark, sf, "allocs")
+    day = (F.col("job_id") * 100 + F.floor(F.col("start_time") / 86_400_000)).alias("job_id")
+    tgs = _waits(spark, sf)
+    bit = (1 + F.col("job_id") % 2).cast("int")
+    told = rows.where(F.col("alloc_id") % 4 < 3).select(day, F.col("alloc_id").alias("seq"), (F.col("start_time") - 2_000_000 * (F.col("alloc_id") % 3)).alias("time"), F.when(F.col("alloc_id") % 9 != 8, "flavor_chosen").otherwise("flavor_removed").alias("event"), F.array(bit).alias("included"), F.array((3 - bit).cast("int")).alias("excluded"))
+    gone = rows.where(F.col("alloc_id") % 37 == 0).groupBy(day).agg((F.min("start_time") + 1000).alias("time"))
+    placed = tgs.where("full_time is not null").select("tg_id", "full_time")
+    found = tenant.pending_jobs(tgs.select("job_id", "tg_id", "submitted", *_tg_options()), placed, HOUR, options=told, withdrawn=gone, last=LAST)
+    return found.where("n > 0")
+
+
+WITHDRAWN = "gone as (select job_id, min(start_time) + 5000 as withdrawn from allocs where alloc_id % 211 = 7 group by 1 union all select job_id + 1000, 1 from (select distinct job_id from allocs where job_id % 10 = 3))"
+
+
+@query(
+    f"""with {WITHDRAWN}, e as (select a.*, withdrawn from alloc_events a left join gone using (job_id) where withdrawn is null or time <= withdrawn),
+alive as (select c.job_id, cast(sum(c.num_tasks) as bigint) as running from e c where c.event = 'claim' and c.withdrawn is not null and not exists (select 1 from e d where d.alloc_id = c.alloc_id and d.event <> 'claim') group by 1),
+times as (select job_id, time from e where event = 'preempt' union select job_id, withdrawn from gone join alive using (job_id) where running > 0),
+p as (select job_id, count(distinct time) as preemptions, max(time) as last from times group by 1), t as (select job_id, sum(case when event = 'preempt' then num_tasks else 0 end) + sum(case when event = 'claim' and withdrawn is not null then num_tasks else 0 end) as tasks from e group by 1)
+select job_id, coalesce(preemptions, 0) as preemptions, coalesce(withdrawn, last) as last_preemption, cast(coalesce(tasks, 0) as bigint) as preempted_tasks, coalesce(running, 0) as withdrawn_tasks from t full join gone using (job_id) left join p using (job_id) left join alive using (job_id) where coalesce(withdrawn, last) is not null""",
+    "alloc_events",
+)
+def t17_preemptions_and_withdraws(spark: SparkSession, sf: str) -> DataFrame:
+    rows = view(spark, sf, "allocs")
+    gone = rows.where("alloc_id % 211 = 7").groupBy("job_id").agg((F.min("start_time") + 5000).alias("time")).unionByName(rows.where("job_id % 10 = 3").select(F.col("job_id") + 1000, F.lit(1).cast("bigint").alias("time")).toDF("job_id", "time").distinct())
+    return tenant.preemption_counts(view(spark, sf, "alloc_events"), gone.withColumn("event", F.lit("withdraw")))
