@@ -68,6 +68,8 @@ def test_topology_by_brute_force(spark, make):
             seen |= front
             d += 1
     assert {(r.a, r.b): r.hops for r in topology.switch_distance(links).collect()} == hops
+    pairs = spark.createDataFrame(list(hops), "a long, b long")
+    assert {(r.a, r.b): r.hops for r in topology.switch_hops(pairs, links).collect()} == hops
     draw, groups, want = random.Random(1), [], {}
     for g in range(60):
         ss, vs = draw.sample(sorted(level), draw.randrange(0, 3)), draw.sample(sorted(tor), draw.randrange(0, 4))
@@ -85,7 +87,7 @@ def test_topology_by_brute_force(spark, make):
             seen |= set().union(*(reach[s] for s in front))
         want[g] = lifts if set(vs) <= seen else lifts + 2
     table = spark.createDataFrame(groups, "tg_id long, machine_id long, is_switch boolean")
-    assert {r.tg_id: r.detour for r in topology.detour_levels(table, machines, links, topology.reachable_servers(links)).collect()} == want
+    assert {r.tg_id: r.detour for r in topology.detour_levels(table, machines, links).collect()} == want
 
 
 def test_fat_tree_sizes(spark):

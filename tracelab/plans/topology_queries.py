@@ -58,7 +58,7 @@ def l4_server_distance(spark: SparkSession, sf: str) -> DataFrame:
     links = fat_tree(spark, K)[1]
     servers = _placed(spark, sf).where("not is_switch")
     pairs = servers.select("tg_id", F.col("machine_id").alias("a")).join(servers.select(F.col("tg_id").alias("t"), F.col("machine_id").alias("b")), F.col("t") == (F.col("tg_id") + 1) % 97).select("tg_id", "a", "b")
-    hops = topology.server_distance(pairs.select("a", "b").distinct(), links, topology.switch_distance(links))
+    hops = topology.server_distance(pairs.select("a", "b").distinct(), links)
     return pairs.join(hops, ["a", "b"])
 
 
@@ -73,13 +73,14 @@ def l6_connected_machines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""with {PLACED}, {EDGES}, {HOPS}, m as (select o.tg_id, max(hops + case when f.is_switch then 0 else 1 end + case when o.is_switch then 0 else 1 end) as m from places_ o join edges on src_tg = o.tg_id join places_ f on f.tg_id = dst_tg join hops h on h.a = o.switch and h.b = f.switch where o.switch <> f.switch or not f.is_switch group by o.tg_id)
-select distinct tg_id, coalesce(m, -1) as max_diameter from placed left join m using (tg_id)""",
+    f"""with {PLACED}, {EDGES}, {HOPS}, m as (select o.tg_id, max(case when o.switch <> f.switch then hops + case when f.is_switch then 0 else 1 end else 0 end) as m from places_ o join edges on src_tg = o.tg_id join places_ f on f.tg_id = dst_tg join hops h on h.a = o.switch and h.b = f.switch group by o.tg_id),
+k as (select tg_id, max(case when is_switch then 0 else 1 end) as first_ from placed group by 1)
+select tg_id, case when tg_id in (select src_tg from edges) then coalesce(m, 0) + first_ else -1 end as max_diameter from k left join m using (tg_id)""",
     "allocs",
 )
 def l7_max_diameter(spark: SparkSession, sf: str) -> DataFrame:
     links = fat_tree(spark, K)[1]
-    return topology.max_diameter(_placed(spark, sf), _edges(spark, sf), links, topology.switch_distance(links))
+    return topology.max_diameter(_placed(spark, sf), _edges(spark, sf), links)
 
 
 def l8_groups(spark: SparkSession, sf: str) -> DataFrame:
@@ -102,7 +103,7 @@ select distinct g.tg_id, coalesce(case when top is null or wanted is null then -
 )
 def l8_detour_levels(spark: SparkSession, sf: str) -> DataFrame:
     machines, links = fat_tree(spark, K)
-    return topology.detour_levels(l8_groups(spark, sf), machines, links, topology.reachable_servers(links))
+    return topology.detour_levels(l8_groups(spark, sf), machines, links)
 
 
 @query("select distinct machine_id, true as is_switch, 'link to nowhere' as rule from (select 20 + user_id as machine_id from events)")

@@ -4,16 +4,23 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@lru_cache(maxsize=None)
+def _local_dir(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir; where the session names none, as in tests, a local folder is set."""
+    """A new path in spark.checkpoint.dir. A session on one machine that names none, as in tests, has a local folder; any other must name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = _local_dir(spark.sparkContext.applicationId)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
