@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelab.functions.expressions import definitely_in_flavor, inc_options
+from tracelab.functions.expressions import inc_options, might_be_in_flavor
 from tracelab.operators.usage import running_by_tick, tick_of
 
 
@@ -50,48 +50,57 @@ def flavor_status(in_option: Column) -> Column:
     return F.when(F.size(in_option) == 0, "A").when(inc_options(in_option), "Y").otherwise("N")
 
 
-def taskgroup_stats(allocs: DataFrame, tgs: DataFrame, options: DataFrame, now: int, locality: DataFrame | None = None, emit: str = "valid") -> DataFrame:
-    """The task-group table as of a time.
+def taskgroup_table(rows: DataFrame, now: Column, emit: str = "valid", more: Sequence[str] = ()) -> DataFrame:
+    """The task-group file's columns of rows: a group's own columns, JobStatus, chosen and excluded of its job, and s, weighted, last: tasks started, their start times summed, the last one.
 
-    allocs: (alloc_id, tg_id, start_time, end_time, num_tasks, preempted); tgs: (tg_id, job_id, submitted, num_tasks, is_switch,
-    duration, original_duration, in_option, not_in_option); options: (job_id, chosen, excluded, JobStatus). Preempted
-    allocations don't count, nor do any of withdrawn jobs. Queueing is the mean over tasks, those still waiting up to now.
-    locality: (tg_id, DetourInc, InvolvedRacks, MaxDiameter).
+    Groups of withdrawn jobs have started nothing. A group is valid while it might be in the flavor. emit="all" keeps the others, marked N.
     """
-    ours = allocs.where((F.col("start_time") <= now) & ~F.col("preempted"))
-    begun = ours.groupBy("tg_id").agg(F.sum("num_tasks").alias("s"), F.sum(F.col("start_time").cast("decimal(38,0)") * F.col("num_tasks")).alias("weighted"), F.max("start_time").alias("last"))
-    rows = tgs.where(F.col("submitted") <= now).join(options, "job_id", "left").join(begun, "tg_id", "left")
     alive = F.coalesce(F.col("JobStatus") != "W", F.lit(True))
     started = F.when(alive, F.coalesce("s", F.lit(0))).otherwise(0).cast("bigint")
-    waits = F.coalesce(F.when(alive, F.col("weighted")), F.lit(0)) - started * F.col("submitted") + (F.lit(now) - F.col("submitted")) * (F.col("num_tasks") - started)
-    valid = definitely_in_flavor(F.col("in_option"), F.col("not_in_option"), _bits(F.col("chosen")), _bits(F.col("excluded")))
+    waits = F.coalesce(F.when(alive, F.col("weighted")), F.lit(0)) - started * F.col("submitted") + (now - F.col("submitted")) * (F.col("num_tasks") - started)
+    valid = might_be_in_flavor(F.col("in_option"), F.col("not_in_option"), _bits(F.col("chosen")), _bits(F.col("excluded")))
     rows = rows.withColumn("ValidForJob", F.when(valid, "Y").otherwise("N"))
     rows = rows if emit == "all" else rows.where("ValidForJob = 'Y'")
-    out = rows.select(
-        F.col("job_id").alias("JobID"), "JobStatus", flavor_status(F.col("in_option")).alias("FlavorInp"), "ValidForJob", F.col("tg_id").alias("TaskGroupID"), F.col("submitted").alias("SubmissionTime"), F.col("num_tasks").alias("TotalTasks"),
+    return rows.select(
+        *more, F.col("job_id").alias("JobID"), "JobStatus", flavor_status(F.col("in_option")).alias("FlavorInp"), "ValidForJob", F.col("tg_id").alias("TaskGroupID"), F.col("submitted").alias("SubmissionTime"), F.col("num_tasks").alias("TotalTasks"),
         F.when(F.col("is_switch"), "I").otherwise("S").alias("TaskGroupType"), started.alias("TasksStarted"), F.try_divide(waits.cast("double"), F.col("num_tasks")).alias("AvgQueueing"), F.coalesce(F.when(alive, F.col("last")), F.lit(-1)).cast("bigint").alias("PlacementLatency"),
         F.col("duration").alias("Duration"), F.col("original_duration").alias("OriginalDuration"),
     )
+
+
+def taskgroup_stats(allocs: DataFrame, tgs: DataFrame, options: DataFrame, now: int, locality: DataFrame | None = None, emit: str = "valid") -> DataFrame:
+    """The task-group table as of a time.
+
+    allocs: (alloc_id, tg_id, start_time, end_time, num_tasks, preempted); tgs: (tg_id, job_id, submitted, num_tasks, is_switch,
+    duration, original_duration, in_option, not_in_option); options: (job_id, chosen, excluded, JobStatus). Preempted
+    allocations don't count, nor do any of withdrawn jobs. Queueing is the mean over tasks, those still waiting up to now.
+    locality: (tg_id, DetourInc, InvolvedRacks, MaxDiameter), as snapshots.locality() gives them.
+    """
+    ours = allocs.where((F.col("start_time") <= now) & ~F.col("preempted"))
+    begun = ours.groupBy("tg_id").agg(F.sum("num_tasks").alias("s"), F.sum(F.col("start_time").cast("decimal(38,0)") * F.col("num_tasks")).alias("weighted"), F.max("start_time").alias("last"))
+    out = taskgroup_table(tgs.where(F.col("submitted") <= now).join(options, "job_id", "left").join(begun, "tg_id", "left"), F.lit(now), emit)
     if locality is not None:
         out = out.join(locality.withColumnRenamed("tg_id", "TaskGroupID"), "TaskGroupID", "left")
     return out
 
 
-def job_stats(tg_stats: DataFrame, inp: DataFrame | None = None) -> DataFrame:
-    """The job table: tasks and task-weighted means over a job's groups. inp: (job_id, InpStatus)."""
+def job_stats(tg_stats: DataFrame, inp: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """The job table: tasks and task-weighted means over a job's groups. inp: (keys, job_id, InpStatus)."""
     each = lambda c: F.sum(F.col(c) * F.col("TotalTasks")) / F.greatest(F.lit(1), F.sum("TotalTasks"))
-    out = tg_stats.groupBy("JobID", "JobStatus").agg(
+    out = tg_stats.groupBy(*keys, "JobID", "JobStatus").agg(
         F.count("*").alias("InvolvedTGCnt"), F.sum("TotalTasks").alias("TasksTotal"), F.sum("TasksStarted").alias("TasksStarted"), each("AvgQueueing").alias("AvgTaskQueueing"), each("Duration").alias("AvgTaskDuration"), each("OriginalDuration").alias("AvgTaskDurationOriginal")
     )
-    return out if inp is None else out.join(inp.withColumnRenamed("job_id", "JobID"), "JobID", "left")
+    return out if inp is None else out.join(inp.withColumnRenamed("job_id", "JobID"), [*keys, "JobID"], "left")
 
 
 def tenant_snapshots(allocs: DataFrame, tgs: DataFrame, hours: Sequence[int], hour_ms: int = 3_600_000) -> DataFrame:
-    """(hour, tg_id, started, waiting): task groups as of each of a short list of hours, in one pass over the log."""
-    times = allocs.sparkSession.createDataFrame([(h, h * hour_ms) for h in hours], "hour int, now bigint")
-    seen = tgs.crossJoin(F.broadcast(times)).where(F.col("submitted") <= F.col("now"))  # the caller's hours
-    begun = allocs.where("not preempted").crossJoin(F.broadcast(times)).where(F.col("start_time") <= F.col("now")).groupBy("hour", "tg_id").agg(F.sum("num_tasks").alias("started"))
-    both = seen.join(begun, ["hour", "tg_id"], "left").withColumn("started", F.coalesce("started", F.lit(0)))
+    """(hour, tg_id, started, waiting): task groups as of each of a short list of hours. An allocation counts from the first hour after its start, and what has started is carried on; snapshots.tenant_tables() gives the whole tables."""
+    order = sorted(hours)
+    first = lambda time: F.get(F.filter(F.array(*[F.lit(h) for h in order]), lambda h: h * hour_ms >= time), F.lit(0)).cast("int")
+    begun = allocs.where("not preempted").withColumn("hour", first(F.col("start_time"))).where("hour is not null").groupBy("tg_id", "hour").agg(F.sum("num_tasks").alias("n"))
+    each = tgs.withColumn("hour", F.explode(F.filter(F.array(*[F.lit(h) for h in order]), lambda h: h * hour_ms >= F.col("submitted")))).withColumn("hour", F.col("hour").cast("int"))
+    so_far = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("tg_id").orderBy("hour").rowsBetween(Window.unboundedPreceding, 0))
+    both = each.join(begun, ["tg_id", "hour"], "left").withColumn("started", so_far)
     return both.select("hour", "tg_id", "started", F.greatest(F.lit(0), F.col("num_tasks") - F.col("started")).cast("bigint").alias("waiting"))
 
 

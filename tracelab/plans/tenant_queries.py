@@ -75,10 +75,10 @@ def t4_inp_status(spark: SparkSession, sf: str) -> DataFrame:
 
 TGSTATS = f"""{OPTIONS}, {STATUS}, tgs as (select tg_id, max(job_id) as job_id, min(start_time) - 1000 as submitted, cast(sum(num_tasks) as bigint) as num_tasks, max(cpu) * 1000 as duration from allocs group by tg_id),
 begun as (select tg_id, sum(num_tasks) as s, sum(start_time * num_tasks) as w, max(start_time) as last from allocs where start_time <= {NOW} and alloc_id % 10 <> 0 group by tg_id),
-j as (select t.*, coalesce(chosen, []) as chosen, coalesce(JobStatus, 'O') as JobStatus, case when JobStatus = 'W' then 0 else coalesce(s, 0) end as started, case when JobStatus = 'W' then 0 else coalesce(w, 0) end as weighted, case when JobStatus = 'W' then -1 else coalesce(last, -1) end as last,
+j as (select t.*, coalesce(chosen, []) as chosen, coalesce(excluded, []) as excluded, coalesce(JobStatus, 'O') as JobStatus, case when JobStatus = 'W' then 0 else coalesce(s, 0) end as started, case when JobStatus = 'W' then 0 else coalesce(w, 0) end as weighted, case when JobStatus = 'W' then -1 else coalesce(last, -1) end as last,
 case tg_id % 3 when 0 then [] when 1 then [1] else [2] end as i, case tg_id % 3 when 0 then [] when 1 then [2] else [1] end as n from tgs t left join options using (job_id) left join status using (job_id) left join begun using (tg_id) where submitted <= {NOW}),
 stats as (select job_id as JobID, JobStatus, case when len(i) = 0 then 'A' when list_contains(i, 2) then 'Y' else 'N' end as FlavorInp, 'Y' as ValidForJob, tg_id as TaskGroupID, submitted as SubmissionTime, num_tasks as TotalTasks, 'S' as TaskGroupType, cast(started as bigint) as TasksStarted,
-(weighted - started * submitted + ({NOW} - submitted) * (num_tasks - started)) / num_tasks as AvgQueueing, cast(last as bigint) as PlacementLatency, duration as Duration, duration as OriginalDuration from j where not list_has_any(n, chosen) and (len(i) = 0 or list_has_any(i, chosen)))"""
+(weighted - started * submitted + ({NOW} - submitted) * (num_tasks - started)) / num_tasks as AvgQueueing, cast(last as bigint) as PlacementLatency, duration as Duration, duration as OriginalDuration from j where {MIGHT})"""
 
 
 def _stats(spark: SparkSession, sf: str) -> DataFrame:
