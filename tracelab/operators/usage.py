@@ -124,24 +124,6 @@ def property_occupancy(toggles: DataFrame, properties: Sequence[str], switches:
     return running_by_tick(deltas, ["property"], ["blocked"], interval).withColumn("share", F.col("blocked") / switches)
 
 
-def capacity_fit(tgs: DataFrame, machines: DataFrame, max_active: int | None = None) -> DataFrame:
-    """(tg_id, machines, tasks): on how many machines tasks of a group fit, and how many fit in all.
-
-    tgs: (tg_id, demand array, is_switch, property); machines: (machine_id, is_switch, free array, supported array,
-    active array). Distinct demands meet distinct states of machines, with counts, so rows are shapes times states. A
-    switch fits if it supports the property and has it active or a slot left.
-    """
-    shapes = tgs.select("demand", "is_switch", "property").distinct()
-    states = machines.groupBy(F.col("is_switch").alias("s"), "free", "supported", "active").agg(F.count("*").alias("n"))
-    per = F.array_min(F.transform(F.filter(F.arrays_zip("demand", "free"), lambda x: x["demand"] > 0), lambda x: F.floor(x["free"] / x["demand"])))
-    slot = F.array_contains("active", F.col("property")) | (F.size("active") < (max_active if max_active is not None else 1 << 30))
-    fits = ~F.col("is_switch") | (F.array_contains("supported", F.col("property")) & slot)
-    met = shapes.join(states, (F.col("is_switch") == F.col("s")) & fits).withColumn("k", F.greatest(F.lit(0), per))
-    found = met.groupBy("demand", "is_switch", "property").agg(F.sum(F.when(F.col("k") > 0, F.col("n")).otherwise(0)).alias("machines"), F.sum(F.col("k") * F.col("n")).alias("tasks"))
-    same = (tgs["demand"] == found["demand"]) & (tgs["is_switch"] == found["is_switch"]) & tgs["property"].eqNullSafe(found["property"])
-    return tgs.join(found, same, "left").select(tgs["tg_id"], F.coalesce(found["machines"], F.lit(0)).alias("machines"), F.coalesce(found["tasks"], F.lit(0)).alias("tasks"))
-
-
 def total_capacity(capacity: DataFrame, free: DataFrame) -> DataFrame:
     """(dim, capacity, free, all_free) over all machines. free: the last free units of each (machine_id, dim) that had events."""
     both = capacity.join(free.select("machine_id", "dim", "free"), ["machine_id", "dim"], "left").withColumn("free", F.coalesce("free", "capacity"))

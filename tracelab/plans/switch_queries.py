@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelab.operators import mappers, switches
+from tracelab.operators import capacity, mappers, switches
 from tracelab.plans.registry import query, rounded
 from tracelab.plans.usage_queries import HOUR
 from tracelab.plans.views import view
@@ -129,3 +129,60 @@ def e14_inc_load_of_log(spark: SparkSession, sf: str) -> DataFrame:
     wide = rounded(switches.load_table(_load(spark, sf, "foreach"), PROPERTIES, DIMS), 6)
     out = mappers.inc_load_summary(wide, dims=DIMS)
     return rounded(out.select("Time", *[f"Prop{p}_{k}" for k in ("Load", "Active") for p in PROPERTIES], *[f"Unused_Dim{d}" for d in range(DIMS)]), 7)
+
+
+NOW = 1_500_000_000
+#: Groups of servers (even ids) and of switches (odd ones), and the states of machines at a time.
+FIT = f"""live as (select machine_id, props, num_tasks, stages, tables, sram, alloc_id from switch_allocs where start_time <= {NOW} and end_time > {NOW}),
+act as (select machine_id, list(distinct p) as active from (select machine_id, unnest(split(props, ',')) as p from live) group by 1),
+need as (select machine_id, sum(num_tasks * (stages + (select sum(10 + p::bigint) from unnest(split(props, ',')) as t(p)))) as u0, sum(num_tasks * (tables + (select sum(2 * p::bigint) from unnest(split(props, ',')) as t(p)))) as u1, sum(num_tasks * (sram + 3 * len(split(props, ',')))) as u2 from live group by 1),
+m as (select machine_id, true as sw, {CAPACITY[0]} - coalesce(u0, 0) as f0, {CAPACITY[1]} - coalesce(u1, 0) as f1, {CAPACITY[2]} - coalesce(u2, 0) as f2, coalesce(active, []) as active from (select distinct machine_id from switch_allocs) left join need using (machine_id) left join act using (machine_id)
+union all select machine_id, false, 1000 - sum(case when start_time <= {NOW} and end_time > {NOW} then num_tasks * cpu else 0 end), 500 - sum(case when start_time <= {NOW} and end_time > {NOW} then num_tasks * mem else 0 end), 0, [] from allocs group by 1),
+g as (select distinct user_id * 2 as tg_id, false as sw, (1 + user_id % 4) * 37 as d0, (1 + user_id % 2) * 41 as d1, 0 as d2, [] as props, user_id % 3 = 0 as co, user_id % 6 as waiting from events
+union all select distinct user_id * 2 + 1, true, 20 * (1 + user_id % 4), 15 * (1 + user_id % 2), 10 * (user_id % 3), split(case when user_id % 5 = 0 then concat(2 + user_id % 8, ',', 2 + (user_id + 3) % 8) else concat(2 + user_id % 8, '') end, ','), user_id % 7 = 0, user_id % 6 from events),
+held as (select distinct tg_id * 2 as tg_id, machine_id from allocs where start_time <= {NOW} and end_time > {NOW} union select distinct user_id * 2 + 1, user_id % 20 from events join live on alloc_id = event_id),
+w as (select g.*, m.machine_id, f0, f1, f2, active, list_filter(props, lambda p: not list_contains(active, p)) as missing, d0 + coalesce(list_sum([10 + p::bigint for p in props if not list_contains(active, p)]), 0) as e0, d1 + coalesce(list_sum([2 * p::bigint for p in props if not list_contains(active, p)]), 0) as e1, d2 + 3 * len([p for p in props if not list_contains(active, p)]) as e2 from g join m using (sw)),
+k as (select *, case when sw and (list_contains(props, concat(2 + machine_id % 8, '')) or (len(missing) > 0 and len(active) + len(missing) > {MOST + 2})) then 0 else least(f0 // e0, f1 // e1, case when e2 > 0 then f2 // e2 else 2147483647 end) end as fit from w)"""
+
+
+def _groups_and_machines(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    now = (F.col("start_time") <= NOW) & (F.col("end_time") > NOW)
+    none = F.array().cast("array<string>")
+    events = view(spark, sf, "switch_events")
+    demands = _demands(spark, sf, "foreach").where(F.col("time") <= NOW)
+    used = switches.switch_usage(demands, DIMS).groupBy("machine_id").agg(F.max_by("reserved", F.struct("time", "seq")).alias("used"))
+    live = view(spark, sf, "switch_allocs").where(now)
+    active = live.select("machine_id", F.explode(F.split("props", ",")).alias("p")).groupBy("machine_id").agg(F.collect_set("p").alias("active"))
+    most = F.array(*[F.lit(c).cast("bigint") for c in CAPACITY])
+    kinds = F.array(*[F.lit(str(p)) for p in PROPERTIES])
+    free = F.zip_with(most, F.coalesce("used", F.transform(most, lambda x: x * 0)), lambda c, u: c - u)
+    machines = events.select("machine_id").distinct().join(used, "machine_id", "left").join(active, "machine_id", "left")
+    own = F.array((2 + F.col("machine_id") % 8).cast("string"))
+    machines = machines.select("machine_id", F.lit(True).alias("is_switch"), free.alias("free"), F.array_except(kinds, own).alias("supported"), F.sort_array(F.coalesce("active", none)).alias("active"))
+    rows = view(spark, sf, "allocs")
+    busy = lambda c: F.sum(F.when(now, F.col("num_tasks") * F.col(c)).otherwise(0))
+    servers = rows.groupBy("machine_id").agg((1000 - busy("cpu")).alias("f0"), (500 - busy("mem")).alias("f1"))
+    machines = machines.unionByName(servers.select("machine_id", F.lit(False).alias("is_switch"), F.array("f0", "f1").alias("free"), none.alias("supported"), none.alias("active")))
+    u, users = F.col("tg_id"), rows.select("tg_id").distinct()
+    props = F.when(u % 5 == 0, F.array((2 + u % 8).cast("string"), (2 + (u + 3) % 8).cast("string"))).otherwise(F.array((2 + u % 8).cast("string")))
+    on_servers = users.select((u * 2).alias("tg_id"), F.array((1 + u % 4) * 37, (1 + u % 2) * 41).alias("demand"), F.lit(False).alias("is_switch"), none.alias("properties"), (u % 3 == 0).alias("co_locate"), (u % 6).alias("not_started"))
+    on_switches = users.select((u * 2 + 1).alias("tg_id"), F.array(20 * (1 + u % 4), 15 * (1 + u % 2), 10 * (u % 3)).alias("demand"), F.lit(True).alias("is_switch"), props.alias("properties"), (u % 7 == 0).alias("co_locate"), (u % 6).alias("not_started"))
+    held = rows.where(now).select((u * 2).alias("tg_id"), "machine_id").unionByName(rows.join(live.select("alloc_id"), "alloc_id", "left_semi").select((u * 2 + 1).alias("tg_id"), (u % 20).alias("machine_id")))
+    return on_servers.unionByName(on_switches), machines, held
+
+
+@query(
+    f"with {FIT} select tg_id, cast(count(*) filter (where least(fit, waiting) > 0 and (co or not exists (select 1 from held where held.tg_id = k.tg_id and held.machine_id = k.machine_id))) as bigint) as machines, cast(sum(case when co then least(fit, waiting) when exists (select 1 from held where held.tg_id = k.tg_id and held.machine_id = k.machine_id) then 0 else least(fit, waiting, 1) end) as bigint) as tasks from k group by tg_id",
+    "switch_allocs", "allocs",
+)
+def c12_capacity_of_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of servers and switches, co-located or spread over machines, which then take no machine that they hold."""
+    tgs, machines, held = _groups_and_machines(spark, sf)
+    return capacity.capacity_fit(tgs, machines, MOST + 2, held, SHARED, "once")
+
+
+@query(f"with {FIT} select tg_id, cast(count(*) filter (where fit > 0) as bigint) as machines, cast(sum(case when co then fit else least(fit, 1) end) as bigint) as tasks from k group by tg_id", "switch_allocs", "allocs")
+def c12_capacity_of_all_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, however many tasks run or wait."""
+    tgs, machines, held = _groups_and_machines(spark, sf)
+    return capacity.capacity_fit(tgs, machines, MOST + 2, held, SHARED, "once", ignore_running=True)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelab.functions.expressions import load_level
-from tracelab.operators import switches, usage
+from tracelab.operators import capacity, switches, usage
 from tracelab.plans.registry import query, rounded
 from tracelab.plans.views import view
 
@@ -95,9 +95,9 @@ dense as (select property, tick, sum(coalesce(used, 0)) over w as used, sum(coal
 
 def _load(spark: SparkSession, sf: str) -> DataFrame:
     """One dimension, without needs of the properties' own."""
-    capacity = _capacity(spark, sf).where("dim = 0").select("machine_id", F.array("capacity").alias("capacity"))
+    units = _capacity(spark, sf).where("dim = 0").select("machine_id", F.array("capacity").alias("capacity"))
     demands = switches.switch_demands(view(spark, sf, "alloc_events").withColumn("properties", F.array("property")), ["cpu"])
-    return switches.inc_load(demands, capacity, 1, HOUR, KINDS)
+    return switches.inc_load(demands, units, 1, HOUR, KINDS)
 
 
 @query(f"with {LOAD} select property, tick, cast(used as bigint) as used, cast(total as bigint) as total, cast(blocked as bigint) as blocked, round(coalesce(used / nullif(total, 0), 0), 6) as utilization, round(coalesce(blocked / nullif(total, 0), 0), 6) as blocked_by_others from dense", "alloc_events")
@@ -158,10 +158,10 @@ select tg_id, cast(count(*) filter (where least(f0 // c, f1 // m) > 0) as bigint
     "alloc_events",
 )
 def c12_capacity_fit(spark: SparkSession, sf: str) -> DataFrame:
-    tgs = view(spark, sf, "allocs").select("tg_id", F.array(F.col("cpu") * 37, F.col("mem") * 41).alias("demand"), F.lit(False).alias("is_switch"), F.lit(None).cast("string").alias("property")).distinct()
+    tgs = view(spark, sf, "allocs").select("tg_id", F.array(F.col("cpu") * 37, F.col("mem") * 41).alias("demand"), F.lit(False).alias("is_switch"), F.array().cast("array<string>").alias("properties")).distinct()
     none = F.array().cast("array<string>")
     machines = _free(spark, sf).select("machine_id", F.lit(False).alias("is_switch"), F.array("f0", "f1").alias("free"), none.alias("supported"), none.alias("active"))
-    return usage.capacity_fit(tgs, machines)
+    return capacity.capacity_fit(tgs, machines)
 
 
 @query(
