@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelab.operators.quantiles import order_statistics, quantiles, sketched_quantiles, sketches
+
 
 def _dense(counts: DataFrame, groups: DataFrame, keys: Sequence[str], bins: int) -> DataFrame:
     """All bins of all groups (which carry low and high), with their counts."""
@@ -64,9 +66,14 @@ def log_cdf(df: DataFrame, value: str, run_keys: Sequence[str], config: Sequence
 
 
 def tail_report(df: DataFrame, value: str, keys: Sequence[str], time: str = "SubmissionTime", approx: bool = False) -> DataFrame:
-    """Percentiles 75, 90, 95 and 99 of a value, and count, mean, least and largest time of the rows above the 99th."""
-    q = (lambda p: F.percentile_approx(value, p, 10_000)) if approx else (lambda p: F.percentile(value, F.lit(p)))
-    tops = df.groupBy(*keys).agg(*[q(p / 100).alias(f"p{p}") for p in (75, 90, 95, 99)], F.count(value).alias("count"), F.avg(value).alias("mean"))
+    """Percentiles 75, 90, 95 and 99 of a value, and count, mean, least and largest time of the rows above the 99th. approx: by sketches, in one pass."""
+    ps = {f"p{p}": p / 100 for p in (75, 90, 95, 99)}
+    if approx:
+        tops = sketched_quantiles(sketches(df, keys, value), ps)
+    else:
+        found = quantiles(df, keys, {"q": F.col(value)}, ps)
+        tops = found.select(*keys, *[F.col(f"q_{p}").alias(p) for p in ps])
+    tops = df.groupBy(*keys).agg(F.count(value).alias("count"), F.avg(value).alias("mean")).join(tops, list(keys), "left").select(*keys, *ps, "count", "mean")
     above = df.select(*keys, value, time).join(tops.select(*keys, "p99"), list(keys)).where(F.col(value) > F.col("p99"))
     tail = above.groupBy(*keys).agg(F.count("*").alias("tail_count"), F.avg(time).alias("tail_mean_time"), F.min(time).alias("tail_first_time"), F.max(time).alias("tail_last_time"))
     return tops.join(tail, list(keys), "left").withColumn("tail_count", F.coalesce("tail_count", F.lit(0)))
@@ -74,8 +81,8 @@ def tail_report(df: DataFrame, value: str, keys: Sequence[str], time: str = "Sub
 
 def upper_median_stats(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     """Least, mean (integer division), upper median (element n/2 from 0) and largest value."""
+    kind = dict(df.dtypes)[value]
     x = df.where(F.col(value).isNotNull())
-    w = Window.partitionBy(*keys)
-    ranked = x.withColumn("_k", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
-    middle = F.max(F.when(F.col("_k") == F.floor(F.col("_n") / 2) + 1, F.col(value)))
-    return ranked.groupBy(*keys).agg(F.min(value).alias("min"), F.expr(f"sum(`{value}`) div count(1)").alias("mean"), middle.alias("median"), F.max(value).alias("max"))
+    middle = order_statistics(x.select(*keys, value), keys, value, F.array(F.floor(F.col("n") / 2).cast("bigint"))).select(*keys, F.col("x").cast(kind).alias("median"))
+    facts = x.groupBy(*keys).agg(F.min(value).alias("min"), F.expr(f"sum(`{value}`) div count(1)").alias("mean"), F.max(value).alias("max"))
+    return facts.join(middle, list(keys)).select(*keys, "min", "mean", "median", "max")

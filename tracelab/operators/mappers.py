@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelab.functions.expressions import capped_share
+from tracelab.operators.quantiles import quantiles
 
 RUN = ("experiment", "run")
 #: Start of the measured time, and the end of a run, in ms.
@@ -98,15 +99,14 @@ class Summary:
 
 
 def five_number(df: DataFrame, specs: Sequence[Summary], keys: Sequence[str] = RUN) -> DataFrame:
-    """Mean, median, p25, p95 and p99 for each run; summaries that share their by-columns come from one pass, others are merged."""
-    names = (("mean", None), ("median", 0.5), ("p25", 0.25), ("p95", 0.95), ("p99", 0.99))
+    """Mean, median, p25, p95 and p99 for each run; summaries that share their by-columns come from the same passes, others are merged."""
+    ps = {"median": 0.5, "p25": 0.25, "p95": 0.95, "p99": 0.99}
     frames = []
     for by in dict.fromkeys(s.by for s in specs):
-        aggs = []
-        for s in (s for s in specs if s.by == by):
-            value = F.col(s.col) if s.where is None else F.when(s.where, F.col(s.col))
-            aggs += [(F.avg(value) if p is None else F.percentile(value, F.lit(p))).alias(f"{s.col}_{n}") for n, p in names]
-        frames.append(df.groupBy(*keys, *by).agg(*aggs))
+        values = {s.col: F.col(s.col) if s.where is None else F.when(s.where, F.col(s.col)) for s in specs if s.by == by}
+        on = [*keys, *by]
+        found = df.groupBy(*on).agg(*[F.avg(x).alias(f"{c}_mean") for c, x in values.items()]).join(quantiles(df, on, values, ps), on, "left")
+        frames.append(found.select(*on, *[f"{c}_{n}" for c in values for n in ("mean", *ps)]))
     return reduce(lambda a, b: a.join(b, [c for c in a.columns if c in b.columns], "full_outer"), frames)
 
 
@@ -169,5 +169,6 @@ def tg_vs_job_success(tg: DataFrame, sched: DataFrame, keys: Sequence[str] = RUN
 
 
 def describe_by(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
-    q = lambda p: F.percentile(col, F.lit(p))
-    return df.groupBy(*keys).agg(F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.min(col).alias("min"), q(0.25).alias("p25"), q(0.5).alias("p50"), q(0.75).alias("p75"), F.max(col).alias("max"))
+    facts = df.groupBy(*keys).agg(F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.min(col).alias("min"), F.max(col).alias("max"))
+    found = quantiles(df, keys, {"q": F.col(col)}, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    return facts.join(found, list(keys), "left").select(*keys, "count", "mean", "std", "min", *[F.col(f"q_{p}").alias(p) for p in ("p25", "p50", "p75")], "max")

@@ -180,7 +180,7 @@ def f2_mean_band_normal(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def f2_mean_band_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    return figures.mean_band(view(spark, sf, "runs"), ["scheduler", "mu"], "value", ["event_id"], n_boot=200)
+    return figures.mean_band(view(spark, sf, "runs"), ["scheduler", "mu"], "value", ["event_id"])
 
 
 query()(f2_mean_band_bootstrap)
