@@ -188,12 +188,12 @@ query()(f2_mean_band_bootstrap)
 
 @query(
     """with f as (select scheduler, quantile_cont(value, 0.25) as p25, quantile_cont(value, 0.5) as p50, quantile_cont(value, 0.75) as p75, min(value) as lo, max(value) as hi, count(*) as n, stddev_samp(value) as s from runs group by 1),
-c as (select scheduler, least(999, floor((value - lo) / ((hi - lo) / 1000))) as c, count(*) as k from runs join f using (scheduler) group by 1, 2), g as (select *, lo + i * (hi - lo) / 49 as x from f, (select unnest(range(50)) as i))
+c as (select scheduler, least(999, floor((value - lo) / ((hi - lo) / 1000))) as c, count(*) as k from runs join f using (scheduler) group by 1, 2), g as (select *, lo + i * (hi - lo) / 99 as x from f, (select unnest(range(100)) as i))
 select scheduler, round(any_value(p25), 4) as p25, round(any_value(p50), 4) as p50, round(any_value(p75), 4) as p75, round(x, 4) as at, round(sum(k * exp(-pow((x - lo - (c + 0.5) * (hi - lo) / 1000) / (s * pow(n, -0.2)), 2) / 2)) / max(n * s * pow(n, -0.2)) / 2.5066282746310002, 6) as density from g join c using (scheduler) group by scheduler, x""",
     "runs",
 )
 def f3_violin_stats(spark: SparkSession, sf: str) -> DataFrame:
-    out = figures.violin_stats(view(spark, sf, "runs"), ["scheduler"], "value", grid=50)
+    out = figures.violin_stats(view(spark, sf, "runs"), ["scheduler"], "value")
     return out.withColumns({c: F.round(c, 4) for c in ("p25", "p50", "p75", "at")} | {"density": F.round("density", 6)})
 
 
@@ -252,12 +252,12 @@ def f6_load_by_dim(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """with e as (select mu, (EndTimeNanos - StartTimeNanos) / 1000000 as x from solver join (select distinct run, mu from runs) using (run)), s as (select min(log10(x)) filter (where x > 0) as low, max(log10(x)) filter (where x > 0) as high from e),
-c as (select mu, cast(case when x <= 0 then 0 else least(48, floor((log10(x) - low) / (high - low) * 49 + 1e-9)) end as int) as bin, count(*) as n from e, s group by 1, 2), d as (select mu, bin, low, high, coalesce(n, 0) as m from (select * from (select distinct mu from e), (select unnest(range(49))::int as bin), s) left join c using (mu, bin))
-select mu, bin, round(pow(10, low + bin * (high - low) / 49), 4) as edge, round(sum(m) over (partition by mu order by bin) / sum(m) over (partition by mu), 2) as cdf, round(1 - sum(m) over (partition by mu order by bin) / sum(m) over (partition by mu), 2) as ccdf from d""",
+c as (select mu, cast(case when x <= 0 then 0 else least(98, floor((log10(x) - low) / (high - low) * 99 + 1e-9)) end as int) as bin, count(*) as n from e, s group by 1, 2), d as (select mu, bin, low, high, coalesce(n, 0) as m from (select * from (select distinct mu from e), (select unnest(range(99))::int as bin), s) left join c using (mu, bin))
+select mu, bin, round(pow(10, low + bin * (high - low) / 99), 4) as edge, round(sum(m) over (partition by mu order by bin) / sum(m) over (partition by mu), 2) as cdf, round(1 - sum(m) over (partition by mu order by bin) / sum(m) over (partition by mu), 2) as ccdf from d""",
     "runs",
     "solver",
 )
 def f6_solver_cdf(spark: SparkSession, sf: str) -> DataFrame:
     runs = view(spark, sf, "runs").select("run", "mu").distinct()
-    out = paper_frames.solver_cdf(view(spark, sf, "solver").join(F.broadcast(runs), "run"), n=50)
+    out = paper_frames.solver_cdf(view(spark, sf, "solver").join(F.broadcast(runs), "run"))
     return out.withColumns({"edge": F.round("edge", 4), "cdf": F.round("cdf", 2), "ccdf": F.round("ccdf", 2)})

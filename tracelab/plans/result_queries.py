@@ -197,15 +197,15 @@ def h2_unit_histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""with {LATENCY}, spans as (select mu, min(log10(Latency)) filter (where Latency > 0) as low, max(log10(Latency)) filter (where Latency > 0) as high from latency group by mu),
-c as (select mu, experiment, run, cast(case when Latency <= 0 then 0 else least(48, floor((log10(Latency) - low) / (high - low) * 49 + 1e-9)) end as int) as bin, count(*) as n from latency join spans using (mu) group by 1, 2, 3, 4),
-d as (select *, coalesce(n, 0) as m from (select *, unnest(range(49))::int as bin from (select distinct mu, experiment, run, low, high from latency join spans using (mu))) left join c using (mu, experiment, run, bin))
-select mu, experiment, run, bin, round(pow(10, low + bin * (high - low) / 49), 2) as edge, round(sum(m) over (partition by mu, experiment, run order by bin) / sum(m) over (partition by mu, experiment, run), 2) as cdf,
+c as (select mu, experiment, run, cast(case when Latency <= 0 then 0 else least(98, floor((log10(Latency) - low) / (high - low) * 99 + 1e-9)) end as int) as bin, count(*) as n from latency join spans using (mu) group by 1, 2, 3, 4),
+d as (select *, coalesce(n, 0) as m from (select *, unnest(range(99))::int as bin from (select distinct mu, experiment, run, low, high from latency join spans using (mu))) left join c using (mu, experiment, run, bin))
+select mu, experiment, run, bin, round(pow(10, low + bin * (high - low) / 99), 2) as edge, round(sum(m) over (partition by mu, experiment, run order by bin) / sum(m) over (partition by mu, experiment, run), 2) as cdf,
 round(1 - sum(m) over (partition by mu, experiment, run order by bin) / sum(m) over (partition by mu, experiment, run), 2) as ccdf from d""",
     "taskgroups",
 )
 def h3_log_cdf(spark: SparkSession, sf: str) -> DataFrame:
     rows = mappers.placement_latency(view(spark, sf, "taskgroups"))
-    return rounded(histogram.log_cdf(rows, "PlacementLatency", ["experiment", "run"], ["mu"], 50), 2)
+    return rounded(histogram.log_cdf(rows, "PlacementLatency", ["experiment", "run"], ["mu"]), 2)
 
 
 @query(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelab.functions.expressions import definitely_in_flavor, might_be_in_flavor
 from tracelab.operators import snapshots, tenant
+from tracelab.plans import paper_frames
 from tracelab.plans.registry import query, rounded
 from tracelab.plans.topology_queries import HOPS, K
 from tracelab.plans.views import DUCK, SPARK
@@ -17,7 +18,7 @@ from tracelab.sources.topology import fat_tree
 DAY = 86_400_000
 TIMES = (2 * DAY, 5 * DAY, 5 * DAY, 12 * DAY, 40 * DAY)
 #: Three groups for each user, which is a job: one in all flavors, one on switches, one on servers instead. A day after their last start some jobs end, some before.
-TABLES = """a as (select user_id as job_id, user_id * 3 + event_id % 3 as tg_id, case when event_id % 3 = 1 then user_id * 7 % 20 + event_id % 5 * 2 else event_id % 16 end % 20 as machine_id, MS(ts) as start_time, 1 + event_id % 3 as num_tasks, event_id as alloc_id, case when event_id % 7 = 0 then MS(ts) + cast(floor(value * 2000000) as bigint) end as lost from events),
+TABLES = """a as (select user_id as job_id, user_id * 3 + event_id % 3 as tg_id, case when event_id % 3 = 1 then user_id * 7 % 20 + event_id % 5 * 2 else event_id % 16 end % 20 as machine_id, MS(ts) as start_time, 1 + event_id % 3 as num_tasks, event_id as alloc_id, case when event_id % 7 = 0 and user_id % 2 = 0 then MS(ts) + cast(floor(value * 2000000) as bigint) end as lost from events),
 g as (select tg_id, max(job_id) as job_id, min(start_time) - 1000000 as submitted, cast(sum(num_tasks) as bigint) + tg_id % 2 as num_tasks, tg_id % 3 = 1 as is_switch, 1000 + tg_id as duration, 2000 + tg_id as original from a group by tg_id),
 told as (select job_id, alloc_id as seq, start_time as time, alloc_id % 13 <> 0 as chosen, 1 + (job_id + cast(floor(start_time / 900000000) as bigint)) % 2 as bit from a where alloc_id % 5 = 0),
 over_ as (select job_id, max(start_time) - job_id % 4 * 600000000 as until, case when job_id % 4 = 3 then 'W' else 'D' end as kind from a where job_id % 3 > 0 group by job_id)"""
@@ -130,3 +131,14 @@ def _stats_with_locality(spark: SparkSession, sf: str) -> DataFrame:
     counts = own.where(F.col("submitted") <= NOW).where(definitely_in_flavor(*four)).select(F.col("tg_id").alias("dst_tg"))
     where = snapshots.locality(present, tgs.where(F.col("submitted") <= NOW), _edges(tgs).join(counts, "dst_tg"), machines, links)
     return tenant.taskgroup_stats(allocs, tgs, status.join(options, "job_id", "left"), NOW, where)
+
+
+@query(
+    f"""with {_state_sql(TIMES)}, r as (select case when JobID % 2 = 0 then 'even' else 'odd' end as scheduler, snapshot as mu, InvolvedRacks as v from groups_ where JobStatus <> 'W' and TotalTasks = TasksStarted and TaskGroupType = 'I')
+select scheduler, mu, count(v) as count, round(avg(v), 4) as mean, round(stddev_samp(v), 4) as std, round(min(v), 4) as min, round(quantile_cont(v, 0.25), 4) as p25, round(quantile_cont(v, 0.5), 4) as p50, round(quantile_cont(v, 0.75), 4) as p75, round(max(v), 4) as max from r group by 1, 2"""
+)
+def f6_locality_of_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The frame of locality on racks where groups ran, from the event log; the snapshot is its x."""
+    groups = _snapshots(spark, sf)[0]
+    named = groups.withColumn("scheduler", F.when(F.col("JobID") % 2 == 0, "even").otherwise("odd")).withColumnRenamed("snapshot", "mu")
+    return rounded(paper_frames.locality(named))

@@ -200,12 +200,12 @@ def t10_max_waiting_time(spark: SparkSession, sf: str) -> DataFrame:
     return tenant.max_waiting_time(_waits(spark, sf).where("full_time is not null").select("submitted", F.col("full_time").alias("until")), HOUR)
 
 
-RECENT = "with r as (select *, row_number() over (partition by Solver order by StartTimeNanos desc) as k from solver), x as (select Solver, nanos, row_number() over (partition by Solver order by nanos) as p, count(*) over (partition by Solver) as n from r where k <= 100"
+RECENT = "with r as (select *, row_number() over (partition by Solver order by StartTimeNanos desc) as k from solver), x as (select Solver, nanos, row_number() over (partition by Solver order by nanos) as p, count(*) over (partition by Solver) as n from r where k <= 1000"
 
 
 @query(f"{RECENT}) select Solver, min(nanos) as min, cast(sum(nanos) // count(*) as bigint) as mean, max(case when p = n // 2 + 1 then nanos end) as median, max(nanos) as max from x group by Solver", "solver")
 def t11_recent_latency_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return tenant.recent_latency_stats(view(spark, sf, "solver"), ["Solver"], "nanos", ["StartTimeNanos"], 100)
+    return tenant.recent_latency_stats(view(spark, sf, "solver"), ["Solver"], "nanos", ["StartTimeNanos"])
 
 
 @query(

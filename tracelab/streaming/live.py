@@ -1,4 +1,8 @@
-"""Live statistics by Structured Streaming. Events that come later than the watermark are dropped."""
+"""Live statistics by Structured Streaming.
+
+stream_counters drops events that come later than its watermark; split_late tells late rows apart, so that they can have a sink of their own.
+What follows the order of a key's rows (W2, W3) sorts those of one batch, whose size the source bounds (maxFilesPerTrigger); batches must come in order.
+"""
 
 from __future__ import annotations
 
@@ -90,7 +94,7 @@ def stream_usage(events: DataFrame, mode: str) -> DataFrame:
 
 
 class LastN(StatefulProcessor):
-    """The n latest values of a key."""
+    """The n latest values of a key. Rows are cut to n as they come in; more are never held."""
 
     def __init__(self, key: str, value: str, order: str, n: int):
         self.key, self.value, self.order, self.n = key, value, order, n
@@ -99,9 +103,10 @@ class LastN(StatefulProcessor):
         self.kept = handle.getListState("kept", "o long, v double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        some = pd.concat(list(rows))
         held = list(self.kept.get()) if self.kept.exists() else []
-        held = sorted([*held, *((int(o), float(v)) for o, v in zip(some[self.order], some[self.value], strict=True))])[-self.n :]
+        for some in rows:
+            top = some.nlargest(self.n, self.order, keep="all") if len(some) > self.n else some
+            held = sorted([*held, *((int(o), float(v)) for o, v in zip(top[self.order], top[self.value], strict=True))])[-self.n :]
         self.kept.put([(o, v) for o, v in held])
         values = sorted(v for _, v in held)
         yield pd.DataFrame({self.key: [key[0]], "n": [len(values)], "min": [values[0]], "mean": [sum(values) / len(values)], "median": [values[len(values) // 2]], "max": [values[-1]]})
@@ -114,3 +119,42 @@ def stream_last_n(events: DataFrame, key: str, value: str, order: str, n: int) -
     """(key, n, min, mean, upper median, max) of the n latest values, after each batch."""
     kind = dict(events.dtypes)[key]
     return events.groupBy(key).transformWithStateInPandas(LastN(key, value, order, n), f"`{key}` {kind}, n long, min double, mean double, median double, max double", "Update", "None")
+
+
+class LateRows(StatefulProcessor):
+    """Marks each row by when it came: late if it is over `delay` behind the latest of its key in earlier batches, beyond if after the end."""
+
+    def __init__(self, time: str, delay: int, end: int | None):
+        self.time, self.delay, self.end = time, delay, end
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.latest = handle.getValueState("latest", "t long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = self.latest.get()[0] if self.latest.exists() else None
+        now = before
+        for some in rows:
+            time = some[self.time]
+            arrival = pd.Series("on time", some.index)
+            if before is not None:
+                arrival[time < before - self.delay] = "late"
+            beyond = time > self.end if self.end is not None else pd.Series(False, some.index)
+            arrival[beyond] = "beyond"
+            told = time[~beyond]
+            if len(told):
+                now = int(told.max()) if now is None else max(now, int(told.max()))
+            yield some.assign(arrival=arrival)
+        if now is not None:
+            self.latest.update((now,))
+
+    def close(self) -> None:
+        pass
+
+
+def split_late(events: DataFrame, keys: Sequence[str], time: str, delay: int, end: int | None = None) -> DataFrame:
+    """events with a column arrival: `on time`, `late` or `beyond`. time is a long that isn't null. Each key has its own watermark, `delay` behind the latest time that earlier batches told it.
+
+    Written with partitionBy("arrival"), each kind has a folder of its own, late rows beside those that went on; none is dropped.
+    """
+    kept = ", ".join(f"`{c}` {t}" for c, t in events.dtypes)
+    return events.groupBy(*keys).transformWithStateInPandas(LateRows(time, delay, end), f"{kept}, arrival string", "Append", "None")
