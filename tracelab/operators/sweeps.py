@@ -116,6 +116,7 @@ def for_each_point(df: DataFrame, cols: Sequence[str], fn: Callable[[pd.DataFram
 
 def planned_runs(frames: Sequence[DataFrame], skip=None) -> DataFrame:
     """The product of parameter frames (one column each, of planned values) with run, numbered in the order of the values; useless combinations keep their number but are marked skipped."""
+    frames = [f.coalesce(1) for f in frames]  # a few values each; their product would multiply partitions
     grid = reduce(lambda a, b: a.crossJoin(b), frames)
     cols = grid.columns
     sizes = [f.count() for f in frames]  # planned values
@@ -130,6 +131,37 @@ def planned_runs(frames: Sequence[DataFrame], skip=None) -> DataFrame:
     return grid.select(*cols, place.cast("bigint").alias("run"), (skip if skip is not None else F.lit(False)).alias("skipped"))
 
 
+#: Strategies that need in-network load, that which must not have any, and keys whose sweep means nothing without in-network load, or without the scheduler that they belong to.
+INC_STRATEGIES, SERVER_STRATEGY = (",force-inp", ",resubmit", ",fallback"), ",force-server"
+INC_KEYS = ("cell-max-active-inp", "scale-cell-switches", "kappa-tasks", "maxInpFlavorDecisionsPerRound", "kappa-runtime", "cellSwitchHomogeneous")
+HIRE_KEYS = ("hireShortcutsMaxSearchSpace", "hireShortcutsMaxSelection")
+
+#: Useless combinations: name, columns that must be swept or set, condition as SQL over them. A key that isn't a column has one value everywhere.
+_INC = " or ".join(f"contains(scheduler, '{x}')" for x in INC_STRATEGIES)
+SKIP_RULES = (
+    ("in-network strategy without in-network load", ("scheduler", "mu-inp"), f"({_INC}) and `mu-inp` = 0 and not contains(scheduler, 'coco')"),
+    ("penalties out of order", ("hireInpServerPenaltyWaitingLower", "hireInpServerPenaltyWaitingUpper"), "hireInpServerPenaltyWaitingLower >= hireInpServerPenaltyWaitingUpper"),
+    ("hire with shared resources for each", ("scheduler", "shared-resource-mode"), "contains(scheduler, 'hire') and `shared-resource-mode` = 'foreach'"),
+    ("others with shared resources once", ("scheduler", "shared-resource-mode"), "not contains(scheduler, 'hire') and `shared-resource-mode` = 'once'"),
+    ("others with complex flavors", ("scheduler", "useSimpleTwoStateInpServerFlavorOptions"), "not contains(scheduler, 'hire') and not useSimpleTwoStateInpServerFlavorOptions"),
+    ("server strategy with in-network load", ("scheduler", "mu-inp"), f"contains(scheduler, '{SERVER_STRATEGY}') and `mu-inp` > 0"),
+    *(("in-network key without in-network load", ("mu-inp", k), f"`mu-inp` = 0 and `{k}` is distinct from `first:{k}`") for k in INC_KEYS),
+    *(("hire's key for others", ("scheduler", k), f"not contains(scheduler, 'hire') and `{k}` is distinct from `first:{k}`") for k in HIRE_KEYS),
+)
+
+
+def with_skips(grid: DataFrame, first: Mapping[str, object] | None = None, rules: Sequence[tuple[str, Sequence[str], str]] = SKIP_RULES) -> DataFrame:
+    """grid with two more columns: `skipped`, and `reason`, the first rule that a combination breaks. Skipped ones keep their number, so their directories stay empty.
+
+    Columns of the grid are keys without dashes. first: the configuration that a plan begins with, which tells what a key is where it isn't swept.
+    """
+    first = {k: v for k, v in (first or {}).items() if k in grid.columns}
+    told = grid.withColumns({f"first:{k}": F.lit(v) for k, v in first.items()})
+    met = [F.when(F.expr(sql), name) for name, keys, sql in rules if all(k in grid.columns for k in keys) and all(k in first for k in keys if f"`first:{k}`" in sql)]
+    reason = F.coalesce(*met, F.lit(None).cast("string"))
+    return told.withColumn("reason", reason).withColumn("skipped", F.col("reason").isNotNull()).drop(*[f"first:{k}" for k in first])
+
+
 def sweep_coverage(planned: DataFrame, done: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Planned combinations that aren't skipped and have no run."""
     return planned.where("not skipped").join(done.select(*cols).distinct(), list(cols), "left_anti")

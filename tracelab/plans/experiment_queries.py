@@ -15,6 +15,7 @@ from tracelab.plans.registry import query, rounded
 from tracelab.plans.result_queries import INC_VIEW, inc_wide
 from tracelab.plans.views import view
 from tracelab.sources import runs as source
+from tracelab.sources import topology, trace
 from tracelab.sources.scratch import scratch_path
 
 SCHEMA = "Time bigint, CountJobs bigint, CountPreemptions bigint"
@@ -169,6 +170,28 @@ def d11_sweep_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return sweeps.sweep_coverage(planned, view(spark, sf, "runs"), ["scheduler", "mu"]).select("scheduler", "mu")
 
 
+PLAN = """plan as (select s as scheduler, m as mu_inp, r as mode, k as kappa, c as searched, u as simple, (dense_rank() over (order by s) - 1) * 48 + (dense_rank() over (order by m) - 1) * 16 + (dense_rank() over (order by r) - 1) * 8 + (dense_rank() over (order by k) - 1) * 4 + (dense_rank() over (order by c) - 1) * 2 + (dense_rank() over (order by u) - 1) as run
+from (select distinct concat(scheduler, t) as s from runs, (select unnest(['', ',force-inp', ',force-server']) as t)), (select distinct cast(mu as double) as m from runs union all select 0.0), (select unnest(['foreach', 'once']) as r), (select unnest([1, 2]) as k), (select unnest([10, 20]) as c), (select unnest([false, true]) as u))"""
+
+
+@query(
+    f"""with {PLAN}, w as (select *, case when contains(scheduler, ',force-inp') or contains(scheduler, ',resubmit') or contains(scheduler, ',fallback') then mu_inp = 0 and not contains(scheduler, 'coco') else false end as r1, contains(scheduler, 'hire') as h from plan)
+select run, scheduler, mu_inp, mode, case when r1 then 'in-network strategy without in-network load' when h and mode = 'foreach' then 'hire with shared resources for each' when not h and mode = 'once' then 'others with shared resources once' when not h and not simple then 'others with complex flavors'
+when contains(scheduler, ',force-server') and mu_inp > 0 then 'server strategy with in-network load' when mu_inp = 0 and kappa <> 1 then 'in-network key without in-network load' when not h and searched <> 10 then 'hire''s key for others' end as reason from w""",
+    "runs",
+)
+def d11_skip_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """All combinations of a plan over the view's schedulers and shares, with the rule that leaves a number empty."""
+    runs = view(spark, sf, "runs")
+    one = lambda values, name, kind: spark.createDataFrame([(x,) for x in values], f"`{name}` {kind}")
+    names = runs.select(F.explode(F.array(*[F.concat("scheduler", F.lit(t)) for t in ("", ",force-inp", ",force-server")])).alias("scheduler")).distinct()
+    shares = runs.select(F.col("mu").cast("double").alias("mu-inp")).distinct().unionByName(one([0.0], "mu-inp", "double"))
+    frames = [names, shares, one(["foreach", "once"], "shared-resource-mode", "string"), one([1, 2], "kappa-tasks", "int"), one([10, 20], "hireShortcutsMaxSelection", "int"), one([False, True], "useSimpleTwoStateInpServerFlavorOptions", "boolean")]
+    planned = sweeps.planned_runs(frames).drop("skipped")
+    out = sweeps.with_skips(planned, {"kappa-tasks": 1, "hireShortcutsMaxSelection": 10})
+    return out.select("run", "scheduler", F.col("mu-inp").alias("mu_inp"), F.col("shared-resource-mode").alias("mode"), "reason")
+
+
 @query("select run, Time, unnest(['CountJobs', 'CountPreemptions']) as origin_column, unnest([CountJobs, CountPreemptions]) as y from counters", "counters")
 def f1_melt(spark: SparkSession, sf: str) -> DataFrame:
     return figures.melt(view(spark, sf, "counters"), ["run", "Time"], ["CountJobs", "CountPreemptions"])
@@ -261,3 +284,48 @@ def f6_solver_cdf(spark: SparkSession, sf: str) -> DataFrame:
     runs = view(spark, sf, "runs").select("run", "mu").distinct()
     out = paper_frames.solver_cdf(view(spark, sf, "solver").join(F.broadcast(runs), "run"))
     return out.withColumns({"edge": F.round("edge", 4), "cdf": F.round("cdf", 2), "ccdf": F.round("ccdf", 2)})
+
+
+def _raw(spark: SparkSession, df: DataFrame, name: str) -> str:
+    path = scratch_path(spark, name)
+    df.write.csv(path)
+    return path
+
+
+@query("select concat('m', user_id) as machine_id, (epoch_us(ts) - epoch_us(timestamp '2024-01-01')) // 1000000 as time_stamp, cast(user_id % 5 as int) as cpu_num, case when event_id % 3 = 0 then 'BROKEN' else event_type end as status from events where event_id % 7 > 0")
+def s1_read_machine_meta(spark: SparkSession, sf: str) -> DataFrame:
+    """Machines written as a raw file; rows without a number of CPUs go to the rejects."""
+    seconds = F.expr("timestampdiff(SECOND, timestamp_ntz'2024-01-01 00:00:00', ts)")
+    status = F.when(F.col("event_id") % 3 == 0, "BROKEN").otherwise(F.col("event_type"))
+    cpus = F.when(F.col("event_id") % 7 > 0, (F.col("user_id") % 5).cast("string")).otherwise("many")
+    rows = spark.read.parquet(f"{sf}/events.parquet").select(F.concat(F.lit("m"), "user_id"), seconds, F.lit("f1"), F.lit("f2"), cpus, F.col("value"), status)
+    good, _ = trace.read_machine_meta(spark, _raw(spark, rows, "machine_meta"))
+    return good.select("machine_id", "time_stamp", "cpu_num", "status")
+
+
+@query("select container_id, app_du, status, time_stamp, cpu_request, case when cpu_request = 0 then null else cpu_request end as cpu_limit, round(mem_size, 4) as mem_size from container_rows", "container_rows")
+def s2_read_container_meta(spark: SparkSession, sf: str) -> DataFrame:
+    limit = F.when(F.col("cpu_request") > 0, F.col("cpu_request"))
+    rows = view(spark, sf, "container_rows").select("container_id", F.lit("m1"), "time_stamp", "app_du", "status", "cpu_request", limit, "mem_size")
+    good, _ = trace.read_container_meta(spark, _raw(spark, rows, "container_meta"))
+    return rounded(good.select("container_id", "app_du", "status", "time_stamp", "cpu_request", "cpu_limit", "mem_size"))
+
+
+@query("select job, name, instances, round(cpu, 4) as cpu, round(mem, 4) as mem, start_time, end_time from task_rows where end_time - start_time < 100000000 union all select 'rejected', 'time', count(*), null, null, null, null from task_rows where end_time - start_time >= 100000000", "task_rows")
+def s3_read_batch_task(spark: SparkSession, sf: str) -> DataFrame:
+    """Task rows, empty fields among them, and the number of rejects: some have a negative end."""
+    end = F.when(F.col("end_time") - F.col("start_time") < 100_000_000, F.col("end_time")).otherwise(-1)
+    rows = view(spark, sf, "task_rows").select("name", "instances", "job", "type", F.lit("Terminated"), "start_time", end, "cpu", "mem")
+    good, rejects = trace.read_batch_task(spark, _raw(spark, rows, "batch_task"))
+    good = rounded(good.select(F.col("job_name").alias("job"), F.col("task_name").alias("name"), F.col("instance_num").alias("instances"), F.col("plan_cpu").alias("cpu"), F.col("plan_mem").alias("mem"), "start_time", "end_time"))
+    none = lambda kind: F.lit(None).cast(kind)
+    lost = rejects.agg(F.count("*").alias("instances")).select(F.lit("rejected").alias("job"), F.lit("time").alias("name"), "instances", none("double").alias("cpu"), none("double").alias("mem"), none("bigint").alias("start_time"), none("bigint").alias("end_time"))
+    return good.unionByName(lost)
+
+
+@query("select distinct user_id as src, cast(user_id % 2 = 0 as boolean) as src_is_switch, user_id % 9 as dst, true as dst_is_switch from events")
+def s11_read_topology_edges(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "edges")
+    u = F.col("user_id")
+    spark.read.parquet(f"{sf}/events.parquet").select(u.alias("src"), (u % 2 == 0).alias("src_is_switch"), (u % 9).alias("dst"), F.lit(True).alias("dst_is_switch")).distinct().write.option("header", True).csv(path)
+    return topology.read_topology_edges(spark, path)
