@@ -113,6 +113,24 @@ def test_substring_dedup(docs, empty, rows):
     assert substrings.remove_repeats(empty)[0].count() == 0
 
 
+def test_rows_of_one_unit_are_searched_once(spark, monkeypatch):
+    words = lambda a, b: " ".join(f"w{k}" for k in range(a, b))
+    once = [(1, words(0, 60) + " one"), (5, words(0, 60) + " five " + words(100, 130)), (None, words(0, 55) + " none")]
+    many = once[:1] + once[1:2] * 2000 + once[2:] * 2000
+    staged, real = {}, substrings.stage
+
+    def seen(df, name):
+        staged[name] = real(df, name)
+        return staged[name]
+
+    monkeypatch.setattr(substrings, "stage", seen)
+    sizes = []
+    for rows in (once, many):
+        assert substring_rows(spark.createDataFrame(rows, "doc_id long, text string")) == removed_by_hand(rows)
+        sizes.append((staged["candidates"].count(), staged["windows"].count()))
+    assert sizes[0] == sizes[1] and sizes[0][0] == 3
+
+
 def test_source_mixing(docs, empty, rows):
     out = mixing.mix(docs).collect()
     assert len(out) == len(rows)

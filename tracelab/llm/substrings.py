@@ -23,7 +23,7 @@ from tracelab.llm.common import HOT_SHARE, attach, stage
 from tracelab.llm.rolling import Rolling
 
 WINDOW, BLOCK, GRAM = 50, 25, 8
-#: To how many tasks the probes of a hot anchor go.
+#: To how many tasks the rows of a hot anchor or window go.
 SALTS = 64
 _LAST = (1 << 63) - 1
 
@@ -100,48 +100,78 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 gone = np.cumsum(marks)[:-1] > 0
                 removed.append(int(gone.sum()))
                 kept.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], ["row", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("unit"), batch.column("copies"), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], ["unit", "copies", "n_removed", "kept"])
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(rows, cuts): rows has doc_id, row, n_words, digest (SHA-256 of its words) and whole (all its words repeat) for each
-    row of docs; cuts has row, n_removed and kept (the words that stay, as UTF-8) for those that lose a part.
+def _meet(rows: DataFrame, groups: DataFrame, key: str, how: str) -> DataFrame:
+    """rows join groups on key, where groups has one row a key and its number of rows in n. Rows of a key with over
+    1/HOT_SHARE of them, of which there are fewer than HOT_SHARE, are dealt to SALTS tasks."""
+    share = max(1, (groups.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
+    hot = F.broadcast(groups.where(F.col("n") > share).select(key, F.lit(SALTS).alias("salts")))
+    dealt = rows.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.coalesce("salts", F.lit(1)))).drop("salts")
+    salts = F.sequence(F.lit(0).cast("bigint"), F.when(F.col("n") > share, SALTS - 1).otherwise(0).cast("bigint"))
+    return dealt.join(groups.withColumn("salt", F.explode(salts)).drop("n"), [key, "salt"], how).drop("salt")
 
-    A text whose words all equal a smaller document's is settled by its digest and takes no part in the search. Null text
-    has no words; texts under WINDOW words lose none. Null ids come after all others. Rows repeated under one id
-    are one document and cut alike. An empty table gives no rows.
+
+def cut_units(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Like remove_repeats(), but cuts has one row a unit: unit, copies (rows of docs that are this unit), n_removed, kept.
+
+    A unit is an id with a text; the row that stands for it in `unit` of rows takes part in the search, and all are cut alike.
     """
     i, t = F.col(doc_id).cast("long"), F.encode(F.col(text), "UTF-8")
     named = docs.select(F.coalesce(i, F.lit(_LAST)).alias("ord"), F.coalesce(F.xxhash64(i, t), F.lit(0)).alias("key"), t.alias("text"))
     scanned = named.mapInArrow(_scan, "ord long, key long, n_words long, digest binary, anchor array<long>, span array<long>, block array<boolean>")
     scanned = stage(scanned.withColumn("row", F.monotonically_increasing_id()), "scanned")
-    groups = scanned.groupBy("digest").agg(F.min("ord").alias("first"), F.count("*").alias("copies"))
-    rows = attach(scanned.select("row", "ord", "key", "n_words", "digest"), groups, "digest", "copies", scanned.count())
-    rows = rows.withColumn("whole", (F.col("first") < F.col("ord")) & (F.col("n_words") >= WINDOW)).drop("first", "copies")
-
-    probes = scanned.select("row", F.hash("digest").alias("content"), F.explode(F.arrays_zip("anchor", "span", "block")).alias("x"))
+    total = scanned.count()
+    groups = scanned.groupBy("digest").agg(F.min("ord").alias("first"), F.count("*").alias("same"))
+    named_as = F.struct("ord", "key").alias("name")
+    units = stage(scanned.groupBy(named_as).agg(F.min("row").alias("unit"), F.count("*").alias("copies")), "units")
+    rows = attach(scanned.select("row", named_as, "n_words", "digest"), units, "name", "copies", total)
+    rows = attach(rows, groups, "digest", "same", total)
+    rows = stage(rows.withColumn("whole", (F.col("first") < F.col("name.ord")) & (F.col("n_words") >= WINDOW)).drop("first", "same"), "rows")
+
+    probes = scanned.select("row", F.xxhash64("digest").alias("content"), F.explode(F.arrays_zip("anchor", "span", "block")).alias("x"))
     probes = probes.select("row", "content", F.col("x.anchor").alias("anchor"), F.col("x.span").alias("span"), F.col("x.block").alias("block"))
     hits = probes.groupBy("anchor").agg(F.min("content").alias("lo"), F.max("content").alias("hi"), F.max("block").alias("indexed"), F.count("*").alias("n")).where("indexed and lo < hi")
     hits = stage(hits.select("anchor", "n"), "hits")
-    # Probes of an anchor with over 1/HOT_SHARE of them, of which there are fewer than HOT_SHARE, are dealt to SALTS tasks.
-    share = max(1, (hits.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
-    hot = F.broadcast(hits.where(F.col("n") > share).select("anchor", F.lit(SALTS).alias("salts")))
-    dealt = probes.select("row", "anchor", "span").join(hot, "anchor", "left").withColumn("salt", F.pmod(F.xxhash64("row"), F.coalesce("salts", F.lit(1))))
-    met = hits.select("anchor", F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(F.col("n") > share, SALTS - 1).otherwise(0).cast("bigint"))).alias("salt"))
-    spans = dealt.join(met, ["anchor", "salt"], "left_semi").groupBy("row").agg(F.collect_list("span").alias("spans"))
-    found = rows.where(~F.col("whole")).join(spans, "row").select("row", "ord", "key", "spans")
-    texts = stage(named.join(found, ["ord", "key"]).select("row", "ord", "text", "spans"), "candidates")
-
-    windows = stage(texts.mapInArrow(_windows, "h long, ord long, row long, start int"), "windows")
-    held = windows.groupBy("h").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").select("h", "lo")
-    repeated = windows.join(held, "h").where("lo < ord").groupBy("row").agg(F.collect_set("start").alias("starts"))
-    cuts = texts.select("row", "text").join(repeated, "row").mapInArrow(_cut, "row long, n_removed long, kept binary").dropDuplicates(["row"])
-    return rows.select("row", F.when(F.col("ord") != _LAST, F.col("ord")).alias("doc_id"), "n_words", "digest", "whole"), cuts
+    spans = _meet(probes.select("row", "anchor", "span"), hits, "anchor", "left_semi").groupBy("row").agg(F.collect_list("span").alias("spans"))
+    searched = rows.where("row = unit and not whole").select("row", "copies", "name.ord", "name.key")
+    found = searched.join(spans, "row").select("ord", "key", F.col("row").alias("unit"), "copies", "spans")
+    # Of units with over 1/HOT_SHARE of all rows, of which there are fewer than HOT_SHARE, each task sends one text. The join sees each
+    # other unit's rows in order, so that the first of them is taken without another shuffle.
+    often = units.where(F.col("copies") > max(1, total // HOT_SHARE)).select("name.ord", "name.key")
+    if not often.isEmpty():
+        once = named.join(F.broadcast(often), ["ord", "key"], "left_semi").groupBy("ord", "key").agg(F.first("text").alias("text"))
+        named = named.join(F.broadcast(often), ["ord", "key"], "left_anti").unionByName(once)
+    taken = [F.first(c).alias(c) for c in ("unit", "copies", "text", "spans")]
+    texts = stage(named.join(found, ["ord", "key"]).groupBy("ord", "key").agg(*taken), "candidates")
+
+    windows = stage(texts.withColumnRenamed("unit", "row").mapInArrow(_windows, "h long, ord long, row long, start int"), "windows")
+    held = windows.groupBy("h").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    held = stage(held.select("h", "lo", "n"), "held")
+    repeated = _meet(windows, held, "h", "inner").where("lo < ord").groupBy(F.col("row").alias("unit")).agg(F.collect_set("start").alias("starts"))
+    cuts = texts.select("unit", "copies", "text").join(repeated, "unit").mapInArrow(_cut, "unit long, copies long, n_removed long, kept binary")
+    ord_ = F.col("name.ord")
+    return rows.select("row", "unit", F.when(ord_ != _LAST, ord_).alias("doc_id"), "n_words", "digest", "whole"), cuts
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(rows, cuts): rows has doc_id, row, unit, n_words, digest (SHA-256 of its words) and whole (all its words repeat) for
+    each row of docs; cuts has row, n_removed and kept (the words that stay, as UTF-8) for those that lose a part.
+
+    A text whose words all equal a smaller document's is settled by its digest and takes no part in the search. Null text
+    has no words; texts under WINDOW words lose none. Null ids come after all others, and don't cut each other. Rows
+    repeated under one id, and different texts under it, are one document. An empty table gives no rows.
+    """
+    rows, cuts = cut_units(docs, text, doc_id)
+    cuts = stage(cuts.withColumnRenamed("copies", "n"), "cuts")
+    return rows, _meet(rows.where(~F.col("whole")).select("unit", "row"), cuts, "unit", "inner").drop("unit")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, cuts = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    out = rows.join(cuts.select("row", "n_removed", F.sha2("kept", 256).alias("cut_sha256")), "row", "left")
+    rows, cuts = cut_units(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    cuts = stage(cuts.select("unit", "copies", "n_removed", F.sha2("kept", 256).alias("cut_sha256")), "cuts")
+    out = attach(rows, cuts, "unit", "copies", rows.count())
     removed = F.when(F.col("whole"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
     kept = F.when(F.col("whole"), F.sha2(F.lit(""), 256)).otherwise(F.coalesce("cut_sha256", F.lower(F.hex("digest"))))
     return out.select("doc_id", "n_words", removed.cast("long").alias("n_removed"), kept.alias("kept_sha256"))
