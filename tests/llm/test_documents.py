@@ -9,6 +9,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tests.llm.fixtures import SCHEMA, documents
 from tracelab.llm import exact_dedup, language, media, mixing, packing, quality, simhash, substrings, token_counts
@@ -81,6 +82,20 @@ def test_exact_dedup(spark, docs, empty, rows):
     assert whole.columns == docs.columns and whole.count() == len(groups)
 
 
+def test_indexes_leave_no_tables_and_open_again(spark, docs):
+    before = {t.name for t in spark.catalog.listTables()}
+    path = scratch(spark, "index-again")
+    index = exact_dedup.DigestIndex.open(spark, path)
+    first = exact_dedup.ingest(docs, index, "a")
+    index.close()
+    exact_dedup.deduplicate(docs).count()
+    assert {t.name for t in spark.catalog.listTables()} == before
+    kept = first.where("kept").count()
+    index = exact_dedup.DigestIndex.open(spark, path)
+    assert index.read().count() == kept > 0 and exact_dedup.ingest(docs, index, "b").where("kept").count() == 0
+    index.close()
+
+
 def removed_by_hand(rows):
     words = [(10**18 if i is None else i, WORD.findall(t or "")) for i, t in rows]
     first = {}
@@ -152,6 +167,28 @@ def test_source_mixing(docs, empty, rows):
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in out)
 
 
+def test_repeated_rows_spread_over_blocks(spark, monkeypatch):
+    rows = [(5, "the same four words", "a")] * 3000 + [(k, f"word {k}", "a") for k in range(500)] + [(5, "the same four words", None)] * 200
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    monkeypatch.setattr(mixing, "BLOCK", 256)
+    staged, real = {}, mixing.stage
+
+    def seen(df, name):
+        staged[name] = real(df, name)
+        return staged[name]
+
+    monkeypatch.setattr(mixing, "stage", seen)
+    out = mixing.mix(table)
+    assert max(r["count"] for r in staged["cube-0"].groupBy("rank", "block").count().collect()) < 512
+    assert staged["cube-0"].groupBy("rank").agg(F.count_distinct("key"), F.count("*")).where("`count(DISTINCT key)` < `count(1)`").count() == 0
+    again = mixing.mix(table.repartition(5))
+    count = lambda x: bag((r.doc_id, r.source, r.copies) for r in x.collect())
+    assert count(out) == count(again) and out.count() == len(rows)
+    for source in ("a", None):
+        of = [r for r in out.collect() if r.source == source]
+        assert abs(sum(r.size * r.copies for r in of) - of[0].target) <= 8
+
+
 def test_targets_by_hand():
     assert mixing.targets({"a": 100, "b": 100, None: 100}) == pytest.approx({"a": 200, "b": 500 / 3, None: 250 / 3})
     assert mixing.targets({"a": 0, "b": 10}) == pytest.approx({"a": 0, "b": 15})
@@ -439,6 +476,41 @@ def test_quality(spark, docs, empty):
     assert quality.keep_good(docs, labels.where("false")).count() == docs.count()
 
 
+def test_quality_against_brute_force(spark):
+    """Models, weights, noise and the sample again, from the texts alone and without the operator's helpers."""
+    draw = np.random.default_rng(11)
+    good = lambda: " ".join(draw.choice(["The", "river", "runs", "to", "the", "sea", "and", "rests,"], 40))
+    bad = lambda: " ".join(draw.choice(["BUY", "now!!!", "click", "here", "$$$", "free"], 40))
+    texts = {k: good() if k % 3 else bad() for k in range(150)} | {150: "", 151: None, 152: "Ünïcode 漢字 ... x_y"}
+    labels = {k: int(k % 3 > 0) for k in range(0, 150, 2)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    marks = spark.createDataFrame(list(labels.items()), "doc_id long, quality int")
+
+    def grams(text):
+        ids = [zlib.crc32(x.lower().encode()) for x in re.findall(r"\w+|[^\w\s]+", text or "")]
+        mixed = [x * 2246822519 for x in ids] + [a * 2654435761 + b * 40503 + 1 for a, b in zip(ids, ids[1:], strict=False)]
+        return Counter((x % 2**32) >> 19 for x in mixed)
+
+    bags = {k: grams(t) for k, t in texts.items()}
+    raw, target = Counter(), Counter()
+    for k, b in bags.items():
+        raw += b
+        if labels.get(k):
+            target += b
+    total, n = sum(raw.values()) + 8192, sum(target.values())
+    p = lambda b: (raw[b] + 1) / total
+    weight = {k: sum(c * np.log((target[b] + 2**18 * p(b)) / (n + 2**18) / p(b)) for b, c in bag_.items()) for k, bag_ in bags.items()}
+    noise = {r.doc_id: (r.h % 2**40 + 0.5) / 2**40 for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(0)).alias("h")).collect()}
+    key = {k: w - np.log(-np.log(noise[k])) for k, w in weight.items()}
+    share = np.mean(list(labels.values()))
+    k = int(np.ceil(len(texts) * (share + 0.1 * (1 - share))))
+    want = set(sorted(key, key=key.get, reverse=True)[:k])
+    rows = quality.scored(docs, quality.log_ratios(docs, marks.where("quality = 1"))).collect()
+    assert {r.doc_id: r.log_weight for r in rows} == pytest.approx(weight, abs=1e-9)
+    assert {r.doc_id: r.key for r in rows} == pytest.approx(key, abs=1e-9)
+    assert {r.doc_id for r in quality.keep_good(docs, marks).collect()} == want
+
+
 def test_kth_largest(spark):
     draw = np.random.default_rng(3)
     values = [*draw.normal(0, 1, 500).tolist(), *[2.5] * 100, -1e9, 1e9]

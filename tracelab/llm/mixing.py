@@ -14,7 +14,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelab.llm.common import free_name, n_words, row_id, stage
@@ -100,6 +100,20 @@ def _going(p: np.ndarray, n: int) -> np.ndarray:
     return go
 
 
+def _numbered(units: DataFrame) -> DataFrame:
+    """units with a key of its own for each row of a source that repeats an id and text, so that such rows spread over all blocks.
+
+    Rows are numbered within a key and a part of the scan, after those of the parts before, of which only counts are
+    sorted. Rows of one key are equal, so it doesn't matter which has which number.
+    """
+    same = units.withColumn("same", F.xxhash64(F.col("source").isNull(), "source", "key"))
+    counts = same.groupBy("same", "part").agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("same").orderBy("part")) - F.col("n")).where("before > 0").drop("n")
+    numbered = same.withColumn("nth", F.row_number().over(Window.partitionBy("same", "part").orderBy("row")) - 1).join(before, ["same", "part"], "left")
+    nth = F.col("nth") + F.coalesce("before", F.lit(0))
+    return numbered.withColumn("key", F.when(nth > 0, F.xxhash64("key", nth)).otherwise(F.col("key"))).select(units.columns)
+
+
 def _block(seed: int, level: int, carried: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "key", "row"], ascending=[False, True, True])  # what is left at the end is small
@@ -124,7 +138,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     """
     spark = docs.sparkSession
     t, i, s = F.col(text), F.col(doc_id).cast("long"), F.col(source).cast("string")
-    units = stage(docs.select((F.col(row) if row else row_id()).alias("row"), i.alias("doc_id"), s.alias("source"), n_words(t).alias("size"), F.xxhash64(i, t).alias("key")), "units")
+    units = stage(docs.select((F.col(row) if row else row_id()).alias("row"), i.alias("doc_id"), s.alias("source"), n_words(t).alias("size"), F.xxhash64(i, t).alias("key"), F.spark_partition_id().alias("part")), "units")
     sizes = {r.source: (r.size, r.n) for r in units.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
     goal = targets({k: v[0] for k, v in sizes.items()}, weights, share, most)
     names = sorted(sizes, key=lambda x: (x is None, x or ""))
@@ -135,7 +149,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
         sure = int(times + _EDGE)
         plan.append((rank, name, int(size), float(goal[name]), sure, max(0.0, times - sure), -(-n // BLOCK)))
     table = spark.createDataFrame(plan, "rank int, source string, source_size long, target double, sure int, p double, blocks long")
-    todo = units.join(F.broadcast(table), units["source"].eqNullSafe(table["source"])).select(units["*"], "rank", "p", "blocks")
+    todo = _numbered(units)
+    todo = todo.join(F.broadcast(table), todo["source"].eqNullSafe(table["source"])).select(todo["*"], "rank", "p", "blocks")
     done, level = None, 0
     most_blocks = max([1, *(x[-1] for x in plan)])
     carried = min(CARRIED, BLOCK // 2 - 2)  # blocks must become fewer
