@@ -44,6 +44,10 @@ class DigestIndex:
         fresh.select("digest", "first_id", "batch").write.insertInto(self.table)
         self.spark.catalog.refreshTable(self.table)
 
+    def close(self) -> None:
+        """The session forgets the index; its files stay, and open() finds them again."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
 
 def ingest(docs: DataFrame, index: DigestIndex, batch: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Takes a batch into the index; returns a decision for every row.
@@ -62,7 +66,7 @@ def ingest(docs: DataFrame, index: DigestIndex, batch: str, text: str = "text",
     held = groups.join(index.read().hint("merge"), "digest").select(
         "digest", "group_size", F.col("first_id").alias("keep_id"), F.when(F.col("batch") == batch, F.col("first.row")).alias("keep_row")
     )
-    out = attach(rows, held, "digest", "group_size", rows.count())
+    out = attach(rows, stage(held, "held"), "digest", "group_size", rows.count())
     return out.select("row", "doc_id", "digest", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"))
 
 
@@ -77,12 +81,15 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     groups = rows.groupBy("digest").agg(first.alias("first"))
     fresh = stage(groups.join(index.read().hint("merge"), "digest", "left_anti"), "fresh")
     index.append(fresh.select("digest", F.col("first.doc_id").alias("first_id"), F.lit("0").alias("batch")))
+    index.close()
     return staged.join(fresh.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = ingest(docs, DigestIndex.open(spark, scratch(spark, "index")), "0")
+    index = DigestIndex.open(spark, scratch(spark, "index"))
+    out = ingest(docs, index, "0")
+    index.close()
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
