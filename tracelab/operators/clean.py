@@ -97,10 +97,14 @@ def normalize_tg_times(tgs: DataFrame, horizon: DataFrame) -> DataFrame:
     return timed.withColumn("duration", F.col("tg_end") - F.col("tg_start"))
 
 
+#: The most CPU (in hundredths of a core) and memory (in percent) that a task group may ask for.
+MOST_CPU, MOST_MEM = 9600, 100
+
+
 def tg_reason() -> Column:
     """Why a task group is rejected; null if it isn't."""
     bad = lambda c, most: F.col(c).isNull() | (F.col(c) <= 0) | (F.col(c) > most)
-    return F.when(F.col("instances").isNull(), "instances").when(bad("cpu", 9600), "cpu").when(bad("mem", 100), "mem").when(F.col("duration") <= 0, "duration")
+    return F.when(F.col("instances").isNull(), "instances").when(bad("cpu", MOST_CPU), "cpu").when(bad("mem", MOST_MEM), "mem").when(F.col("duration") <= 0, "duration")
 
 
 def validate_tgs(tgs: DataFrame) -> DataFrame:
