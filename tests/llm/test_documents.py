@@ -457,6 +457,14 @@ def test_language(spark, docs, empty):
     assert nothing.predict("text") == ("und", 0.0) and model.predict(None) == ("und", 0.0) and model.predict("12 !!") == ("und", 0.0)
 
 
+def test_language_learns_the_same_from_repeated_ids(spark):
+    rows = [(k % 20, f"{x} {k}", lang) for k in range(60) for lang, x in (("en", "the house and the sea"), ("de", "das Haus und das Meer"))]
+    models = [language.train(spark.createDataFrame(rows[::step], "doc_id long, text string, lang string").repartition(n)) for step, n in ((1, 1), (-1, 4))]
+    texts = spark.createDataFrame([(k, t, None) for k, (_, t, _) in enumerate(rows)], "doc_id long, text string, lang string")
+    first, second = (sorted(map(tuple, language.predict(texts, m).collect())) for m in models)
+    assert first == second
+
+
 def test_language_held_out_accuracy(spark):
     out = language.op8_language_id(spark, "/root/testdata/sf0.001")
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang")

@@ -111,12 +111,12 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(labelled: DataFrame) -> Model:
-    """A model of labelled rows (doc_id, text, lang). Rows without lang, text or letters teach nothing; of an id that is repeated with one lang, one row does."""
+    """A model of labelled rows (doc_id, text, lang). Rows without lang, text or letters teach nothing; of an id that is repeated with one lang, the smallest text does."""
     rank = "row_number() over (partition by lang, salt order by h, doc_id)"
     ids = labelled.where("lang is not null and doc_id is not null").select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).distinct().withColumn("salt", F.pmod("h", F.lit(SALTS)))
     chosen = ids.select("lang", "doc_id", F.expr(rank).alias("k")).where(F.col("k") <= PER_SALT).drop("k")
     # Bounded: SALTS * PER_SALT ids a language.
-    texts = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.first("text").alias("text"))
+    texts = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     found = texts.select("lang", "text").mapInArrow(_featured, "lang string, x binary").collect()
     found.sort()
     x = np.array([np.frombuffer(r.x, np.float16) for r in found], np.float64).reshape(-1, BUCKETS)
