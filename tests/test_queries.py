@@ -56,3 +56,13 @@ def test_composites_are_of_all_jobs(spark):
     inside = {r.job for r in QUERIES["b2_trace_window"](spark, SF).select("job").distinct().collect()}
     for name in ("b10_expand_composites", "b12_rewire_composites"):
         assert {r.job for r in QUERIES[name](spark, SF).select("job").distinct().collect()} - inside, name
+
+
+@pytest.mark.parametrize("name", ("c12_capacity_of_groups", "c12_capacity_of_all_tasks"))
+def test_overfull_machines_take_no_tasks(duck, name):
+    """With six times the events most switches are overfull: no group may fit a negative number of tasks, in SQL either."""
+    con = duck.cursor()
+    sql = SQL[name].replace("from events", "from more_events")
+    con.execute(f"create temp view more_events as select * replace (event_id + k * 1000000 as event_id, user_id + k * 100000 as user_id) from '{SF}/../sf0.01/events.parquet' cross join range(60) as r(k)")
+    least, none = con.execute(f"select min(tasks), count(*) filter (where tasks = 0) from ({sql})").fetchone()
+    assert least == 0 and none > 0

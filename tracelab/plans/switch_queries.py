@@ -142,7 +142,7 @@ g as (select distinct user_id * 2 as tg_id, false as sw, (1 + user_id % 4) * 37
 union all select distinct user_id * 2 + 1, true, 20 * (1 + user_id % 4), 15 * (1 + user_id % 2), 10 * (user_id % 3), split(case when user_id % 5 = 0 then concat(2 + user_id % 8, ',', 2 + (user_id + 3) % 8) else concat(2 + user_id % 8, '') end, ','), user_id % 7 = 0, user_id % 6 from events),
 held as (select distinct tg_id * 2 as tg_id, machine_id from allocs where start_time <= {NOW} and end_time > {NOW} union select distinct user_id * 2 + 1, user_id % 20 from events join live on alloc_id = event_id),
 w as (select g.*, m.machine_id, f0, f1, f2, active, list_filter(props, lambda p: not list_contains(active, p)) as missing, d0 + coalesce(list_sum([10 + p::bigint for p in props if not list_contains(active, p)]), 0) as e0, d1 + coalesce(list_sum([2 * p::bigint for p in props if not list_contains(active, p)]), 0) as e1, d2 + 3 * len([p for p in props if not list_contains(active, p)]) as e2 from g join m using (sw)),
-k as (select *, case when sw and (list_contains(props, concat(2 + machine_id % 8, '')) or (len(missing) > 0 and len(active) + len(missing) > {MOST + 2})) then 0 else least(f0 // e0, f1 // e1, case when e2 > 0 then f2 // e2 else 2147483647 end) end as fit from w)"""
+k as (select *, case when sw and (list_contains(props, concat(2 + machine_id % 8, '')) or (len(missing) > 0 and len(active) + len(missing) > {MOST + 2})) then 0 else greatest(0, least(f0 // e0, f1 // e1, case when e2 > 0 then f2 // e2 else 2147483647 end)) end as fit from w)"""
 
 
 def _groups_and_machines(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
