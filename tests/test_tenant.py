@@ -168,3 +168,12 @@ def test_capacity_by_brute_force(spark, ignore):
     table = spark.createDataFrame(machines, "machine_id long, is_switch boolean, free array<long>, supported array<string>, active array<string>")
     got = capacity.capacity_fit(tgs, table, 2, spark.createDataFrame(held, "tg_id long, machine_id long"), need, "once", ignore)
     assert {r.tg_id: (r.machines, r.tasks) for r in got.collect()} == want
+
+
+def test_options_and_moves_come_from_one_pass(spark):
+    """Unions of the same events dealt by job met other joins with other numbers of partitions, once one side became a broadcast."""
+    groups, allocs, told, _ = world(1)
+    tgs, options = frames(spark, groups, allocs, told)
+    points = snapshots._Points(tgs, options, [100, 400])
+    assert "Union" not in snapshots._options_at(points, options)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in tenant.job_options_at(options, 400)._jdf.queryExecution().optimizedPlan().toString()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tracelab.functions.expressions import definitely_in_flavor, might_be_in_flavor
 from tracelab.operators import tenant, topology
+from tracelab.sources.scratch import materialize
 
 
 def locality(present: DataFrame, tgs: DataFrame, edges: DataFrame, machines: DataFrame, links: DataFrame) -> DataFrame:
@@ -22,6 +23,7 @@ def locality(present: DataFrame, tgs: DataFrame, edges: DataFrame, machines: Dat
     present: (tg_id, machine_id, is_switch), where groups run; edges: (src_tg, dst_tg) to successors that count. A detour is from a switch group's switches to its
     successors' servers, or from a server group's successors' switches to its servers.
     """
+    present, edges = materialize(present, "present"), materialize(edges, "edges")  # each is met many times below
     next_ = topology.connected_machines(present, edges).join(tgs.select("tg_id", F.col("is_switch").alias("own")), "tg_id").where("is_switch <> own")
     sides = present.select("tg_id", "machine_id", "is_switch").unionByName(next_.select("tg_id", "machine_id", "is_switch")).distinct()
     detour = topology.detour_levels(sides, machines, links)
@@ -58,8 +60,7 @@ class _Points:
 def _options_at(points: _Points, job_events: DataFrame) -> DataFrame:
     """(job_id, at, chosen, excluded): the last word on each bit by each point."""
     told = job_events.where(F.col("event").isin("flavor_chosen", "flavor_removed")).join(points.ends, "job_id", "left").withColumn("at", points.of("time")).where("at is not null")
-    sides = [told.select("job_id", "at", "time", "seq", "event", F.lit(side).alias("side"), F.explode(side).alias("bit")) for side in ("included", "excluded")]
-    words = sides[0].unionByName(sides[1]).groupBy("job_id", "side", "bit", "at").agg(F.max_by("event", F.struct("time", "seq")).alias("event"))
+    words = tenant.bits_told(told, "job_id", "at", "time", "seq", "event").groupBy("job_id", "side", "bit", "at").agg(F.max_by("event", F.struct("time", "seq")).alias("event"))
     dense = points.rows.select("job_id", "at").join(words.select("job_id", "side", "bit").distinct(), "job_id").join(words, ["job_id", "side", "bit", "at"], "left")
     w = Window.partitionBy("job_id", "side", "bit").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     now = dense.withColumn("event", F.last("event", ignorenulls=True).over(w)).where("event = 'flavor_chosen'")
@@ -81,16 +82,18 @@ def tenant_tables(
     and MaxDiameter; successors count once they are submitted and definitely in the flavor. Events after a job's end don't count; what happens at a time does.
     """
     points = _Points(tgs, job_events, times)
-    options = _options_at(points, job_events)
+    options = materialize(_options_at(points, job_events), "options")
     ours = allocs.select("tg_id", "machine_id", "start_time", "num_tasks", "preempted_at").join(tgs.select("tg_id", "job_id", "is_switch"), "tg_id").join(points.ends, "job_id", "left")
     ours = ours.withColumns({"p": points.of("start_time"), "q": points.of("preempted_at")}).where("p is not null and (q is null or p < q)")
-    n, weighted = F.col("num_tasks").cast("bigint"), F.col("start_time").cast("decimal(38,0)") * F.col("num_tasks")
+    ours = materialize(ours.select("job_id", "tg_id", "machine_id", "is_switch", "start_time", F.col("num_tasks").cast("bigint").alias("num_tasks"), "p", "q"), "ours")
+    n, weighted = F.col("num_tasks"), (F.col("start_time").cast("decimal(38,0)") * F.col("num_tasks")).cast("decimal(38,0)")
     null = F.lit(None).cast("bigint")
-    between = F.explode(F.filter(points.times, lambda t: (t >= F.col("p")) & (t < F.col("q")))).alias("at")
-    moves = ours.select("tg_id", F.col("p").alias("at"), n.alias("n"), weighted.alias("w"), F.when(F.col("q").isNull(), F.col("start_time")).alias("kept"), null.alias("lost"))
-    taken = ours.where("q is not null")
-    moves = moves.unionByName(taken.select("tg_id", F.col("q").alias("at"), (-n).alias("n"), (-weighted).alias("w"), null.alias("kept"), null.alias("lost")))
-    moves = moves.unionByName(taken.select("tg_id", between, F.lit(0).cast("bigint").alias("n"), (weighted * 0).alias("w"), null.alias("kept"), F.col("start_time").alias("lost")))
+    move = lambda at, n, w, kept, lost: F.struct(at.alias("at"), n.alias("n"), w.cast("decimal(38,0)").alias("w"), kept.alias("kept"), lost.alias("lost"))
+    between = F.filter(points.times, lambda t: (t >= F.col("p")) & (t < F.col("q")))
+    begun = F.array(move(F.col("p"), n, weighted, F.when(F.col("q").isNull(), F.col("start_time")), null))
+    back = F.array(move(F.col("q"), -n, -weighted, null, null))
+    held = F.transform(between, lambda t: move(t, F.lit(0).cast("bigint"), F.lit(0), null, F.col("start_time")))
+    moves = ours.select("tg_id", F.inline(F.when(F.col("q").isNull(), begun).otherwise(F.concat(begun, back, held))))
     sums = moves.groupBy("tg_id", "at").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.max("kept").alias("kept"), F.max("lost").alias("lost"))
     w = Window.partitionBy("tg_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     rows = tgs.join(options, "job_id").join(sums, ["tg_id", "at"], "left")
@@ -98,12 +101,13 @@ def tenant_tables(
     four = [F.col(c) for c in ("in_option", "not_in_option", "chosen", "excluded")]
     lacking = F.sum(F.when(might_be_in_flavor(*four), F.col("num_tasks") - F.col("s")).otherwise(0)).over(Window.partitionBy("job_id", "at"))
     rows = rows.withColumn("JobStatus", F.coalesce("kind", F.when(lacking <= 0, "A").otherwise("O"))).where("submitted <= at")
+    rows = materialize(rows.drop("first", "kept", "lost", "n", "w"), "rows")
     groups = tenant.taskgroup_table(rows, F.col("at"), emit, ["at", "snapshots"])
     if edges is not None:
         key = lambda c: F.struct(F.col(c).alias("tg"), "at")
         live = points.rows.where("kind is null or kind <> 'W'").select("job_id", "at")
         since = ours.where("q is null").groupBy("job_id", "tg_id", "machine_id", "is_switch").agg(F.min("p").alias("p")).join(live, "job_id").where("at >= p")
-        there = taken.select("tg_id", "machine_id", "is_switch", between)
+        there = ours.where("q is not null").select("tg_id", "machine_id", "is_switch", F.explode(between).alias("at"))
         present = since.select("tg_id", "machine_id", "is_switch", "at").unionByName(there).select(key("tg_id").alias("tg_id"), "machine_id", "is_switch").distinct()
         counts = rows.where(definitely_in_flavor(*four)).select(F.col("tg_id").alias("dst_tg"), "at")
         own = edges.join(counts, "dst_tg").select(key("src_tg").alias("src_tg"), key("dst_tg").alias("dst_tg"))

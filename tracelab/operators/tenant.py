@@ -16,14 +16,20 @@ def _bits(c: Column) -> Column:
     return F.coalesce(c, F.array().cast("array<int>"))
 
 
+def bits_told(told: DataFrame, *columns: str | Column) -> DataFrame:
+    """(columns, side, bit): each bit of either side of flavor events, in one pass over them."""
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("bits")) for side in ("included", "excluded")])
+    both = told.select(*columns, F.inline(sides))
+    return both.select(*[c for c in both.columns if c != "bits"], F.explode("bits").alias("bit"))
+
+
 def job_options_at(job_events: DataFrame, now: int) -> DataFrame:
     """(job_id, chosen, excluded): option bits as of a time; the last word on a bit counts.
 
     flavor_chosen adds its included bits to chosen and its excluded ones to excluded; flavor_removed takes them away.
     """
     told = job_events.where((F.col("time") <= now) & F.col("event").isin("flavor_chosen", "flavor_removed"))
-    sides = [told.select("job_id", "seq", "event", F.lit(side).alias("side"), F.explode(side).alias("bit")) for side in ("included", "excluded")]
-    last = sides[0].unionByName(sides[1]).groupBy("job_id", "side", "bit").agg(F.max_by("event", "seq").alias("event")).where("event = 'flavor_chosen'")
+    last = bits_told(told, "job_id", "seq", "event").groupBy("job_id", "side", "bit").agg(F.max_by("event", "seq").alias("event")).where("event = 'flavor_chosen'")
     sets = last.groupBy("job_id").agg(*[F.sort_array(F.collect_set(F.when(F.col("side") == side, F.col("bit")))).alias(to) for side, to in (("included", "chosen"), ("excluded", "excluded"))])
     return told.select("job_id").distinct().join(sets, "job_id", "left").select("job_id", _bits(F.col("chosen")).alias("chosen"), _bits(F.col("excluded")).alias("excluded"))
 
