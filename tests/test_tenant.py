@@ -177,3 +177,16 @@ def test_options_and_moves_come_from_one_pass(spark):
     points = snapshots._Points(tgs, options, [100, 400])
     assert "Union" not in snapshots._options_at(points, options)._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in tenant.job_options_at(options, 400)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_flavors_meet_kinds_of_groups(spark):
+    """A job's flavors times its groups grow with the square of the job; groups of the same options are one kind."""
+    tgs = spark.range(60).selectExpr("0L as job_id", "id as tg_id", "id as submitted", "array(1) as in_option", "array(2) as not_in_option")
+    told = spark.range(40).selectExpr("0L as job_id", "id as seq", "id as time", "if(id % 2 = 0, 'flavor_chosen', 'flavor_removed') as event", "array(2) as included", "array(1) as excluded")
+    kinds = tgs.select("job_id", "in_option", "not_in_option").distinct()
+    assert tenant._ruled_out(kinds, told, []).count() == 2 * 40
+    placed = tgs.selectExpr("tg_id", "submitted + 1000 as full_time")
+    got = {(r.placed, r.tick): r.n for r in tenant.pending_jobs(tgs, placed, 10, options=told).where("n > 0").collect()}
+    assert got == {}  # ruled out at 0, when its first group comes: no group lacks tasks, so the job ends there
+    got = {(r.placed, r.tick): r.n for r in tenant.pending_jobs(tgs, placed, 10, options=told.where("seq > 4 and seq < 6")).where("n > 0").collect()}
+    assert got == {(False, t): 1 for t in range(0, 1060, 10)}

@@ -165,9 +165,9 @@ def scheduler_counters(alloc_events: DataFrame, job_events: DataFrame, sched_eve
 
 def state_intervals(spans: DataFrame, interval: int, keys: Sequence[str], last: int | None = None) -> DataFrame:
     """(keys, tick, n): how many spans (since, until) hold at each tick, to the last change or the tick `last`; open ones never end."""
-    ups = spans.select(*keys, tick_of(F.col("since"), interval).alias("tick"), F.lit(1).cast("bigint").alias("n"))
-    downs = spans.where("until is not null").select(*keys, tick_of(F.col("until"), interval).alias("tick"), F.lit(-1).cast("bigint").alias("n"))
-    return running_by_tick(ups.unionByName(downs), list(keys), ["n"], interval, last)
+    step = lambda time, n: F.struct(tick_of(F.col(time), interval).alias("tick"), F.lit(n).cast("bigint").alias("n"))
+    steps = spans.select(*keys, F.inline(F.array(step("since", 1), step("until", -1)))).where("tick is not null")
+    return running_by_tick(steps, list(keys), ["n"], interval, last)
 
 
 def placed_spans(alloc_events: DataFrame, tgs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -185,57 +185,65 @@ def placed_spans(alloc_events: DataFrame, tgs: DataFrame, keys: Sequence[str] =
     return turns.withColumn("next", F.lead("time").over(w)).where("full").select(*group, F.col("time").alias("full_time"), F.col("next").alias("lost_time"))
 
 
-def _ruled_out(tgs: DataFrame, options: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, job_id, tg_id, time, o): where the number of reasons against a group in its job's flavor changes: each bit that it rules out and is chosen, each of its own that is excluded."""
+def _ruled_out(kinds: DataFrame, options: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, job_id, in_option, not_in_option, time, against): where the number of reasons against groups of a kind in their job's flavor changes: each bit that they rule out and is chosen, each of their own that is excluded."""
     job = [*keys, "job_id"]
     told = options.where(F.col("event").isin("flavor_chosen", "flavor_removed"))
-    sides = [told.select(*job, "time", "seq", (F.col("event") == "flavor_chosen").alias("on"), F.lit(side).alias("side"), F.explode(side).alias("bit")) for side in ("included", "excluded")]
     w = Window.partitionBy(*job, "side", "bit").orderBy("time", "seq")
-    turns = sides[0].unionByName(sides[1]).withColumn("was", F.coalesce(F.lag("on").over(w), F.lit(False))).where("on <> was")
-    bound = tgs.where(F.size("not_in_option") > 0)
-    against = [bound.select(*job, "tg_id", F.lit(side).alias("side"), F.explode(c).alias("bit")) for side, c in (("included", "not_in_option"), ("excluded", "in_option"))]
-    return turns.join(against[0].unionByName(against[1]), [*job, "side", "bit"]).select(*job, "tg_id", "time", F.when(F.col("on"), 1).otherwise(-1).alias("o"))
+    turns = bits_told(told, *job, "time", "seq", (F.col("event") == "flavor_chosen").alias("on")).withColumn("was", F.coalesce(F.lag("on").over(w), F.lit(False))).where("on <> was")
+    against = F.array(*[F.struct(F.lit(side).alias("side"), F.col(c).alias("bits")) for side, c in (("included", "not_in_option"), ("excluded", "in_option"))])
+    bound = kinds.where(F.size("not_in_option") > 0).select(*job, "in_option", "not_in_option", F.inline(against)).withColumn("bit", F.explode("bits"))
+    return turns.join(bound, [*job, "side", "bit"]).select(*job, "in_option", "not_in_option", "time", F.when(F.col("on"), 1).otherwise(-1).alias("against"))
 
 
 def pending_jobs(tgs: DataFrame, started: DataFrame, interval: int, keys: Sequence[str] = (), options: DataFrame | None = None, withdrawn: DataFrame | None = None, last: int | None = None) -> DataFrame:
     """(keys, placed, tick, n): unfinished jobs at each tick, split by whether all groups submitted so far that might be in the flavor are placed.
 
-    tgs: (keys, job_id, tg_id, submitted), with options also (in_option, not_in_option); started: (keys, tg_id, full_time[, lost_time]), when a group's last
-    task started, and when it lost one (placed_spans); options: (keys, job_id, seq, time, event, included, excluded), flavors chosen and removed: a group counts
+    tgs: (keys, job_id, tg_id, submitted), with options also (in_option, not_in_option); started: (keys, tg_id, full_time[, lost_time]), when a group's last task
+    started, and when it lost one (placed_spans); options: (keys, job_id, seq, time, event, included, excluded), flavors chosen and removed: a group counts
     only while it might be in its job's flavor; without them all groups do. withdrawn: (keys, job_id, time).
     A job is pending from its first submission until no group that might be in its flavor lacks tasks, submitted or not, or until it is withdrawn.
-    What changes at one time counts together. Each group is swept over its changes in order, then each job over its groups'.
+    What changes at one time counts together. Groups of a job with the same options are a kind, which is in the flavor or not as a whole: flavors meet kinds, not
+    groups, and each kind is swept over how many of its groups lack tasks, then each job over its kinds'.
     """
-    job = [*keys, "job_id"]
-    group = [*job, "tg_id"]
-    first = tgs.groupBy(*job).agg(F.min("submitted").alias("since"))
-    none = F.lit(0)
-    change = lambda df, time, u=none, o=none, s=none: df.select(*group, F.col(time).alias("time"), u.alias("u"), o.alias("o"), s.alias("s"))
-    own = tgs.select(*group, "submitted")
-    placed = own.select(*group).join(started, [*keys, "tg_id"])
-    moves = [change(own.join(first, job), "since", u=F.lit(1)), change(own, "submitted", s=F.lit(1)), change(placed.where("full_time is not null"), "full_time", u=F.lit(-1))]
+    job, on = [*keys, "job_id"], [*keys, "tg_id"]
+    kind = [] if options is None else ["in_option", "not_in_option"]
+    own = tgs.select(*job, *kind, "tg_id", "submitted")
     if "lost_time" in started.columns:
-        moves.append(change(placed.where("lost_time is not null"), "lost_time", u=F.lit(1)))
+        each = F.array(F.struct(F.col("full_time").alias("time"), F.lit(-1).alias("d")), F.struct(F.col("lost_time").alias("time"), F.lit(1).alias("d")))
+        by = Window.partitionBy(*on).orderBy("time")
+        turns = started.select(*on, F.inline(each)).where("time is not null").groupBy(*on, "time").agg(F.sum("d").alias("d"))
+        turns = turns.withColumn("lacks", 1 + F.sum("d").over(by.rowsBetween(Window.unboundedPreceding, 0)) > 0)
+        turns = turns.withColumn("was", F.coalesce(F.lag("lacks").over(by), F.lit(True))).where("lacks <> was").select(*on, "time", F.when(F.col("lacks"), 1).otherwise(-1).alias("d"))
+    else:
+        turns = started.where("full_time is not null").groupBy(*on).agg(F.min("full_time").alias("time")).withColumn("d", F.lit(-1))
+    # A group lacks tasks from before all time (null) and, as far as submitted ones count, from its submission, until it turns.
+    move = lambda time, lacks, ready: F.struct(F.col(time).alias("time"), lacks.cast("bigint").alias("lacks"), ready.cast("bigint").alias("ready"))
+    none, d = F.lit(0), F.col("d")
+    turned = F.when(F.col("time") >= F.col("submitted"), F.array(move("time", d, d))).otherwise(F.array(move("time", d, none), move("submitted", none, d)))
+    parts = [
+        own.groupBy(*job, *kind).agg(F.lit(None).cast("bigint").alias("time"), F.count("*").alias("lacks"), F.min("submitted").alias("since")),
+        own.select(*job, *kind, F.col("submitted").alias("time"), F.lit(1).cast("bigint").alias("ready")),
+        own.join(turns, on).select(*job, *kind, F.inline(turned)),
+    ]
     if options is not None:
-        moves.append(change(_ruled_out(tgs, options, keys), "time", o=F.col("o")))
-    dealt = reduce(DataFrame.unionByName, moves).repartition(*job)  # what follows is by job or finer
-    summed = dealt.groupBy(*group, "time").agg(*[F.sum(c).alias(c) for c in ("u", "o", "s")])
-    w = Window.partitionBy(*group).orderBy("time")
-    now = lambda c: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    # lacks: the group needs tasks; ready: it is submitted too.
-    state = summed.select(*group, "time", (now("u") > 0).alias("_u"), (now("o") == 0).alias("_o"), (now("s") > 0).alias("_s"))
-    state = state.select(*group, "time", (F.col("_u") & F.col("_o")).cast("int").alias("lacks"), (F.col("_u") & F.col("_o") & F.col("_s")).cast("int").alias("ready"))
-    step = lambda c: (F.col(c) - F.coalesce(F.lag(c).over(w), F.lit(0))).alias(c)
-    jobs = state.select(*job, "tg_id", "time", step("lacks"), step("ready")).groupBy(*job, "time").agg(F.sum("lacks").alias("lacks"), F.sum("ready").alias("ready"))
-    v = Window.partitionBy(*job).orderBy("time")
-    jobs = jobs.select(*job, "time", *[F.sum(c).over(v.rowsBetween(Window.unboundedPreceding, 0)).alias(c) for c in ("lacks", "ready")], F.lead("time").over(v).alias("to"))
-    jobs = jobs.join(first, job).where(F.col("time") >= F.col("since"))
-    ends = jobs.where("lacks = 0").select(*job, "time")
+        parts.append(_ruled_out(own.select(*job, *kind).distinct(), options, keys))
     if withdrawn is not None:
-        ends = ends.unionByName(withdrawn.select(*job, "time"))
-    jobs = jobs.join(ends.groupBy(*job).agg(F.min("time").alias("end")), job, "left").where(F.col("end").isNull() | (F.col("time") < F.col("end")))
+        parts.append(withdrawn.select(*job, "time", F.col("time").alias("gone")))
+    dealt = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).repartition(*job)  # what follows is by job or finer
+    for c in ("against", "gone"):
+        dealt = dealt if c in dealt.columns else dealt.withColumn(c, F.lit(None).cast("bigint"))
+    until_now = lambda w, c: F.coalesce(F.sum(c).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0))
+    if kind:
+        w = Window.partitionBy(*job, *kind).orderBy("time")
+        held = dealt.select(*job, *kind, "time", "since", "gone", until_now(w, "against").alias("against"), *[until_now(w, c).alias(c) for c in ("lacks", "ready")])
+        held = held.select(*job, *kind, "time", "since", "gone", *[F.when(F.col("against") == 0, F.col(c)).otherwise(0).alias(c) for c in ("lacks", "ready")])
+        dealt = held.select(*job, "time", "since", "gone", *[(F.col(c) - F.coalesce(F.lag(c).over(w), F.lit(0))).alias(c) for c in ("lacks", "ready")])
+    v, whole = Window.partitionBy(*job).orderBy("time"), Window.partitionBy(*job)
+    jobs = dealt.select(*job, "time", *[until_now(v, c).alias(c) for c in ("lacks", "ready")], F.lead("time").over(v).alias("to"), *[F.min(c).over(whole).alias(c) for c in ("since", "gone")]).where("time >= since")
     # least() passes over nulls: an open span ends with its job, if that ends.
-    spans = jobs.select(*keys, (F.col("ready") == 0).alias("placed"), F.col("time").alias("since"), F.least("to", "end").alias("until"))
+    jobs = jobs.withColumn("end", F.least(F.min(F.when(F.col("lacks") == 0, F.col("time"))).over(whole), "gone")).where("end is null or time < end")
+    spans = jobs.select(*keys, (F.col("ready") == 0).alias("placed"), F.col("time").alias("since"), F.least("to", "end").alias("until")).where("until is null or until > since")
     return state_intervals(spans, interval, [*keys, "placed"], last)
 
 

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelab.sources.scratch import materialize
+
 
 def sign() -> Column:
     return F.when(F.col("event") == "claim", 1).otherwise(-1)
@@ -88,7 +90,7 @@ def _ticks(deltas: DataFrame, keys: Sequence[str], interval: int, last: int | No
 
 def running_by_tick(deltas: DataFrame, keys: Sequence[str], values: Sequence[str], interval: int, last: int | None = None) -> DataFrame:
     """Running sums of values of (keys, tick) rows at each tick, dense, up to the last change or to the tick `last` if that is later."""
-    summed = deltas.groupBy(*keys, "tick").agg(*[F.sum(v).alias(v) for v in values])
+    summed = materialize(deltas.groupBy(*keys, "tick").agg(*[F.sum(v).alias(v) for v in values]), "ticks")  # met three times below
     dense = _ticks(summed, keys, interval, last).join(summed, [*keys, "tick"], "left")
     w = Window.partitionBy(*keys).orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
     return dense.select(*keys, "tick", *[F.sum(F.coalesce(v, F.lit(0))).over(w).alias(v) for v in values])
