@@ -332,6 +332,29 @@ def test_near_copies_in_full_buckets(spark):
     assert {r.doc_id for r in simhash.drop_near_copies(table).collect()} == near_groups_by_hand(texts)
 
 
+def test_near_copies_are_linked_by_fingerprints_first(spark, monkeypatch):
+    """Near copies whose fingerprints are within two bits are linked by these; texts of one fingerprint that are unlike in five-word shingles aren't."""
+    draw = np.random.default_rng(12)
+    texts = []
+    for _ in range(12):
+        base = [f"w{int(k)}" for k in draw.integers(5000, size=400)]
+        texts += [base, [*base, "end"], [*base[:-1], "other"], [*base[1:], "end"]]
+    loop = "a b c d".split() * 40
+    texts += [loop, [*loop, *"x y z u v w q r s t".split()], "one two three".split(), "one two three four".split(), []]
+    rows = [(k, " ".join(x)) for k, x in enumerate(texts)]
+    bits = {k: simhash.fingerprint(simhash.shingles(t.encode(), 3)) for k, t in rows}
+    sets = {k: {tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))} for k, x in enumerate(texts)}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    want = {(a, b) for a, b in combinations(range(len(rows)), 2) if bin(bits[a] ^ bits[b]).count("1") <= 2 and alike(a, b)}
+    seen = []
+    real = simhash.near_links
+    monkeypatch.setattr(simhash, "near_links", lambda sets, texts, known: seen.append({(r.a, r.b) for r in known.collect()}) or real(sets, texts, known))
+    kept = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert seen and len(seen[0]) >= 12 and seen[0] <= want
+    assert any(bits[a] != bits[b] for a, b in seen[0])
+    assert kept == near_groups_by_hand(rows)
+
+
 def test_hot_shingles_are_dealt_to_groups(spark, monkeypatch):
     """With shingles hot that are in two documents, groups of few rows have heads of their own and give the same."""
     monkeypatch.setattr(simhash, "OFTEN", 2)

@@ -9,6 +9,7 @@ that bit statistics of all fingerprints let expect. Work is on distinct fingerpr
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -179,6 +180,8 @@ def near_groups(rows: DataFrame, most: int, doc_id: str = "doc_id") -> DataFrame
     return attach(rows, known, "fp", "rows_of_fp", rows.count()).drop("rows_of_fp")
 
 
+#: Words of the shingles that set a fingerprint's bits, and in how many bits those of near copies differ at most.
+GRAM, MOST = 3, 2
 #: Similarity of the sets of WORDS-word shingles from which two documents are near copies.
 WORDS, SIMILAR = 5, 0.8
 #: Documents that tell which shingles are frequent, in how many of them one must be, and how many such shingles are kept.
@@ -280,12 +283,13 @@ def _may_reach(a_n: Column, a_pos: Column, b_n: Column, b_pos: Column) -> Column
 def similar_pairs(pairs: DataFrame, texts: DataFrame, sets: DataFrame, least: float = SIMILAR) -> DataFrame:
     """The pairs (a, b) of rows whose sets of shingles have at least that Jaccard similarity.
 
-    texts: (row, text as bytes); sets: (row, n, bits). Sizes of a pair differ by less than twice. Parities rule most pairs
-    out, so that whole sets are compared for few.
+    texts: (row, text as bytes); sets: (row, n, bits). Sizes and parities rule most pairs out, so that whole sets are
+    compared for few.
     """
     side = lambda name: sets.select(F.col("row").alias(name), F.col("n").alias(f"{name}_n"), F.col("bits").alias(f"{name}_bits"))
     unlike = _at_least_unlike(F.col("a_bits"), F.col("b_bits"))
-    open_ = pairs.join(side("a"), "a").join(side("b"), "b").where(unlike <= F.lit((1 - least) / (1 + least)) * (F.col("a_n") + F.col("b_n")) + 1e-6).select("a", "b")
+    sized = F.least("a_n", "b_n") >= F.lit(least) * F.greatest("a_n", "b_n") - 1e-6
+    open_ = pairs.join(side("a"), "a").join(side("b"), "b").where(sized).where(unlike <= F.lit((1 - least) / (1 + least)) * (F.col("a_n") + F.col("b_n")) + 1e-6).select("a", "b")
     open_ = stage(open_, "open-pairs")
     wanted = stage(open_.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "wanted")
     whole = stage(texts.join(short(wanted), "row", "left_semi").mapInArrow(_shingle_sets, "row long, grams array<long>"), "shingle-sets")
@@ -294,11 +298,31 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, sets: DataFrame, least: fl
     return both.where(shared >= F.lit(least) * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def near_links(sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """Columns a, b: links that connect all rows whose sets of shingles are similar enough, by all pairs that share a prefix shingle.
+def fingerprint_links(fps: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Columns a, b: links between rows whose fingerprints differ in at most MOST bits, those whose sets of shingles are similar enough.
 
-    sets: (row, n, bits, firsts, hots) of distinct sets; texts: (row, text as bytes). The first row of each shingle is
-    compared with all its others, then the first HEADS are with those that this has not connected with them, then, in larger
+    fps: staged (row, fp). Rows of a fingerprint are dealt to SALTS groups and compared with the first of their group, and
+    these with the first of all, which stands for the fingerprint where it is linked with others.
+    """
+    dealt = fps.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
+    groups = stage(dealt.groupBy("fp", "salt").agg(F.min("row").alias("head")), "fingerprint-groups")
+    heads = stage(groups.groupBy("fp").agg(F.min("head").alias("first")), "fingerprint-heads")
+    between = links(heads.select("fp"), MOST)
+    one = lambda c: heads.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_row"))
+    pairs = [
+        dealt.join(groups, ["fp", "salt"]).select(F.col("row").alias("x"), F.col("head").alias("y")),
+        groups.join(heads, "fp").select(F.col("head").alias("x"), F.col("first").alias("y")),
+        between.join(one("a"), "a").join(one("b"), "b").select(F.col("a_row").alias("x"), F.col("b_row").alias("y")),
+    ]
+    met = reduce(DataFrame.unionByName, pairs).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return stage(similar_pairs(stage(met, "fingerprint-pairs"), texts, sets), "fingerprint-links")
+
+
+def near_links(sets: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
+    """Columns a, b: links that, with the known ones, connect all rows whose sets of shingles are similar enough, by all pairs that share a prefix shingle.
+
+    sets: (row, n, bits, firsts, hots) of distinct sets; texts: (row, text as bytes); known: staged links (a, b), whose rows
+    aren't compared again. The first row of each shingle is compared with all its others, then the first HEADS are with those that this has not connected with them, then, in larger
     groups, all that are still apart are with each other. Rows of a hot shingle are dealt to groups with heads of their own,
     and first heads are compared with that of all. The rows of a shingle are in the order of its place in their prefixes: a
     text in the middle of a family has few shingles of its own before those of the family, so that it becomes a head.
@@ -331,7 +355,11 @@ def near_links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     first = shared.where(is_hot & (F.col("k") == 1)).select("row", "rest", whole)
     top = first.groupBy("h").agg(F.min(F.struct(place("rest").alias("place"), "row", "rest")).alias("t")).select("h", "t.row", "t.rest")
     stars = met(shared.where("k > 1"), shared.where("k = 1"), "g", other).unionByName(met(first, top, "h", other)).distinct()
-    found = stage(similar_pairs(stage(stars, "near-stars"), texts, sets), "near-star-links")
+    linked = short(components(known))
+    for c in ("a", "b"):
+        stars = stars.join(linked.select(F.col("a").alias(c), F.col("b").alias(f"{c}_root")), c, "left")
+    stars = stars.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+    found = stage(known.unionByName(similar_pairs(stage(stars, "near-stars"), texts, sets)), "near-star-links")
     once = placed(shared.where((F.col("many") > 2) | is_hot).select("row", "rest", "k", "many", whole), found, "near-roots")
     more = met(once, once.where(F.col("k") <= F.when(is_hot, 1).otherwise(HEADS)), "h", apart & after)  # of a hot shingle, the first of each group
     found = stage(found.unionByName(similar_pairs(stage(more, "near-heads"), texts, sets)), "near-head-links")
@@ -340,12 +368,18 @@ def near_links(sets: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def near_classes(texts: DataFrame) -> DataFrame:
-    """Columns a, b: the smallest row b of each row a's group of near copies, for rows that aren't the smallest themselves. texts: staged (row, text as bytes)."""
+    """Columns a, b: the smallest row b of each row a's group of near copies, for rows that aren't the smallest themselves. texts: staged (row, text as bytes).
+
+    Fingerprints link rows first, each link checked by the sets; shared shingles then link what fingerprints of so few bits miss.
+    """
     sets = stage(texts.mapInArrow(_prefixes(*_frequent(texts)), "row long, n int, digest binary, bits array<long>, firsts array<long>, hots array<int>"), "near-sets")
     groups = stage(sets.groupBy("digest").agg(F.min("row").alias("head"), F.count("*").alias("rows")).where("rows > 1"), "near-groups")
     equal = stage(attach(sets.select("row", "digest"), groups, "digest", "rows", sets.count()).where("row <> head").select(F.col("row").alias("a"), F.col("head").alias("b")), "near-equal")
-    found = near_links(sets.join(short(equal.select(F.col("a").alias("row"))), "row", "left_anti"), texts)
-    return components(found.unionByName(equal))
+    copies = short(equal.select(F.col("a").alias("row")))
+    distinct = sets.join(copies, "row", "left_anti")
+    fps = fingerprints(texts.select("row", F.col("text").cast("string").alias("text")), lambda x: shingles(x, GRAM), keep=("row",))
+    known = fingerprint_links(stage(fps.join(copies, "row", "left_anti"), "near-fingerprints"), texts, distinct)
+    return components(near_links(distinct, texts, known).unionByName(equal))
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -369,6 +403,6 @@ def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stage(fingerprints(docs, lambda x: shingles(x, 3)), "fingerprints-of-rows")
-    out = near_groups(rows, 2)
+    rows = stage(fingerprints(docs, lambda x: shingles(x, GRAM)), "fingerprints-of-rows")
+    out = near_groups(rows, MOST)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
