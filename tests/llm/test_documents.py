@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tests.llm.fixtures import SCHEMA, documents
 from tracelab.llm import exact_dedup, language, media, mixing, packing, quality, simhash, substrings, token_counts
 from tracelab.llm.common import scratch, stage
-from tracelab.llm.tokenizer import cut, load, vocabulary_path
+from tracelab.llm.tokenizer import cut, encode_pieces, load, vocabulary_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -409,6 +409,29 @@ def test_near_copies_of_one_set_of_words(spark):
     assert kept == near_groups_by_hand(texts) == {0, 1}
 
 
+def test_pieces_with_white_space_inside_are_encoded_together(monkeypatch):
+    """Ids are those of whole texts, and new words take few calls even where lines break inside them."""
+    path, asked = vocabulary_path(), []
+    real = load(path)
+
+    class Counting:
+        def encode_batch_fast(self, texts, **more):
+            asked.extend(texts)
+            return real.encode_batch_fast(texts, **more)
+
+        def __getattr__(self, name):
+            return getattr(real, name)
+
+    monkeypatch.setattr("tracelab.llm.tokenizer.load", lambda path: Counting())
+    pieces = [f"end{k}.\nNext{k}" for k in range(300)] + ["\n\nx", "a\tb", "tail\n", "", " y"]
+    found = encode_pieces(path, pieces)
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [e.ids for e in real.encode_batch([" " + x for x in pieces], add_special_tokens=False)]
+    assert len(asked) < 10
+    texts = [" ".join(pieces[:40]), "a  b\n c\r\nd \n\n e", "", " ", "x\u0085 y\u00a0z"]
+    whole = [e.ids for e in real.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing._document_ids(path, texts)] == whole
+
+
 def test_frequent_shingles_only_order_the_prefixes(spark, monkeypatch):
     draw = np.random.default_rng(4)
     texts = list(enumerate(t for length, slots in ((120, 8), (60, 5)) for t in template_family(draw, 40, length, slots)))

@@ -21,20 +21,21 @@ from tracelab.llm.common import cache, row_id, shuffle_partitions, stage
 from tracelab.llm.tokenizer import encode_pieces, load, split, vocabulary_path
 
 LENGTH, END = 2048, 0
-#: Pre-tokens whose ids a worker keeps at hand, the first that it meets, and the longest it keeps: at most about 40 MB.
-CACHE, CACHE_CHARS = 200_000, 48
+#: Pre-tokens whose ids a worker keeps at hand, the first that it meets, and the longest it keeps: at most about 80 MB.
+CACHE, CACHE_CHARS = 400_000, 48
 
 
 def _document_ids(path: str, texts: list[str]) -> Iterator[bytes]:
     """Ids of each text, four bytes each."""
     tokenizer, cuts, kept = load(path), [split(x) for x in texts], cache("packing")
     found = [list(map(kept.get, rest)) for _, rest in cuts]
-    new = list({x for (_, rest), ids in zip(cuts, found, strict=True) if None in ids for x, y in zip(rest, ids, strict=True) if y is None})
+    gaps = [[k for k, y in enumerate(ids) if y is None] for ids in found]
+    new = list({rest[k] for (_, rest), some in zip(cuts, gaps, strict=True) for k in some})
     now = dict(zip(new, encode_pieces(path, new), strict=True))
     heads = tokenizer.encode_batch_fast([head for head, _ in cuts], add_special_tokens=False)
-    for (_, rest), ids, head in zip(cuts, found, heads, strict=True):
-        if None in ids:
-            ids = [now[x] if y is None else y for x, y in zip(rest, ids, strict=True)]
+    for (_, rest), ids, some, head in zip(cuts, found, gaps, heads, strict=True):
+        for k in some:
+            ids[k] = now[rest[k]]
         yield np.asarray(head.ids, "<u4").tobytes() + b"".join(ids)
     if len(kept) >= CACHE and 2 * len(new) > sum(len(rest) for _, rest in cuts):
         kept.clear()  # another kind of text

@@ -10,7 +10,6 @@ import numpy as np
 
 #: A cut before a space is safe if what precedes it isn't white space. Python's class holds all that the tokenizer's pattern calls white space.
 _UNSAFE = re.compile(r"\s ")
-_SPACE = re.compile(r"\s")
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -61,7 +60,7 @@ def begins(path: str) -> np.ndarray:
 def encode_pieces(path: str, pieces: list[str]) -> list[bytes]:
     """Ids, four bytes each, of pieces that are given without the space before them. Many are encoded as one text, cut again where tokens begin with a space."""
     tokenizer, starts, out = load(path), begins(path), {}
-    plain = [x for x in pieces if x and not _SPACE.search(x)]
+    plain = [x for x in pieces if x and " " not in x and not x[-1].isspace()]  # before the next one's space a cut is safe
     lines = [plain[k : k + 256] for k in range(0, len(plain), 256)]
     for line, found in zip(lines, tokenizer.encode_batch_fast(["".join([" " + x for x in line]) for line in lines], add_special_tokens=False), strict=True):
         ids = np.asarray(found.ids, "<u4")
