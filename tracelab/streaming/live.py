@@ -9,6 +9,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
@@ -70,19 +71,24 @@ class Usage(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         reserved, used = self.used.get() if self.used.exists() else (0, 0)
-        out = []
-        for row in pd.concat(list(rows)).sort_values(["time", "seq"]).itertuples():
-            step = 1 if row.event == "claim" else -1
-            before = self.running.getValue((row.property,))[0] if self.running.containsKey((row.property,)) else 0
-            self.running.updateValue((row.property,), (before + step,))
-            toggle = step if (step == 1 and before == 0) or (step == -1 and before == 1) else 0
-            once = 0 if self.mode == "never" else toggle * row.demand
-            own = step * row.num_tasks * row.own
-            reserved += own + (step * row.num_tasks * row.demand if self.mode == "foreach" else once)
-            used += own + once
-            out.append((row.seq, row.time, row.machine_id, reserved, used))
-        self.used.update((reserved, used))
-        yield pd.DataFrame(out, columns=["seq", "time", "machine_id", "reserved", "used"])
+        some = pd.concat(list(rows)).sort_values(["time", "seq"])
+        step = (some["event"] == "claim").to_numpy() * 2 - 1
+        # State is asked and told once a property, not once a row.
+        at, names = pd.factorize(some["property"], use_na_sentinel=False)
+        names = [None if pd.isna(x) else x for x in names]
+        before = np.array([self.running.getValue((x,))[0] if self.running.containsKey((x,)) else 0 for x in names], np.int64)
+        n = pd.Series(step).groupby(at).cumsum().to_numpy() + before[at]
+        for x, k in zip(names, before + np.bincount(at, step, len(names)).astype(np.int64), strict=True):
+            self.running.updateValue((x,), (int(k),))
+        toggle = np.where(n == (step + 1) // 2, step, 0)  # to 1 by a claim, to 0 by an end
+        demand = some["demand"].to_numpy()
+        once = 0 if self.mode == "never" else toggle * demand
+        own = step * (some["num_tasks"] * some["own"]).to_numpy()
+        out = some[["seq", "time", "machine_id"]].reset_index(drop=True)
+        out["reserved"] = reserved + (own + (step * some["num_tasks"].to_numpy() * demand if self.mode == "foreach" else once)).cumsum()
+        out["used"] = used + (own + once).cumsum()
+        self.used.update((int(out["reserved"].iloc[-1]), int(out["used"].iloc[-1])))
+        yield out
 
     def close(self) -> None:
         pass
