@@ -66,3 +66,9 @@ def test_overfull_machines_take_no_tasks(duck, name):
     con.execute(f"create temp view more_events as select * replace (event_id + k * 1000000 as event_id, user_id + k * 100000 as user_id) from '{SF}/../sf0.01/events.parquet' cross join range(60) as r(k)")
     least, none = con.execute(f"select min(tasks), count(*) filter (where tasks = 0) from ({sql})").fetchone()
     assert least == 0 and none > 0
+
+
+@pytest.mark.parametrize("name", ("b12_rewire_composites", "b14_check_jobs"))
+def test_units_are_made_once(spark, name):
+    """What is met several times is read as staged; nothing goes back to the trace."""
+    assert "lineitem" not in QUERIES[name](spark, SF)._jdf.queryExecution().toString()

@@ -178,7 +178,10 @@ def rewire_edges(edges: DataFrame, parts: DataFrame) -> DataFrame:
     ends = parts.where((part == "server") | ((flat | tree) & (part == "switch")) | (~flat & ~tree & (part == "inc_server"))).select("job", F.col("task_group").alias("from"), F.col("part_name").alias("src"))
     outer = edges.select("job", F.col("src").alias("from"), F.col("dst").alias("to")).join(ends, ["job", "from"]).join(begins, ["job", "to"]).select("job", "src", "dst")
     inner = parts.where("parent is not null").select("job", F.col("parent").alias("src"), F.col("part_name").alias("dst"))
-    leaf = parts.where("is_switch").join(inner.select("job", F.col("src").alias("part_name")).distinct(), ["job", "part_name"], "left_anti").select("job", "task_group", F.col("part_name").alias("dst"), tree.alias("tree"))
+    own = parts.where("is_switch").select("job", "part_name", F.struct("task_group", tree.alias("tree")).alias("own"), F.lit(False).alias("above"))
+    above = parts.where("parent is not null").select("job", F.col("parent").alias("part_name"), F.lit(None).cast(own.schema["own"].dataType).alias("own"), F.lit(True).alias("above"))
+    switches = own.unionByName(above).groupBy("job", "part_name").agg(F.collect_list("own").alias("own"), F.bool_or("above").alias("above"))
+    leaf = switches.where("not above").select("job", F.explode("own").alias("own"), F.col("part_name").alias("dst")).select("job", "own.task_group", "dst", "own.tree")
     served = parts.where("part = 'inc_server'").select("job", "task_group", F.col("part_name").alias("src")).join(leaf, ["job", "task_group"])
     there, back = F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
     both = served.select("job", F.explode(F.when(F.col("tree"), F.array(there)).otherwise(F.array(there, back))).alias("e")).select("job", "e.src", "e.dst")
@@ -187,13 +190,14 @@ def rewire_edges(edges: DataFrame, parts: DataFrame) -> DataFrame:
 
 def check_jobs(parts: DataFrame, edges: DataFrame) -> DataFrame:
     """Violations (job, part_name, rule) of what must hold for jobs."""
-    bits = parts.select("job", F.explode("in_option").alias("bit")).distinct()
-    unmet = bits.join(parts.select("job", F.explode("not_in_option").alias("bit")).distinct(), ["job", "bit"], "left_anti").select("job", F.lit(None).cast("string").alias("part_name"), F.lit("option without alternative").alias("rule"))
+    told = F.array(*[F.struct(F.lit(own).alias("own"), F.col(c).alias("bits")) for own, c in ((True, "in_option"), (False, "not_in_option"))])
+    bits = parts.select("job", F.inline(told)).select("job", "own", F.explode("bits").alias("bit")).groupBy("job", "bit").agg(F.bool_and("own").alias("alone"))
+    unmet = bits.where("alone").select("job", F.lit(None).cast("string").alias("part_name"), F.lit("option without alternative").alias("rule"))
     rule = F.when(F.arrays_overlap("in_option", "not_in_option"), "contradicting options").when(F.col("tasks") <= 0, "no tasks").when(F.col("part_duration") > F.col("duration"), "longer than the original").when(F.col("is_switch") & (F.coalesce(F.size("part_resources"), F.lit(0)) <= 0), "switch without resources")
     own = parts.select("job", "part_name", rule.alias("rule")).where("rule is not null")
-    names = parts.select("job", F.col("part_name").alias("n")).distinct()
-    ends = edges.select("job", F.explode(F.array("src", "dst")).alias("n")).distinct()
-    loose = ends.join(names, ["job", "n"], "left_anti").select("job", F.col("n").alias("part_name"), F.lit("edge to nowhere").alias("rule"))
+    ends = edges.select("job", F.explode(F.array("src", "dst")).alias("n"), F.lit(False).alias("named"))
+    names = parts.where("job is not null and part_name is not null").select("job", F.col("part_name").alias("n"), F.lit(True).alias("named"))
+    loose = ends.unionByName(names).groupBy("job", "n").agg(F.bool_or("named").alias("named")).where("not named").select("job", F.col("n").alias("part_name"), F.lit("edge to nowhere").alias("rule"))
     return unmet.unionByName(own).unionByName(loose)
 
 

@@ -147,8 +147,8 @@ PARTS = f"""{UNITS}, fit as (select *, cast(floor(cpu * 1000) as bigint) as c, c
 )"""
 
 
-def _drawn_parts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = workload.scale_resources(_reduced(_units(spark, sf)), 1000).where("reason is null").withColumn("tg_flavored", F.col("instances") % 2 == 1)
+def _drawn_parts(units: DataFrame) -> DataFrame:
+    rows = workload.scale_resources(_reduced(units), 1000).where("reason is null").withColumn("tg_flavored", F.col("instances") % 2 == 1)
     kinds = F.array(*[F.lit(t) for t in TYPES])
     return workload.expand_composites(rows.withColumn("inc_type", kinds[F.expr("cast(instances div 2 % 9 as int)")]), MOST, draws=[_draw(x) for x in DRAWS])
 
@@ -156,7 +156,7 @@ def _drawn_parts(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"with {PARTS} select job, task_group, part, part_name, parent, is_switch, tasks, part_duration, part_all_to_all, r0, r1, r2 from parts", "task_rows")
 def b10_expand_composites(spark: SparkSession, sf: str) -> DataFrame:
     r = F.col("part_resources")
-    return _drawn_parts(spark, sf).select("job", "task_group", "part", "part_name", "parent", "is_switch", "tasks", "part_duration", "part_all_to_all", *[F.get(r, F.lit(k)).alias(f"r{k}") for k in range(3)])
+    return _drawn_parts(_units(spark, sf)).select("job", "task_group", "part", "part_name", "parent", "is_switch", "tasks", "part_duration", "part_all_to_all", *[F.get(r, F.lit(k)).alias(f"r{k}") for k in range(3)])
 
 
 @query(f"with {UNITS}, f as (select job, task_group, dense_rank() over (partition by job order by submit, task_group) as k from units) select job, task_group, cast(2 * k as int) as inc_bit, cast(2 * k - 1 as int) as server_bit from f", "task_rows")
@@ -190,7 +190,8 @@ union all select job, parent, part_name from parts where parent is not null unio
 )
 def b12_rewire_composites(spark: SparkSession, sf: str) -> DataFrame:
     """Edges between the parts of groups of all nine types, flavored and not."""
-    return workload.rewire_edges(_edges(_units(spark, sf)), materialize(_drawn_parts(spark, sf), "parts"))
+    units = materialize(_units(spark, sf), "units")  # met three times
+    return workload.rewire_edges(_edges(units), materialize(_drawn_parts(units), "parts"))
 
 
 @query(f"with {UNITS} select job, task_group, row_number() over (order by submit, job, task_group) - 1 as ordinal from units", "task_rows")
@@ -201,7 +202,7 @@ def b13_global_ordinal(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"with {UNITS} select job, rule, count(*) as rows from (select job, 'longer than the original' as rule from units where duration % 7000 = 0 union all select job, 'edge to nowhere' from units where duration % 11000 = 0) group by 1, 2", "task_rows")
 def b14_check_jobs(spark: SparkSession, sf: str) -> DataFrame:
     """Violations of a workload in which groups of some durations were made longer and others have an edge to a group that isn't there: those, and none of composites as they are made."""
-    units = _units(spark, sf)
+    units = materialize(_units(spark, sf), "units")  # met six times below
     made = materialize(parts(units), "made-parts")
     plain = units.withColumns({"tg_flavored": F.lit(False), "part": F.lit("server"), "part_name": F.col("task_group"), "is_switch": F.lit(False), "tasks": F.lit(1), "part_resources": F.array(F.lit(1)), "in_option": F.array().cast("array<int>"), "not_in_option": F.array().cast("array<int>")})
     plain = plain.withColumn("part_duration", F.col("duration") + F.when(F.col("duration") % 7000 == 0, 1).otherwise(0))
