@@ -1,6 +1,7 @@
 """Every operator on documents with odd cases, against a brute-force version, and on an empty table."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -9,6 +10,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tests.llm.fixtures import SCHEMA, documents
@@ -603,3 +605,26 @@ def test_sniffing(spark):
     assert (out["c"].actual_type, out["c"].length, out["c"].mistyped) == ("image/png", len(png), False)
     assert [(x.type, x.offset, x.length) for x in out["d"].embedded] == [("image/png", 5, len(png)), ("audio/wav", 5 + len(png) + 12, len(wav))]
     assert out["e"].actual_type == media.UNKNOWN and out["e"].mistyped and (out["f"].actual_type, out["f"].length, out["f"].embedded) == ("image/gif", len(gif), []) and out["g"].actual_type == media.UNKNOWN
+
+
+def test_entries_that_fit_no_other_are_not_met_again(spark, monkeypatch):
+    counts, real = {}, simhash.stage
+    monkeypatch.setattr(simhash, "stage", lambda df, name: counts.update({name: counts.get(name, 0) + (out := real(df, name)).count()}) or out)
+    words = ["".join(chr(97 + (k * 7 + j * j) % 26) for j in range(3 + k % 5)) + str(k) for k in range(600)]
+    # Of the first three, which share shingle 7, none is near another's size; the next three share 8 and are of one size.
+    sizes = [10, 30, 90, 20, 20, 20]
+    texts = real(spark.createDataFrame([(k, " ".join(words[k * 100 : k * 100 + n + 4]).encode()) for k, n in enumerate(sizes)], "row long, text binary"), "texts")
+    sets = real(spark.createDataFrame([(k, n, [0], [7 if k < 3 else 8], []) for k, n in enumerate(sizes)], "row long, n int, bits array<long>, firsts array<long>, hots array<int>"), "sets")
+    found = simhash.near_links(sets, texts, real(spark.createDataFrame([], "a long, b long"), "known"))
+    assert found.count() == 0
+    assert counts["shared-shingles"] == 3 and counts["near-roots"] == 2
+
+
+def test_partners_of_entries_are_never_missed(spark):
+    draw = random.Random(5)
+    rows = [(k, draw.randrange(60), n := draw.randrange(1, 200), draw.randrange(n // 5 + 1), draw.random() < 0.8) for k in range(400)]
+    table = spark.createDataFrame([(k, g, (n << 32) + pos * 2, among) for k, g, n, pos, among in rows], "row long, g long, rest long, among boolean")
+    found = {r.row: r.partner for r in simhash._with_partner(table, Window.partitionBy("g"), F.col("among"), "partner").collect()}
+    fits = lambda a, b: 9 * min(a[2] - a[3], b[2] - b[3]) >= 4 * (a[2] + b[2])
+    have = {a[0] for a in rows if a[4] and any(b[0] != a[0] and b[1] == a[1] and b[4] and fits(a, b) for b in rows)}
+    assert have <= {k for k, partner in found.items() if partner} and not all(found.values())

@@ -280,6 +280,31 @@ def _may_reach(a_n: Column, a_pos: Column, b_n: Column, b_pos: Column) -> Column
     return F.least(a_n - a_pos, b_n - b_pos) >= SIMILAR / (1 + SIMILAR) * (a_n + b_n) - 1e-6
 
 
+def _size(rest: str) -> Column:
+    """The size of the set, of near_links' column with size, place and whether the shingle is hot."""
+    return F.shiftright(rest, 32).cast("int")
+
+
+def _place(rest: str) -> Column:
+    return F.shiftright(rest, 1).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+
+
+def _with_partner(rows: DataFrame, group: Window, among: Column, name: str) -> DataFrame:
+    """rows with a column that tells whether a row of `among` may be similar enough, as _may_reach has it, to another of these in its group; true for more rows, never for fewer.
+
+    A row reaches sizes (times a constant, `own`) up to `far`, and two have to reach each other. So the largest far and the
+    smallest own of the others decide; of the row that has it alone, the next.
+    """
+    share = SIMILAR / (1 + SIMILAR)
+    far, own, most, least = (F.col(c) for c in ("_far", "_own", "_most", "_least"))
+    ends = rows.withColumns({"_far": F.when(among, _size("rest") * (1 - share) - _place("rest") + 2e-6), "_own": F.when(among, _size("rest") * share)})
+    ends = ends.withColumns({"_most": F.max(far).over(group), "_least": F.min(own).over(group)})
+    last, first = (far == most) & (F.count_if(far == most).over(group) == 1), (own == least) & (F.count_if(own == least).over(group) == 1)
+    others_far = F.when(last, F.max(F.when(far < most, far)).over(group)).otherwise(most)
+    others_own = F.when(first, F.min(F.when(own > least, own)).over(group)).otherwise(least)
+    return ends.withColumn(name, F.coalesce((others_far >= own) & (others_own <= far), F.lit(False))).select(*rows.columns, name)
+
+
 def similar_pairs(pairs: DataFrame, texts: DataFrame, sets: DataFrame, least: float = SIMILAR) -> DataFrame:
     """The pairs (a, b) of rows whose sets of shingles have at least that Jaccard similarity.
 
@@ -322,7 +347,7 @@ def near_links(sets: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame
     """Columns a, b: links that, with the known ones, connect all rows whose sets of shingles are similar enough, by all pairs that share a prefix shingle.
 
     sets: (row, n, bits, firsts, hots) of distinct sets; texts: (row, text as bytes); known: staged links (a, b), whose rows
-    aren't compared again. The first row of each shingle is compared with all its others, then the first HEADS are with those that this has not connected with them, then, in larger
+    aren't compared again. Entries that, by sizes and places, can be similar to no other of their shingle are left out. The first row of each shingle is compared with all its others, then the first HEADS are with those that this has not connected with them, then, in larger
     groups, all that are still apart are with each other. Rows of a hot shingle are dealt to groups with heads of their own,
     and first heads are compared with that of all. The rows of a shingle are in the order of its place in their prefixes: a
     text in the middle of a family has few shingles of its own before those of the family, so that it becomes a head.
@@ -333,15 +358,18 @@ def near_links(sets: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame
     hot = F.array_contains("hots", F.col("pos"))
     entries = entries.select("row", F.when(hot, F.col("h").bitwiseXOR(salt)).otherwise(F.col("h")).alias("g"), (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos") * 2 + hot.cast("int")).alias("rest"))
     group = Window.partitionBy("g")
-    place = lambda rest: F.shiftright(rest, 1).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
-    counted = entries.select("row", "g", "rest", F.row_number().over(group.orderBy(place("rest"), "row")).alias("k"), F.count("*").over(group).alias("many"))
+    place = _place
     is_hot = F.col("rest") % 2 == 1
-    shared = stage(counted.where((F.col("many") > 1) | is_hot), "shared-shingles")
+    many = F.count("*").over(group).alias("many")
+    rows = entries.select("*", many).where((F.col("many") > 1) | is_hot).drop("many")
+    rows = _with_partner(rows, group, F.lit(True), "partner").where(F.col("partner") | is_hot)
+    rows = rows.select("row", "g", "rest", F.row_number().over(group.orderBy(place("rest"), "row")).alias("k"), many).where((F.col("many") > 1) | is_hot)
+    # The first of a group is compared with all others at once: only the others, by pairs of their own, are met again.
+    shared = stage(_with_partner(rows, group, F.col("k") > 1, "again").withColumn("again", F.col("again") | is_hot), "shared-shingles")
 
     def met(x: DataFrame, y: DataFrame, on: str, more: Column) -> DataFrame:
         """Distinct pairs (a, b) of a row of x and one of y with one value of a column, the smaller row first, that may be similar enough."""
-        n = lambda c: F.shiftright(c, 32).cast("int")
-        reach = _may_reach(n(F.col("x.rest")), place("x.rest"), n(F.col("y.rest")), place("y.rest"))
+        reach = _may_reach(_size("x.rest"), place("x.rest"), _size("y.rest"), place("y.rest"))
         pairs = x.alias("x").join(y.alias("y"), (F.col(f"x.{on}") == F.col(f"y.{on}")) & reach & more)
         return pairs.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct()
 
@@ -360,7 +388,7 @@ def near_links(sets: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame
         stars = stars.join(linked.select(F.col("a").alias(c), F.col("b").alias(f"{c}_root")), c, "left")
     stars = stars.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
     found = stage(known.unionByName(similar_pairs(stage(stars, "near-stars"), texts, sets)), "near-star-links")
-    once = placed(shared.where((F.col("many") > 2) | is_hot).select("row", "rest", "k", "many", whole), found, "near-roots")
+    once = placed(shared.where("again").select("row", "rest", "k", "many", whole), found, "near-roots")
     more = met(once, once.where(F.col("k") <= F.when(is_hot, 1).otherwise(HEADS)), "h", apart & after)  # of a hot shingle, the first of each group
     found = stage(found.unionByName(similar_pairs(stage(more, "near-heads"), texts, sets)), "near-head-links")
     twice = placed(once.where((F.col("many") > HEADS) | is_hot).select("row", "rest", "h"), found, "near-rest")
