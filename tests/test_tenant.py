@@ -190,3 +190,15 @@ def test_flavors_meet_kinds_of_groups(spark):
     assert got == {}  # ruled out at 0, when its first group comes: no group lacks tasks, so the job ends there
     got = {(r.placed, r.tick): r.n for r in tenant.pending_jobs(tgs, placed, 10, options=told.where("seq > 4 and seq < 6")).where("n > 0").collect()}
     assert got == {(False, t): 1 for t in range(0, 1060, 10)}
+
+
+def test_groups_that_are_placed_once_take_one_sweep(spark, monkeypatch):
+    draw, plans, real = random.Random(3), [], tenant.state_intervals
+    monkeypatch.setattr(tenant, "state_intervals", lambda spans, *more: plans.append(spans._jdf.queryExecution().optimizedPlan().toString()) or real(spans, *more))
+    rows = [(g % 40, g, draw.randrange(0, 400, 5), None if draw.random() < 0.2 else draw.randrange(0, 500, 5)) for g in range(130)]
+    groups = spark.createDataFrame(rows, "job_id long, tg_id long, submitted long, full_time long")
+    placed, gone = groups.where("full_time is not null").select("tg_id", "full_time"), spark.createDataFrame([], "job_id long, time long")
+    tgs = groups.select("job_id", "tg_id", "submitted")
+    once, general = ({(r.placed, r.tick): r.n for r in tenant.pending_jobs(tgs, placed, 10, withdrawn=w).where("n > 0").collect()} for w in (None, gone))
+    assert once == general and len(once) > 50
+    assert plans[0].count("Window [") == 1

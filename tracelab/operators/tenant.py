@@ -131,10 +131,12 @@ def scheduler_counters(alloc_events: DataFrame, job_events: DataFrame, sched_eve
     when = lambda cond, c=1: long(F.when(cond, c).otherwise(0))
     event = F.col("event")
     so_far = Window.partitionBy(*keys, "job_id").orderBy("time", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    word = F.when(event == "flavor_chosen", inc_options("included")).when(event == "flavor_removed", F.lit(False))
+    # Arrays are asked once a row, before rows are dealt by job.
+    own = job_events.select(*keys, "job_id", "seq", "time", "event", inc_options("options").alias("_has_inp"), inc_options("included").alias("_switch"))
+    word = F.when(event == "flavor_chosen", F.col("_switch")).when(event == "flavor_removed", F.lit(False))
     left = event.isin("scheduled", "withdraw")
-    jobs = job_events.select(
-        "*", F.coalesce(F.last(word, ignorenulls=True).over(so_far), F.lit(False)).alias("_inp"), F.count_if(event == "scheduled").over(so_far).alias("_scheduled"), F.count_if(left).over(so_far).alias("_left"),
+    jobs = own.select(
+        *keys, "time", "event", "_has_inp", "_switch", F.coalesce(F.last(word, ignorenulls=True).over(so_far), F.lit(False)).alias("_inp"), F.count_if(event == "scheduled").over(so_far).alias("_scheduled"), F.count_if(left).over(so_far).alias("_left"),
         F.min(F.when(event == "submit", F.col("time"))).over(so_far).alias("_submitted"),
     )
     placed, done = (event == "scheduled") & (F.col("_scheduled") == 1), event == "done"
@@ -144,9 +146,9 @@ def scheduler_counters(alloc_events: DataFrame, job_events: DataFrame, sched_eve
         (sched_events, {"Attempts": when(event == "attempt"), "ThinkTime": when(F.col("allocations") > 0, F.coalesce("think_time", F.lit(0))), "ThinkTimeWasted": when(F.col("allocations") == 0, F.coalesce("think_time", F.lit(0)))}),
         (jobs, {
             "TotalJobsFullyScheduled": when(placed), "TotalJobsFullyScheduledINP": when(placed & F.col("_inp")), "TotalJobQueueTime": when(placed, F.coalesce(F.col("time") - F.col("_submitted"), F.lit(0))),
-            "CountJobs": when(event == "submit"), "CountJobsWithInp": when((event == "submit") & inc_options("options")), "CountJobsFinished": when(done), "CountJobsFinishedINP": when(done & F.col("_inp")),
+            "CountJobs": when(event == "submit"), "CountJobsWithInp": when((event == "submit") & F.col("_has_inp")), "CountJobsFinished": when(done), "CountJobsFinishedINP": when(done & F.col("_inp")),
             "PendingJobsNotFullyScheduledPlusFutureTgSubmissions": long(F.when(event == "submit", 1).when(left & (F.col("_left") == 1), -1).otherwise(0)), "TimesServerFallbackResubmit": when(event == "resubmit"),
-            "TimesServerFlavorTaken": long(F.when(~inc_options("included"), taken).otherwise(0)), "TimesSwitchFlavorTaken": long(F.when(inc_options("included"), taken).otherwise(0)),
+            "TimesServerFlavorTaken": long(F.when(~F.col("_switch"), taken).otherwise(0)), "TimesSwitchFlavorTaken": long(F.when(F.col("_switch"), taken).otherwise(0)),
         }),
     ]
     out = None
@@ -196,6 +198,26 @@ def _ruled_out(kinds: DataFrame, options: DataFrame, keys: Sequence[str]) -> Dat
     return turns.join(bound, [*job, "side", "bit"]).select(*job, "in_option", "not_in_option", "time", F.when(F.col("on"), 1).otherwise(-1).alias("against"))
 
 
+def _pending_once(own: DataFrame, turns: DataFrame, interval: int, keys: Sequence[str], last: int | None = None) -> DataFrame:
+    """pending_jobs where a group is placed once and for all. own: (keys, job_id, tg_id, submitted); turns: (keys, tg_id, time).
+
+    Each group tells its moves in one pass: it lacks tasks from before all time (null), as far as submitted ones count from its
+    submission, and both until its time. As fewer and fewer lack tasks, running sums by job say all: a job is over once none does.
+    """
+    job, on = [*keys, "job_id"], [*keys, "tg_id"]
+    null = F.lit(None).cast("bigint")
+    move = lambda time, lacks, ready, since=null: F.struct(time.cast("bigint").alias("time"), F.lit(lacks).cast("bigint").alias("lacks"), F.lit(ready).cast("bigint").alias("ready"), since.cast("bigint").alias("since"))
+    came, time = F.col("submitted"), F.col("time")
+    begun = [move(null, 1, 0, came), move(came, 0, 1)]
+    turned = F.when(time.isNull(), F.array(*begun)).when(time >= came, F.array(*begun, move(time, -1, -1))).otherwise(F.array(*begun, move(time, -1, 0), move(came, 0, -1)))
+    moves = own.join(turns.drop("d"), on, "left").select(*job, F.inline(turned))
+    v = Window.partitionBy(*job).orderBy("time")
+    now = v.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = moves.select(*job, "time", *[F.sum(c).over(now).alias(c) for c in ("lacks", "ready")], F.min("since").over(now).alias("since"), F.lead("time").over(v).alias("until"))
+    spans = swept.where((F.col("time") >= F.col("since")) & (F.col("lacks") > 0) & (F.col("until").isNull() | (F.col("until") > F.col("time"))))
+    return state_intervals(spans.select(*keys, (F.col("ready") == 0).alias("placed"), F.col("time").alias("since"), "until"), interval, [*keys, "placed"], last)
+
+
 def pending_jobs(tgs: DataFrame, started: DataFrame, interval: int, keys: Sequence[str] = (), options: DataFrame | None = None, withdrawn: DataFrame | None = None, last: int | None = None) -> DataFrame:
     """(keys, placed, tick, n): unfinished jobs at each tick, split by whether all groups submitted so far that might be in the flavor are placed.
 
@@ -221,6 +243,8 @@ def pending_jobs(tgs: DataFrame, started: DataFrame, interval: int, keys: Sequen
     move = lambda time, lacks, ready: F.struct(F.col(time).alias("time"), lacks.cast("bigint").alias("lacks"), ready.cast("bigint").alias("ready"))
     none, d = F.lit(0), F.col("d")
     turned = F.when(F.col("time") >= F.col("submitted"), F.array(move("time", d, d))).otherwise(F.array(move("time", d, none), move("submitted", none, d)))
+    if options is None and withdrawn is None and "lost_time" not in started.columns:
+        return _pending_once(own, turns, interval, keys, last)
     parts = [
         own.groupBy(*job, *kind).agg(F.lit(None).cast("bigint").alias("time"), F.count("*").alias("lacks"), F.min("submitted").alias("since")),
         own.select(*job, *kind, F.col("submitted").alias("time"), F.lit(1).cast("bigint").alias("ready")),
