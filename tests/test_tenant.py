@@ -202,3 +202,12 @@ def test_groups_that_are_placed_once_take_one_sweep(spark, monkeypatch):
     once, general = ({(r.placed, r.tick): r.n for r in tenant.pending_jobs(tgs, placed, 10, withdrawn=w).where("n > 0").collect()} for w in (None, gone))
     assert once == general and len(once) > 50
     assert plans[0].count("Window [") == 1
+
+
+def test_locality_is_written_part_by_part(spark, monkeypatch):
+    names, real = [], snapshots.materialize
+    monkeypatch.setattr(snapshots, "materialize", lambda df, name: names.append(name) or real(df, name))
+    present = spark.createDataFrame([(1, 0, False), (2, 1, False)], "tg_id long, machine_id long, is_switch boolean")
+    edges = spark.createDataFrame([(1, 2)], "src_tg long, dst_tg long")
+    found = snapshots.locality(present, present.select("tg_id", "is_switch"), edges, *fat_tree(spark, 4)).collect()
+    assert len(found) == 2 and {"sides", "detour", "diameter", "locality"} <= set(names)

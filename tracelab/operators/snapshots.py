@@ -23,16 +23,17 @@ def locality(present: DataFrame, tgs: DataFrame, edges: DataFrame, machines: Dat
     present: (tg_id, machine_id, is_switch), where groups run; edges: (src_tg, dst_tg) to successors that count. A detour is from a switch group's switches to its
     successors' servers, or from a server group's successors' switches to its servers.
     """
-    present, edges = materialize(present, "present"), materialize(edges, "edges")  # each is met many times below
+    present, edges, tgs = materialize(present, "present"), materialize(edges, "edges"), materialize(tgs.select("tg_id", "is_switch"), "groups")  # each is met many times below
     next_ = topology.connected_machines(present, edges).join(tgs.select("tg_id", F.col("is_switch").alias("own")), "tg_id").where("is_switch <> own")
     sides = present.select("tg_id", "machine_id", "is_switch").unionByName(next_.select("tg_id", "machine_id", "is_switch")).distinct()
-    detour = topology.detour_levels(sides, machines, links)
-    racks, far = topology.involved_racks(present, links), topology.max_diameter(present, edges, links)
+    # Each is written by itself: one stage with all their joins would hold the rows of every one of them in each task.
+    detour = materialize(topology.detour_levels(materialize(sides, "sides"), machines, links), "detour")
+    racks, far = topology.involved_racks(present, links), materialize(topology.max_diameter(present, edges, links), "diameter")
     out = tgs.select("tg_id", "is_switch").join(detour, "tg_id", "left").join(racks, "tg_id", "left").join(far, "tg_id", "left")
     out = out.join(edges.select(F.col("src_tg").alias("tg_id"), F.lit(True).alias("any")).distinct(), "tg_id", "left")
     alone = F.when(F.col("any"), F.when(F.col("is_switch"), 0).otherwise(1)).otherwise(-1)
     count = lambda c, other, name: F.coalesce(c, other).cast("double").alias(name)
-    return out.select("tg_id", count(F.col("detour"), F.lit(-1), "DetourInc"), count(F.col("racks"), F.lit(0), "InvolvedRacks"), count(F.col("max_diameter"), alone, "MaxDiameter"))
+    return materialize(out.select("tg_id", count(F.col("detour"), F.lit(-1), "DetourInc"), count(F.col("racks"), F.lit(0), "InvolvedRacks"), count(F.col("max_diameter"), alone, "MaxDiameter")), "locality")
 
 
 class _Points:
@@ -81,6 +82,7 @@ def tenant_tables(
     and withdraw; all_options: (job_id, all_options), for InpStatus. With edges (src_tg, dst_tg) within jobs, machines and links, groups have DetourInc, InvolvedRacks
     and MaxDiameter; successors count once they are submitted and definitely in the flavor. Events after a job's end don't count; what happens at a time does.
     """
+    job_events = materialize(job_events, "job-events")  # met many times below, as tgs are
     points = _Points(tgs, job_events, times)
     options = materialize(_options_at(points, job_events), "options")
     ours = allocs.select("tg_id", "machine_id", "start_time", "num_tasks", "preempted_at").join(tgs.select("tg_id", "job_id", "is_switch"), "tg_id").join(points.ends, "job_id", "left")

@@ -13,6 +13,7 @@ from tracelab.plans import paper_frames
 from tracelab.plans.registry import query, rounded
 from tracelab.plans.topology_queries import HOPS, K
 from tracelab.plans.views import DUCK, SPARK
+from tracelab.sources.scratch import materialize
 from tracelab.sources.topology import fat_tree
 
 DAY = 86_400_000
@@ -54,7 +55,7 @@ def _job_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _snapshots(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    tgs = _tgs(spark, sf)
+    tgs = materialize(_tgs(spark, sf), "tgs")
     allocs = _table(spark, sf, "a").withColumnRenamed("lost", "preempted_at")
     every = F.when(F.col("job_id") % 5 == 0, F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2)))
     return snapshots.tenant_tables(tgs, allocs, _job_events(spark, sf), TIMES, tgs.select("job_id", every.alias("all_options")).distinct(), _edges(tgs), *fat_tree(spark, K))
@@ -117,11 +118,11 @@ def t5_taskgroup_locality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stats_with_locality(spark: SparkSession, sf: str) -> DataFrame:
-    tgs, (machines, links) = _tgs(spark, sf), fat_tree(spark, K)
+    tgs, (machines, links) = materialize(_tgs(spark, sf), "groups"), fat_tree(spark, K)
     allocs = _table(spark, sf, "a").withColumn("preempted", F.coalesce(F.col("lost") <= NOW, F.lit(False)))
     ours = allocs.where((F.col("start_time") <= NOW) & ~F.col("preempted"))
     none = F.array().cast("array<int>")
-    options = tenant.job_options_at(_job_events(spark, sf).where("event like 'flavor%'"), NOW)
+    options = materialize(tenant.job_options_at(_job_events(spark, sf).where("event like 'flavor%'"), NOW), "options")
     own = tgs.join(options, "job_id", "left").withColumns({c: F.coalesce(c, none) for c in ("chosen", "excluded")})
     four = [F.col(c) for c in ("in_option", "not_in_option", "chosen", "excluded")]
     tasks = own.where(might_be_in_flavor(*four)).join(ours.groupBy("tg_id").agg(F.sum("num_tasks").alias("started")), "tg_id", "left")
